@@ -286,7 +286,7 @@ def test_language_odd(spark):
     got = {str(r.doc_id): r.lang_pred for r in langid.identify(odd(spark)).collect()}
     assert got["1"] == got["2"] == got["3"] == "und" and got["8"] != "und"
     assert langid.identify(empty(spark)).count() == 0
-    untaught = langid.identify(odd(spark).withColumn("lang", odd(spark)["lang"].substr(0, 0)).where("false").unionByName(odd(spark).selectExpr(*[c if c != "lang" else "cast(null as string) lang" for c in odd(spark).columns])))
+    untaught = langid.identify(odd(spark).selectExpr(*[c if c != "lang" else "cast(null as string) lang" for c in odd(spark).columns]))
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
     assert langid.keep_identified(odd(spark), least=0.0).columns == odd(spark).columns
 

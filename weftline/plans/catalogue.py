@@ -1,10 +1,658 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+The tables stand in for the envelope tables: documents are documents and text chunks, orders with their lineitems are
+JSON documents, lineitems are conversions (order, part, supplier), events are benchmark results, conversations are
+chats, and region < nation < customer < order is a forest of parents.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions.scores import MISSING
+from weftline.operators import cleaning, evaluation, generation, graph, retrieval, sampling, training, udfs
+from weftline.sources import layouts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+FOLD = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as source documents."""
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("TEXT").alias("content_type"), "source", "lang", "n_chars")
+
+
+def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content): an order with its lines as nested JSON, blanks as Python's json has them."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit('{"n": '), x["l_linenumber"], F.lit(', "part": '), x["l_partkey"], F.lit("}"))), ", ").alias("lines"))
+    o = _t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"key": '), F.col("o_orderkey"), F.lit(', "status": "'), F.col("o_orderstatus"), F.lit('", "lines": ['), F.col("lines"), F.lit("]}")).alias("content"))
+
+
+# Filters
+
+
+@query("SELECT doc_id AS id, n_chars FROM documents WHERE lang = 'en' AND text IS NOT NULL AND text <> ''")
+def doc_filter(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("content_type", F.when(F.col("lang") == "en", "JSON").otherwise("TEXT"))
+    return cleaning.json_chunks(d).select("id", "n_chars")
+
+
+@query("SELECT doc_id AS id, length(text)::BIGINT AS n FROM documents WHERE length(text) > 500 AND length(text) < 4000")
+def cull_length(spark, sf_dir):
+    return cleaning.cull_by_length(_docs(spark, sf_dir), 500, 4000).select("id", F.length("content").cast("long").alias("n"))
+
+
+@query("SELECT doc_id AS id, source FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
+def page_offset(spark, sf_dir):
+    return cleaning.page(_docs(spark, sf_dir), "id", 50, 100).select("id", "source")
+
+
+@query("SELECT conv_id * 100 + turn AS id, role FROM conversations ORDER BY 1 DESC LIMIT 20 OFFSET 5")
+def page_newest(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "role")
+    return cleaning.page(c, "id", 20, 5, newest_first=True)
+
+
+@query("SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+def json_path_filter(spark, sf_dir):
+    return cleaning.where_json(_t(spark, sf_dir, "events"), "$.k", "7", "props").select("event_id", "user_id")
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.group') IS NOT NULL OR json_extract_string(props, '$.k') IS NOT NULL AND event_type = 'click'")
+def json_path_present(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return cleaning.where_json(e, "$.group", None, "props").select("event_id").union(cleaning.where_json(e.where("event_type = 'click'"), "$.k", None, "props").select("event_id")).distinct()
+
+
+@query("SELECT event_id FROM events WHERE NOT coalesce(event_type = 'click' AND json_extract_string(props, '$.k') = '3', false)")
+def delete_by_json_path(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("content_type"), F.col("props").alias("meta"))
+    return cleaning.delete_where_json(e, "click", "$.k", "3").select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE NOT coalesce(value > 50, false)")
+def errors_only(spark, sf_dir):
+    return cleaning.only_errors(_t(spark, sf_dir, "events").withColumn("correct", F.col("value") > 50)).select("event_id")
+
+
+# Counts
+
+
+@query("""SELECT (SELECT count(*) FROM documents) AS documents, c.*, s.*, v.* FROM
+(SELECT count(*) AS chunks, count(l_suppkey) AS chunks_with_schema, count(*) FILTER (l_returnflag = 'R') AS synthetic_chunks, count(DISTINCT l_suppkey) AS used_schemas FROM lineitem) c,
+(SELECT count(*) AS schemas, count(*) FILTER (s_acctbal < 0) AS synthetic_schemas FROM supplier) s,
+(SELECT count(*) AS conversions, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS conversions_with_group FROM orders) v""")
+def stats_overview(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("schema_id"), (F.col("l_returnflag") == "R").alias("is_synthetic"))
+    schemas = _t(spark, sf_dir, "supplier").select((F.col("s_acctbal") < 0).alias("is_synthetic"))
+    conv = _t(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", 1).alias("group_id"))
+    return cleaning.overview(_docs(spark, sf_dir), chunks, schemas, conv)
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL")
+def count_by_source(spark, sf_dir):
+    return cleaning.count_by(_docs(spark, sf_dir), "source", "lang")
+
+
+@query("SELECT json_extract_string(props, '$.k') AS g, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, g LIMIT 20")
+def group_by_json_path(spark, sf_dir):
+    return cleaning.count_by(_t(spark, sf_dir, "events"), F.get_json_object("props", "$.k").alias("g")).orderBy(F.col("n").desc(), "g").limit(20)
+
+
+@query("SELECT l_orderkey AS output_chunk_id, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS formats FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def formats_per_parent(spark, sf_dir):
+    conv = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("output_chunk_id"), F.col("l_partkey").alias("input_chunk_id"))
+    chunks = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("content_type"))
+    return cleaning.covered_formats(conv, chunks).withColumn("formats", F.array_join("formats", ","))
+
+
+@query("SELECT DISTINCT l_suppkey AS schema_id FROM lineitem WHERE l_suppkey IS NOT NULL")
+def distinct_refs(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").where("l_suppkey is not null").select(F.col("l_suppkey").alias("schema_id")).distinct()
+
+
+@query("SELECT count(DISTINCT s_suppkey) AS n FROM supplier JOIN lineitem ON s_suppkey = l_suppkey WHERE l_returnflag = 'A'")
+def schemas_with_chunks(spark, sf_dir):
+    hit = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("s_suppkey"))
+    return _t(spark, sf_dir, "supplier").join(hit, "s_suppkey", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS content_type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def conversions_by_input_type(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("content_type"))
+    return cleaning.count_by(_t(spark, sf_dir, "lineitem").select("l_partkey").join(p, "l_partkey"), "content_type")
+
+
+# Duplicates
+
+
+@query("SELECT sha256(text) AS key, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def dup_having(spark, sf_dir):
+    return cleaning.duplicated(_docs(spark, sf_dir), F.sha2("content", 256))
+
+
+@query(f"SELECT min(doc_id) AS id FROM documents GROUP BY {FOLD.format('text')}")
+def dedup_first(spark, sf_dir):
+    return cleaning.first_of(_docs(spark, sf_dir), [cleaning.folded("content")], "id").select("id")
+
+
+@query(f"""WITH x AS (SELECT doc_id, {FOLD.format('text')} AS f, count(*) OVER (PARTITION BY text) > 1 AS dup FROM documents)
+SELECT doc_id AS id, CASE WHEN dup THEN min(doc_id) FILTER (dup) OVER (PARTITION BY f) ELSE doc_id END AS survivor FROM x""")
+def dedup_two_stage(spark, sf_dir):
+    return cleaning.two_stage_survivors(_docs(spark, sf_dir), F.col("content"), cleaning.folded("content"), "id")
+
+
+@query(f"""WITH x AS (SELECT doc_id, {FOLD.format('text')} AS f, count(*) OVER (PARTITION BY text) > 1 AS dup FROM documents)
+SELECT doc_id AS id FROM (SELECT doc_id, CASE WHEN dup THEN min(doc_id) FILTER (dup) OVER (PARTITION BY f) ELSE doc_id END AS s FROM x) WHERE s = doc_id""")
+def drop_duplicate_chunks(spark, sf_dir):
+    return cleaning.drop_duplicate_chunks(_docs(spark, sf_dir)).select("id")
+
+
+@query("""WITH s AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS first FROM part)
+SELECT l_orderkey, l_linenumber, first AS schema_id FROM lineitem JOIN s ON l_partkey = p_partkey""")
+def schema_repoint(spark, sf_dir):
+    s = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(":", "p_brand", "p_size").alias("content"))
+    c = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("schema_id"))
+    return cleaning.drop_duplicate_schemas(s, c, c)[1]
+
+
+# Joins
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber, p_name AS input_content, o_orderpriority AS output_content, s_name AS schema_content
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey""")
+def expand_conversions(spark, sf_dir):
+    v = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", F.concat(F.lit("p"), "l_partkey").alias("input_chunk_id"), F.concat(F.lit("o"), "l_orderkey").alias("output_chunk_id"), F.col("l_suppkey").alias("schema_id"))
+    c = _t(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.col("p_name").alias("content")).union(_t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey"), "o_orderpriority"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("content"))
+    return cleaning.expanded(v, c, s).select("id", "l_linenumber", "input_content", "output_content", "schema_content")
+
+
+def _conversions(spark, sf_dir):
+    """lineitems as conversions: part in, order out, supplier as schema; a group where the line was returned or not."""
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("output_chunk_id"), F.col("l_partkey").alias("input_chunk_id"), F.col("l_suppkey").alias("schema_id"), F.col("l_linenumber").alias("id"), F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).alias("group_id"))
+
+
+@query("SELECT l_orderkey AS output_chunk_id, l_linenumber AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('R', 'A') AND o_orderstatus = 'F'")
+def has_json_output(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "JSON").otherwise("TEXT").alias("content_type"))
+    return cleaning.eligible_for_export(_conversions(spark, sf_dir), chunks).select("output_chunk_id", "id")
+
+
+@query("SELECT l_orderkey AS output_chunk_id, l_linenumber AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' AND o_orderstatus = 'F'")
+def has_json_output_legacy(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "JSON").otherwise("TEXT").alias("content_type"))
+    return cleaning.eligible_for_export(_conversions(spark, sf_dir), chunks, legacy_drop_group0=True).select("output_chunk_id", "id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def dangling(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("schema_id"))
+    return cleaning.dangling_schemas(_docs(spark, sf_dir), labels).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents ANTI JOIN labels USING (doc_id) ORDER BY 1 LIMIT 100")
+def dangling_limited(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("schema_id"))
+    return cleaning.dangling_schemas(_docs(spark, sf_dir), labels, 100).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents SEMI JOIN labels USING (doc_id)")
+def drop_dangling(spark, sf_dir):
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("schema_id"))
+    return cleaning.drop_dangling_schemas(_docs(spark, sf_dir), labels).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT CASE WHEN quality = 1 THEN doc_id END FROM labels)")
+def docs_without_chunks_legacy(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, F.col("doc_id")).alias("parent_document_id"))
+    return cleaning.documents_without_chunks_null_aware(_docs(spark, sf_dir), chunks).select("id")
+
+
+@query("SELECT doc_id AS id FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id)")
+def docs_without_chunks(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, F.col("doc_id")).alias("parent_document_id"))
+    return cleaning.documents_without_chunks(_docs(spark, sf_dir), chunks).select("id")
+
+
+@query("SELECT l_orderkey AS output_chunk_id, l_linenumber AS id, l_suppkey AS schema_id, o_custkey AS chunk_schema_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey")
+def mismatch_theta(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("schema_id"))
+    return cleaning.mismatched_conversions(_conversions(spark, sf_dir), chunks).select("output_chunk_id", "id", "schema_id", "chunk_schema_id")
+
+
+@query("SELECT l_orderkey AS output_chunk_id, l_linenumber AS id, CASE WHEN o_custkey <> l_suppkey THEN o_custkey ELSE l_suppkey END AS schema_id FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def fix_conversions(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("schema_id"))
+    return cleaning.fix_conversions(_conversions(spark, sf_dir), chunks).select("output_chunk_id", "id", "schema_id")
+
+
+@query("SELECT l_orderkey AS output_chunk_id, l_linenumber AS id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders) OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def invalid_conversions(spark, sf_dir):
+    v = _conversions(spark, sf_dir).withColumn("input_chunk_id", F.concat(F.lit("p"), "input_chunk_id")).withColumn("output_chunk_id", F.concat(F.lit("o"), "output_chunk_id"))
+    c = _t(spark, sf_dir, "part").where("p_size < 40").select(F.concat(F.lit("p"), "p_partkey").alias("id")).union(_t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey")))
+    s = _t(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
+    return cleaning.invalid_conversions(v, c, s).select(F.substring("output_chunk_id", 2, 30).cast("long").alias("output_chunk_id"), "id")
+
+
+@query("SELECT event_id AS id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) <= 50 AND s_suppkey IS NOT NULL THEN user_id END AS schema_id FROM events LEFT JOIN supplier ON user_id = s_suppkey")
+def left_join_repair(spark, sf_dir):
+    c = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("content"), F.col("user_id").alias("schema_id"))
+    schema = json.dumps({"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}, "required": ["k"]})
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(schema).alias("content"))
+    return cleaning.clear_broken_mappings(c, s).select("id", "schema_id")
+
+
+@query("SELECT p_partkey AS id FROM part ANTI JOIN (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_returnflag = 'R') x USING (p_partkey)")
+def drop_format(spark, sf_dir):
+    chunks = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("TEXT").alias("content_type"))
+    v = _conversions(spark, sf_dir).withColumn("content_type", F.when(F.col("group_id") == 0, "XML"))
+    hit = v.where("content_type = 'XML'").select("input_chunk_id")
+    marked = chunks.join(hit.select(F.col("input_chunk_id").alias("id"), F.lit("XML").alias("x")).distinct(), "id", "left").select("id", F.coalesce("x", "content_type").alias("content_type"))
+    v = v.withColumn("output_chunk_id", F.lit(-1))
+    return cleaning.drop_format(v, marked, marked)[1].select("id")
+
+
+@query("SELECT event_id AS sample_id, user_id AS model, o_orderstatus AS answer FROM events JOIN orders ON event_id = o_orderkey")
+def predictions_to_samples(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("sample_id"), F.col("user_id").alias("model"))
+    return evaluation.joined(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("answer")), e)
+
+
+# Lineage and groups
+
+
+def _nodes(spark, sf_dir):
+    r = _t(spark, sf_dir, "region").select(F.concat(F.lit("region:"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
+    n = _t(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), "n_nationkey"), F.concat(F.lit("region:"), "n_regionkey"))
+    c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey"), F.concat(F.lit("nation:"), "c_nationkey"))
+    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), "o_orderkey"), F.concat(F.lit("customer:"), "o_custkey"))
+    return r.union(n).union(c).union(o)
+
+
+_NODES = """nodes AS (SELECT 'region:' || r_regionkey AS id, NULL::VARCHAR AS parent_id FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE {_NODES}, walk AS (SELECT id AS node, id AS root, parent_id FROM nodes UNION ALL SELECT w.node, w.parent_id, n.parent_id FROM walk w LEFT JOIN nodes n ON n.id = w.parent_id WHERE w.parent_id IS NOT NULL)
+SELECT node, root FROM walk WHERE parent_id IS NULL""")
+def lineage_root(spark, sf_dir):
+    return graph.roots(_nodes(spark, sf_dir))
+
+
+_SIG = "sha256(array_to_string(list_sort(string_split(lower(text), '')), ''))"
+
+
+@query(f"SELECT doc_id AS id, {_SIG} AS signature FROM documents")
+def content_signature(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", graph.content_signature("content").alias("signature"))
+
+
+@query(f"""WITH g AS (SELECT {_SIG} AS signature, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY 1)
+SELECT signature, size, (row_number() OVER (ORDER BY size DESC, first) - 1)::BIGINT AS group_id FROM g""")
+def signature_groups(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select(F.col("id").alias("node"), graph.content_signature("content").alias("component"))
+    return graph.rank_groups(rows).withColumnRenamed("component", "signature")
+
+
+def _edges(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    parts = [F.concat(F.lit("text:"), graph.content_signature("content")), F.concat(F.lit("size:"), "source", F.lit(":"), "n_chars"), F.concat(F.lit("head:"), "lang", F.lit(":"), F.substring("content", 1, 12))]
+    return d.select("id", F.explode(F.array_compact(F.array(*parts))).alias("signature"))
+
+
+_EDGES = f"edges AS (SELECT doc_id AS id, unnest(['text:' || {_SIG}, 'size:' || source || ':' || n_chars, 'head:' || lang || ':' || substr(text, 1, 12)]) AS signature FROM documents)"
+_COMPONENTS = f"""{_EDGES}, walk AS (SELECT DISTINCT id AS start, id AS node FROM edges UNION SELECT w.start, b.id FROM walk w JOIN edges a ON a.id = w.node JOIN edges b ON b.signature = a.signature),
+comp AS (SELECT start AS node, min(node) AS component FROM walk GROUP BY start)"""
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges")
+def signature_edges(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM comp")
+def components(spark, sf_dir):
+    return graph.signature_components(_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT component, count(*) AS size, (row_number() OVER (ORDER BY count(*) DESC, min(node)) - 1)::BIGINT AS group_id FROM comp GROUP BY component")
+def group_rank(spark, sf_dir):
+    return graph.rank_groups(graph.signature_components(_edges(spark, sf_dir)))
+
+
+@query("""WITH RECURSIVE g AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) * 50 + user_id % 50 AS group_id, count(*) AS size FROM events GROUP BY 1),
+t AS (SELECT greatest(1, CASE WHEN sum(size) <= 5000 THEN sum(size) // 20 ELSE least(5000, sum(size) // 20) END)::BIGINT AS want FROM g),
+f AS (SELECT group_id, size, row_number() OVER (ORDER BY d, group_id) AS n FROM (SELECT *, sha256(group_id || ':split') AS d FROM g WHERE group_id NOT IN (SELECT group_id FROM g ORDER BY size DESC, group_id LIMIT 2)), t WHERE size <= want AND substr(d, 64, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')),
+w AS (SELECT 0::BIGINT AS n, want AS room, NULL::BIGINT AS group_id, false AS took FROM t UNION ALL SELECT f.n, CASE WHEN f.size <= w.room THEN w.room - f.size ELSE w.room END, f.group_id, f.size <= w.room FROM w JOIN f ON f.n = w.n + 1)
+SELECT g.group_id, g.size, coalesce(w.took, false) AS is_test FROM g LEFT JOIN w USING (group_id)""")
+def group_split(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select((F.get_json_object("props", "$.k").cast("long") * 50 + F.col("user_id") % 50).alias("group_id"))
+    return graph.split_groups(e, graph.test_rows(e.count()))
+
+
+# Retrieval
+
+_BM25 = r"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-zA-Z0-9]+|[^\p{L}\p{N}_])') AS t FROM documents),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
+p AS (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '([a-zA-Z0-9]+|[^\p{L}\p{N}_])'))) AS term FROM benchmark),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+r AS (SELECT item_id AS query_id, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN f USING (term) JOIN q USING (term), s GROUP BY ALL)"""
+
+
+def _bm25(spark, sf_dir):
+    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.scores(_docs(spark, sf_dir), q)
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 3")
+def bm25_topk(spark, sf_dir):
+    return retrieval.top_k(_bm25(spark, sf_dir), 3).select("query_id", "doc", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, count(*) AS n, round(avg(score), 3) AS mean FROM r GROUP BY query_id")
+def bm25_scores(spark, sf_dir):
+    return _bm25(spark, sf_dir).withColumn("score", F.round("score", 6)).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 3).alias("mean"))
+
+
+@query(r"SELECT doc_id AS id, len(regexp_extract_all(lower(text), '([a-zA-Z0-9]+|[^\p{L}\p{N}_])'))::BIGINT AS n FROM documents")
+def lexical_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("id", F.size(retrieval.tokens("content")).cast("long").alias("n"))
+
+
+# Texts
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, arg_max(text, turn) AS answer FROM conversations GROUP BY conv_id HAVING length(arg_max(text, turn)) <= 10000")
+def last_turn(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"), F.max_by("text", "turn").alias("last"))
+    out = c.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"), F.substring_index("last", "</think>", -1).alias("answer"))
+    return out.where(F.length("answer") <= 10_000)
+
+
+@query(f"SELECT event_id, 'Turn the text into JSON under the schema. [SCHEMA]' || CASE WHEN event_type = 'click' THEN '{MISSING}' ELSE event_type END || '[INPUT]' || props || '[OUTPUT]' AS prompt FROM events")
+def prompt_format(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("schema", F.when(F.col("event_type") != "click", F.col("event_type")))
+    return e.select("event_id", training.prompt("schema", "props").alias("prompt"))
+
+
+@query("""SELECT event_id, props AS block FROM events""")
+def fence_extract(spark, sf_dir):
+    text = F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nand\n```json\n{broken\n```\n"))
+    return _t(spark, sf_dir, "events").select("event_id", F.explode(udfs.blocks(text)).alias("block"))
+
+
+@query("SELECT event_id, replace(props, ' ', '') AS minified FROM events")
+def minify_json(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", udfs.minified("props").alias("minified"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{}' WHEN 1 THEN '[]' WHEN 2 THEN '\"\"' WHEN 3 THEN '0' ELSE 'null' END AS result FROM events")
+def null_result(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(json.dumps({"type": k})) for k in (["object", "null"], "array", ["string"], "integer", "null")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return _t(spark, sf_dir, "events").select("event_id", udfs.null_result(kind).alias("result"))
+
+
+@query(f"SELECT event_id::VARCHAR AS id, '{MISSING}' AS schema FROM events WHERE event_type = 'click' ORDER BY sha256(event_id || ':missing') LIMIT (SELECT count(*) // 10 FROM events WHERE event_type = 'click')")
+def missing_schema(spark, sf_dir):
+    return sampling.missing_schema_samples(_samples(spark, sf_dir, F.col("event_type") == "click")).select(F.col("meta.schema_conversion_id").alias("id"), "schema")
+
+
+def _samples(spark, sf_dir, is_test: Column = None) -> DataFrame:
+    """events as samples: the schemas differ by event type."""
+    none = F.lit(None).cast("string")
+    schema = F.concat(F.lit('{"type": "object", "properties": {"'), F.when(F.col("event_type") == "click", "k").otherwise(F.col("event_type")), F.lit('": {"type": "integer"}}, "required": ["'), F.when(F.col("event_type") == "click", "k").otherwise(F.col("event_type")), F.lit('"], "additionalProperties": false}'))
+    meta = F.struct(none.alias("input_chunk_id"), F.lit("JSON").alias("input_chunk_content_type"), none.alias("output_chunk_id"), F.col("event_type").alias("schema_id"), F.col("event_id").cast("string").alias("schema_conversion_id"), (F.lit(False) if is_test is None else is_test).alias("is_test"), F.col("user_id").alias("group"), F.lit(False).alias("is_synthetic"), none.alias("synthetic_type"), none.alias("original_schema_id"))
+    return _t(spark, sf_dir, "events").select(F.col("props").alias("input_data"), schema.alias("schema"), F.col("props").alias("output"), meta.alias("meta"))
+
+
+@query("SELECT doc_id AS id FROM documents ORDER BY sha256(doc_id || ':7') LIMIT 50")
+def shuffle_prefix(spark, sf_dir):
+    return sampling.shuffled(_docs(spark, sf_dir), "id", 50, "7").select("id")
+
+
+# Evaluation
+
+
+@query("SELECT user_id % 5 AS model, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+def metric_pivot(spark, sf_dir):
+    long = _t(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("model"), F.col("event_type").alias("metric")).agg(F.max("value").alias("value"))
+    return evaluation.metric_pivot(long, metrics=["click", "view"])
+
+
+@query("""WITH t AS (SELECT max(n_chars) // 500 * 500 AS top FROM documents),
+b AS (SELECT lang, (ceil(n_chars / 500) * 500)::BIGINT AS bucket, n_chars % 3 = 0 AS bad FROM documents, t WHERE n_chars > 0 AND n_chars <= top)
+SELECT lang, bucket, count(*) AS n, count(*) FILTER (bad) AS errors, round(100.0 * count(*) FILTER (bad) / count(*)::DOUBLE, 3) AS error_rate FROM b GROUP BY ALL""")
+def length_buckets(spark, sf_dir):
+    return evaluation.length_buckets(_docs(spark, sf_dir), "n_chars", F.col("n_chars") % 3 == 0, "lang")
+
+
+def _results(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 11 == 0, "request").when(F.col("event_id") % 7 == 0, "json").when(F.col("event_id") % 5 == 0, "schema").when(F.col("event_id") % 3 == 0, "content")
+    return _t(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("model"), "event_type", kind.alias("error_type"), F.col("value").alias("inference_ms")).withColumn("correct", F.when(F.col("error_type").isNull(), True))
+
+
+_RESULTS = "r AS (SELECT user_id % 5 AS model, event_type, value AS inference_ms, CASE WHEN event_id % 11 = 0 THEN 'request' WHEN event_id % 7 = 0 THEN 'json' WHEN event_id % 5 = 0 THEN 'schema' WHEN event_id % 3 = 0 THEN 'content' END AS error_type FROM events)"
+
+
+@query(f"""WITH {_RESULTS} SELECT model, {', '.join(f"round(100.0 * count(*) FILTER (error_type = '{e}') / count(*)::DOUBLE, 3) AS {e}_errors" for e in evaluation.ERRORS)},
+round(100.0 * count(*) FILTER (error_type IS NULL) / count(*)::DOUBLE, 3) AS correct_rate, count(*) AS n, round(avg(inference_ms), 3) AS mean_inference_ms FROM r GROUP BY model""")
+def error_rates(spark, sf_dir):
+    return evaluation.summary(_results(spark, sf_dir), "model")
+
+
+@query(f"WITH {_RESULTS} SELECT model, event_type, count(*) FILTER (error_type IS NULL) AS correct, count(*) AS n, round(100.0 * count(*) FILTER (error_type IS NULL) / count(*)::DOUBLE, 3) AS percent FROM r GROUP BY ALL")
+def correct_by_type(spark, sf_dir):
+    return evaluation.correct_by(_results(spark, sf_dir), "model", "event_type")
+
+
+@query(f"WITH {_RESULTS} SELECT count(*) AS results, count(error_type) AS errors, round(sum(inference_ms), 3) AS total_ms FROM r")
+def run_info(spark, sf_dir):
+    return evaluation.run_info(_results(spark, sf_dir))
+
+
+@query("SELECT " + ", ".join(f"quantile_cont(n_chars, {x}) AS p{round(x * 100)}" for x in (0.5, 0.9, 0.95, 0.99)) + " FROM documents")
+def quantiles(spark, sf_dir):
+    return training.length_quantiles(_docs(spark, sf_dir), "n_chars")
+
+
+@query("SELECT lang, list_sort(list(n_chars))[1 + floor((count(*) - 1) * 0.9)::BIGINT] AS value FROM documents GROUP BY lang")
+def floor_percentile(spark, sf_dir):
+    return training.floor_percentile(_docs(spark, sf_dir), "lang", "n_chars", 0.9)
+
+
+@query("SELECT doc_id AS id, n_chars FROM documents WHERE length(text) <= 1000")
+def token_length_filter(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("input_ids", F.split("content", ""))
+    return training.within_length(d, 1000).select("id", "n_chars")
+
+
+@query("""WITH x AS (SELECT conv_id, turn, role, list_transform(range(length(role)), i -> ord(role[i + 1])) AS p, list_transform(range(least(length(text), 5)), i -> ord(text[i + 1])) AS t FROM conversations),
+y AS (SELECT conv_id, turn, list_concat([1], p, t, [2]) AS ids, list_concat(list_transform(range(len(p) + 1), i -> -100), t, [2]) AS labels FROM x),
+z AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY conv_id) / 8) * 8)::BIGINT AS w FROM y)
+SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(w - len(ids)), i -> 0)), ',') AS input_ids,
+array_to_string(list_concat(labels, list_transform(range(w - len(ids)), i -> -100)), ',') AS labels,
+array_to_string(list_concat(list_transform(range(len(ids)), i -> 1), list_transform(range(w - len(ids)), i -> 0)), ',') AS attention_mask FROM z""")
+def tokenise_mask_pad(spark, sf_dir):
+    code = lambda s: [ord(c) for c in s]
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", training.tokens("role", code).alias("p"), training.tokens(F.substring("text", 1, 5), code).alias("t"))
+    out = training.padded(training.masked(c, "p", "t", 1, 2), "conv_id", 0)
+    return out.select("conv_id", "turn", *[F.array_join(k, ",").alias(k) for k in ("input_ids", "labels", "attention_mask")])
+
+
+# Formats
+
+
+def _flat(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("content"))
+    return p
+
+
+def _format(name: str, sql: str) -> None:
+    def f(spark, sf_dir):
+        return _flat(spark, sf_dir).withColumn("c", udfs.convert("content", F.lit(name), F.lit(0))).select("id", F.coalesce("c.text", F.lit("-")).alias("text"))
+
+    f.__name__ = f"format_{name.lower()}"
+    query(f"SELECT p_partkey AS id, {sql} AS text FROM part")(f)
+
+
+_format("CSV", "'name,size' || chr(10) || p_name || ',' || p_size || chr(10)")
+_format("SQL", "'INSERT INTO users (name, size) VALUES (''' || p_name || ''', ' || p_size || ');'")
+_format("HTML", "'<table><thead><tr><th>name</th><th>size</th></tr></thead><tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></tbody></table>'")
+_format("MARKDOWN", "'| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |'")
+_format("XML", "'<root><name type=\"str\">' || p_name || '</name><size type=\"int\">' || p_size || '</size></root>'")
+_format("PYTHON_STRING", "'{''name'': ''' || p_name || ''', ''size'': ' || p_size || '}'")
+_format("TOML", "'name = \"' || p_name || '\"' || chr(10) || 'size = ' || p_size || chr(10)")
+_format("YAML", "'name: ' || p_name || chr(10) || 'size: ' || p_size || chr(10)")
+
+
+def _json_chunks(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    return _order_json(spark, sf_dir).select(F.concat(F.lit("o"), "id").alias("id"), "content", F.lit("JSON").alias("content_type"), F.lit(False).alias("is_synthetic"), none.alias("parent_document_id"), none.alias("parent_chunk_id"), F.lit(False).alias("matches_parent_chunk"), F.lit("order").alias("schema_id"), F.lit("{}").alias("meta"))
+
+
+ORDER_SCHEMA = json.dumps({"type": ["object", "null"], "properties": {"key": {"type": ["integer", "null"]}, "status": {"type": ["string", "null"]}, "lines": {"type": ["array", "null"], "items": {"type": ["object", "null"], "properties": {"n": {"type": ["integer", "null"]}, "part": {"type": ["integer", "null"]}}, "required": ["n", "part"], "additionalProperties": False}}}, "required": ["key", "status", "lines"], "additionalProperties": False})
+
+
+def _schemas(spark: SparkSession) -> DataFrame:
+    other = json.dumps({"type": "object", "properties": {"alpha": {"type": "string"}}, "required": ["alpha"]})
+    return spark.createDataFrame([("order", ORDER_SCHEMA, False, None, "{}"), ("other", other, False, None, "{}")], "id string, content string, is_synthetic boolean, parent_schema_id string, meta string")
+
+
+@query("SELECT content_type, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n FROM (VALUES ('PYTHON_STRING'), ('TOML'), ('XML'), ('YAML')) t(content_type)")
+def convert_all(spark, sf_dir):
+    """Nested orders survive in the four formats that can hold lists of objects."""
+    v = spark.createDataFrame([], "id string, input_chunk_id string, schema_id string, output_chunk_id string")
+    fresh, _ = generation.format_conversions(_json_chunks(spark, sf_dir), v)
+    return fresh.groupBy("content_type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, '{"n": ' || l_linenumber || ', "part": ' || l_partkey || '}' AS line FROM lineitem),
+a AS (SELECT l_orderkey, string_agg(line, ', ' ORDER BY l_linenumber) AS lines FROM l GROUP BY 1)
+SELECT o_orderkey AS id, '$' AS path, ('{"key": ' || o_orderkey || ', "status": "' || o_orderstatus || '", "lines": [' || lines || ']}') AS content FROM orders JOIN a ON o_orderkey = l_orderkey
+UNION ALL SELECT l_orderkey, '$.lines', '[' || lines || ']' FROM a
+UNION ALL SELECT l_orderkey, '$.lines[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line) - 1) || ']', line FROM l""")
+def sub_json(spark, sf_dir):
+    return _order_json(spark, sf_dir).select("id", F.explode(udfs.parts("content", F.lit(7))).alias("p")).select("id", "p.path", "p.content")
+
+
+@query("SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def sub_documents(spark, sf_dir):
+    """Each order gives one sub-document: a fifth of its parts, one at the least; parts equal in text are one row."""
+    got = generation.sub_documents(_json_chunks(spark, sf_dir), source="documents", least=0, share=0.0)
+    return got.select("parent_document_id").distinct().agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN '{"type":["object","null"],"properties":{"k":{"type":["integer","null"]}},"required":["k"],"additionalProperties":false}' ELSE '-' END AS schema,
+CASE WHEN event_type = 'click' THEN 'updated' ELSE 'deleted' END AS status FROM events""")
+def normalise_schema(spark, sf_dir):
+    raw = F.when(F.col("event_type") == "click", F.lit('{"type": "object", "title": "x", "properties": {"k": {"type": "integer", "minLength": 3}}}')).otherwise(F.lit('{"anyOf": []}'))
+    told = _t(spark, sf_dir, "events").select("event_id", udfs.strict(raw).alias("s"))
+    return told.select("event_id", F.coalesce(F.replace("s.schema", F.lit(" "), F.lit("")), F.lit("-")).alias("schema"), "s.status")
+
+
+@query("""SELECT event_id, '{"type": ["object", "null"], "properties": {"k": {"type": ["integer", "null"]}}, "required": ["k"], "additionalProperties": false}' AS schema FROM events""")
+def infer_schema(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", udfs.inferred("props").alias("schema"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) <= 50 AS ok FROM events")
+def validate_instances(spark, sf_dir):
+    schema = json.dumps({"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}, "required": ["k"], "additionalProperties": False})
+    return _t(spark, sf_dir, "events").select("event_id", udfs.validation_error("props", F.lit(schema)).isNull().alias("ok"))
+
+
+@query("SELECT path, 1::BIGINT AS n FROM (VALUES ('properties.lines'), ('properties.lines.items')) t(path)")
+def sub_schema(spark, sf_dir):
+    return generation.sub_schemas(_schemas(spark)).groupBy(F.get_json_object("meta", "$.extraction_path").alias("path")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS n, 'order' AS schema_id FROM lineitem")
+def map_chunks(spark, sf_dir):
+    open_ = _json_chunks(spark, sf_dir).withColumn("schema_id", F.lit(None).cast("string"))
+    return retrieval.map_chunks(open_, _schemas(spark)).groupBy("schema_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT l_orderkey) AS n FROM lineitem")
+def infer_for_chunks(spark, sf_dir):
+    return generation.inferred_schemas(_json_chunks(spark, sf_dir).withColumn("schema_id", F.lit(None).cast("string"))).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'other' AS schema_id")
+def chunks_for_schemas(spark, sf_dir):
+    return generation.generated_chunks(_schemas(spark), _json_chunks(spark, sf_dir)).select("schema_id")
+
+
+@query()
+def vary_schema(spark, sf_dir):
+    return generation.varied_schemas(_json_chunks(spark, sf_dir), _schemas(spark), 2)
+
+
+@query()
+def augment(spark, sf_dir):
+    return sampling.augmented(_samples(spark, sf_dir))
+
+
+@query("SELECT count(*) // 4 AS n FROM events")
+def negative_samples(spark, sf_dir):
+    return sampling.negative_samples(_samples(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+@query()
+def tabular(spark, sf_dir):
+    return generation.synthetic_tables(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+@query()
+def diff_metrics(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    wrong = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit("k"), F.lit("key"))).when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props"))
+    r = e.select("event_id", wrong.alias("completion"), F.lit(None).cast("string").alias("schema"), F.col("props").alias("correct_answer"), F.lit(None).cast("string").alias("request_error"), F.lit(None).cast("string").alias("synthetic_type"))
+    return evaluation.scored(r).select("event_id", "error_type", "correct", "diff_lines", "chars_added", "chars_missing", "similarity")
+
+
+@query("""SELECT CASE WHEN event_id % 3 = 0 THEN 'content' WHEN event_id % 5 = 0 THEN 'json' ELSE '-' END AS error_type, count(*) AS n,
+sum(CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 5 = 0 THEN NULL ELSE 0 END)::BIGINT AS diff_lines FROM events GROUP BY 1""")
+def sample_metrics(spark, sf_dir):
+    return diff_metrics(spark, sf_dir).groupBy(F.coalesce("error_type", F.lit("-")).alias("error_type")).agg(F.count("*").alias("n"), F.sum("diff_lines").alias("diff_lines"))
+
+
+# Layouts
+
+
+@query("SELECT count(*) AS n, count(DISTINCT conv_id || ':' || turn) AS ids FROM conversations")
+def layout_records(spark, sf_dir):
+    out = layouts.raw_records(_t(spark, sf_dir, "conversations"), "conversations")["source_documents"]
+    return out.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query("SELECT CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) <= 50 THEN 'ok' ELSE 'answer doesn''t fit' END AS status, count(*) AS n FROM events GROUP BY 1")
+def layout_schema_answer(spark, sf_dir):
+    schema = json.dumps({"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}})
+    rows = _t(spark, sf_dir, "events").select(F.lit(schema).alias("schema"), F.col("props").alias("response"))
+    return layouts.schema_and_answer(rows, "events")["status"]

@@ -31,7 +31,7 @@ def differences(answer: Any, correct: Any) -> tuple[int, int, int, float]:
     changes = [x for x in list(difflib.unified_diff(lines(correct), lines(answer), n=0, lineterm=""))[2:] if not x.startswith("@@")]
     plus = sum(x.startswith("+") for x in changes)
     a, c = minified(answer), minified(correct)
-    return max(plus, len(changes) - plus), unmatched(a, c), unmatched(c, a), similarity(a, c)
+    return max(plus, len(changes) - plus), unmatched(a, c), unmatched(c, a), similarity(c, a)
 
 
 def postprocessed(text: str) -> Any:

@@ -36,7 +36,8 @@ def content_signature(text: Column | str) -> Column:
 
 def dataset_signature(*metas: tuple[Column, Column]) -> Column:
     """source:index of the first (source, meta) whose meta has a source_dataset_index."""
-    return F.coalesce(*[F.concat_ws(":", s, F.get_json_object(m, "$.source_dataset_index")) for s, m in [(F.when(F.get_json_object(m, "$.source_dataset_index").isNotNull(), s), m) for s, m in metas]])
+    index = lambda m: F.get_json_object(m, "$.source_dataset_index")
+    return F.coalesce(*[F.concat(s, F.lit(":"), index(m)) for s, m in metas])
 
 
 def signatures(conversions: DataFrame, chunks: DataFrame, schemas: DataFrame, documents: DataFrame) -> DataFrame:

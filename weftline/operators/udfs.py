@@ -10,12 +10,22 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import formats, json_schema, json_values, scores
 from weftline.functions.json_values import or_none
 
 
-def text_function(f: Callable[[str], Any], kind: str = "string") -> Callable[..., Column]:
+STRING, BOOLEAN, LONG, DOUBLE = T.StringType(), T.BooleanType(), T.LongType(), T.DoubleType()
+PARTS = T.ArrayType(T.StructType([T.StructField("path", STRING), T.StructField("content", STRING)]))
+
+
+def struct_of(**members: T.DataType) -> T.StructType:
+    """Types as objects: unlike type texts they need no session when a module is imported."""
+    return T.StructType([T.StructField(k, v) for k, v in members.items()])
+
+
+def text_function(f: Callable[[str], Any], kind: T.DataType = T.StringType()) -> Callable[..., Column]:
     """A function of one text as a column function."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -29,17 +39,17 @@ def text_function(f: Callable[[str], Any], kind: str = "string") -> Callable[...
 minified = text_function(json_values.minified_text)
 index_text = text_function(or_none(lambda x: json_values.index_text(json.loads(x))))
 null_free = text_function(or_none(lambda x: json.dumps(json_values.without_nulls(json.loads(x)))))
-blocks = text_function(lambda x: [json.dumps(v) for v in json_values.fenced(x)], "array<string>")
+blocks = text_function(lambda x: [json.dumps(v) for v in json_values.fenced(x)], T.ArrayType(STRING))
 uncommented = text_function(json_values.without_comments)
-schema_ok = text_function(json_schema.compiles, "boolean")
-schema_quality = text_function(lambda x: bool(or_none(lambda y: json_schema.good_quality(json.loads(y)))(x)), "boolean")
+schema_ok = text_function(json_schema.compiles, BOOLEAN)
+schema_quality = text_function(lambda x: bool(or_none(lambda y: json_schema.good_quality(json.loads(y)))(x)), BOOLEAN)
 inferred = text_function(or_none(lambda x: json.dumps(json_schema.infer(json.loads(x)))))
 null_result = text_function(or_none(lambda x: json.dumps(json_schema.null_result(json.loads(x)))))
 
 
-def struct_function(f: Callable[..., dict[str, Any]], kind: str) -> Callable[..., Column]:
+def struct_function(f: Callable[..., dict[str, Any]], kind: T.StructType) -> Callable[..., Column]:
     """A function of texts that gives a struct."""
-    names = [x.split(" ")[0] for x in kind.split(", ")]
+    names = kind.fieldNames()
 
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for cols in batches:
@@ -57,18 +67,18 @@ def struct_function(f: Callable[..., dict[str, Any]], kind: str) -> Callable[...
     return F.pandas_udf(chosen, kind)
 
 
-_STATUS = "schema string, status string, error string"
+_STATUS = struct_of(schema=STRING, status=STRING, error=STRING)
 strict = struct_function(lambda x: json_schema.status(x, "strict"), _STATUS)
 expand = struct_function(lambda x: json_schema.status(x, "expand"), _STATUS)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def validation_error(values: pd.Series, schemas: pd.Series) -> pd.Series:
     """What is wrong with a JSON text under a schema text; null if nothing. A worker compiles each schema once."""
     return pd.Series([json_schema.check(v, s) for v, s in zip(values, schemas)], dtype=object)
 
 
-@F.pandas_udf("text string, options string, error string")
+@F.pandas_udf(struct_of(text=STRING, options=STRING, error=STRING))
 def convert(values: pd.Series, names: pd.Series, seeds: pd.Series) -> pd.DataFrame:
     """A JSON text in a format: the text, the format's options, or why it can't be told."""
     out = []
@@ -81,7 +91,7 @@ def convert(values: pd.Series, names: pd.Series, seeds: pd.Series) -> pd.DataFra
     return pd.DataFrame(out, columns=["text", "options", "error"], dtype=object)
 
 
-@F.pandas_udf("array<struct<path:string,content:string>>")
+@F.pandas_udf(PARTS)
 def parts(values: pd.Series, depths: pd.Series) -> pd.Series:
     """The objects and lists within a JSON text, outer ones first."""
 
@@ -94,7 +104,7 @@ def parts(values: pd.Series, depths: pd.Series) -> pd.Series:
     return pd.Series([f(v, d) for v, d in zip(values, depths)], dtype=object)
 
 
-@F.pandas_udf("array<struct<path:string,content:string>>")
+@F.pandas_udf(PARTS)
 def schema_parts(values: pd.Series) -> pd.Series:
     """The sub-schemas of a schema text, expanded."""
 
@@ -107,14 +117,14 @@ def schema_parts(values: pd.Series) -> pd.Series:
     return pd.Series([f(v) for v in values], dtype=object)
 
 
-@F.pandas_udf("error_type string, correct boolean, schema_ok boolean, diff_lines bigint, chars_added bigint, chars_missing bigint, similarity double")
+@F.pandas_udf(struct_of(error_type=STRING, correct=BOOLEAN, schema_ok=BOOLEAN, diff_lines=LONG, chars_added=LONG, chars_missing=LONG, similarity=DOUBLE))
 def assess(completion: pd.Series, schema: pd.Series, correct: pd.Series, request_error: pd.Series, synthetic_type: pd.Series) -> pd.DataFrame:
     rows = [scores.assess(*r) for r in zip(completion, schema, correct, request_error, synthetic_type)]
     df = pd.DataFrame(rows, columns=["error_type", "correct", "schema_ok", "diff_lines", "chars_added", "chars_missing", "similarity"], dtype=object)
     return df.astype({"diff_lines": "Int64", "chars_added": "Int64", "chars_missing": "Int64", "similarity": "Float64"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(STRING)
 def as_json(texts: pd.Series, kinds: pd.Series) -> pd.Series:
     """A text of a format as JSON; null if it isn't of that format."""
     return pd.Series([json_values.as_json(t, k) for t, k in zip(texts, kinds)], dtype=object)

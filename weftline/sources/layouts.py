@@ -13,7 +13,6 @@ from weftline.operators.cleaning import first_of
 from weftline.storage import materialise, meta, new_id
 
 Tables = dict[str, DataFrame]
-NONE = F.lit
 
 
 def _none() -> Column:

@@ -13,6 +13,7 @@ columns are read, and each row is answered by itself. Very long texts take time
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ from weftline.llm.common import slices
 SPACE = "▁"
 #: Distinct segments whose counts a worker remembers before it starts anew; a matter of speed only.
 REMEMBERED = 400_000
+#: Characters of a segment whose table is remembered.
+HEAD = 6
 
 
 class PrefixCounter:
@@ -36,14 +39,24 @@ class PrefixCounter:
         plain = [i for i in range(lib.get_piece_size()) if not (lib.IsControl(i) or lib.IsUnknown(i) or lib.IsByte(i) or lib.IsUnused(i))]
         self.score = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
         self.longest = max(map(len, self.score))
-        self._stable: dict[tuple[str, str], bool] = {}
+        self._stable: dict[str, dict[str, bool]] = defaultdict(dict)
+        self._heads: dict[str, tuple[list[int], list[str]]] = {}
         inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         # Text may be cut wherever no piece spans the cut: before a space mark that follows other text, and around
         # line ends, unless this model has pieces there.
         cut_space = not any(pair[1] == SPACE != pair[0] for pair in inner)
         cut_line = not any("\n" in pair for pair in inner)
-        other = rf"[^{SPACE}\n]" if cut_line else rf"[^{SPACE}]"
-        self._cut = re.compile((rf"{SPACE}*{other}+|{SPACE}+" + r"|\n" * cut_line) if cut_space else r"(?s).+").findall
+        line = r"\n" if cut_line else ""
+        whole = rf"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + rf"|{line}" * cut_line
+        self._cut = re.compile(whole if cut_space else r"(?s).+").findall
+        # Nor does a piece join ASCII punctuation to anything but spaces and a few characters; texts without those
+        # are cut there too, so that words are met again without their commas.
+        is_mark = lambda c: "!" <= c <= "~" and not c.isalnum()
+        joined = {c for pair in inner if is_mark(pair[0]) != is_mark(pair[1]) and SPACE not in pair for c in pair if not is_mark(c)}
+        self._odd = re.compile("[" + "".join(map(re.escape, joined)) + "]" if joined else r"(?!)").search
+        marks = re.escape("".join(c for c in map(chr, range(33, 127)) if is_mark(c)))
+        fine = rf"{SPACE}*[^{SPACE}{line}{marks}]+|{SPACE}*[{marks}]+|{SPACE}+" + rf"|{line}" * cut_line
+        self._cut_fine = re.compile(fine).findall if cut_space else self._cut
         self._total = _Totals(self)
         for text in ("Ab  cd\n e,f", f"x{SPACE}é中\U0001f600 \t", "<s> </s><unk>"):
             if self.count(text) != len(lib.encode(text)):
@@ -61,26 +74,43 @@ class PrefixCounter:
         return parts
 
     def _is_stable(self, left: str, right: str) -> bool:
-        if (known := self._stable.get((left, right))) is None:
-            known = self._stable[left, right] = self._merge(left + right) == ([left, right] if left else [right])
+        known = self._stable[left][right] = self._merge(left + right) == ([left, right] if left else [right])
         return known
 
     def _segment(self, text: str) -> list[int]:
-        """Counts after 0, 1, .. characters of a segment that no piece leaves."""
-        counts, last = [0], [""]
-        for end in range(1, len(text) + 1):
-            for width in range(min(self.longest, end), 0, -1):
-                piece = text[end - width : end]
-                if (width == 1 or piece in self.score) and self._is_stable(last[end - width], piece):
-                    counts.append(counts[end - width] + (1 if piece in self.score else len(piece.encode())))
-                    last.append(piece)
-                    break
+        """Counts after 0, 1, .. characters of a segment that no piece leaves. The table of a segment's first characters
+        is remembered, as many segments begin alike."""
+        head = text[:HEAD]
+        if (known := self._heads.get(head)) is None:
+            if len(self._heads) >= REMEMBERED:
+                self._heads.clear()
+            known = self._heads[head] = self._extend(head, [0], [""])
+        if len(text) == len(head):
+            return known[0]
+        return self._extend(text, known[0].copy(), known[1].copy())[0]
+
+    def _extend(self, text: str, counts: list[int], last: list[str]) -> tuple[list[int], list[str]]:
+        """Go on from a table of the first characters: counts of the prefixes, and the last piece of each."""
+        score, stable, longest = self.score, self._stable, self.longest
+        rows = [stable[x] for x in last]
+        for end in range(len(counts), len(text) + 1):
+            for begin in range(end - longest if end > longest else 0, end):
+                piece = text[begin:end]
+                if piece in score or begin == end - 1:
+                    ok = rows[begin].get(piece)
+                    if ok or ok is None and self._is_stable(last[begin], piece):
+                        counts.append(counts[begin] + (1 if piece in score else len(piece.encode())))
+                        last.append(piece)
+                        rows.append(stable[piece])
+                        break
             else:
                 raise AssertionError("no stable piece")
-        return counts
+        return counts, last
 
     def _segments(self, text: str) -> list[str]:
-        return self._cut(SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        return (self._cut if self._odd(text) else self._cut_fine)(SPACE + text.replace(" ", SPACE))
 
     def count(self, text: str | None) -> int:
         return sum(map(self._total.__getitem__, self._segments(text or "")))

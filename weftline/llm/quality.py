@@ -130,11 +130,23 @@ def grow(x: np.ndarray, y: np.ndarray, most: int, steps: int = 64) -> list[Test]
                         best, gain = Test(f, above, t), g
         if best is None:
             break
+        best = widened(best, x[inside], y[inside])
         rule.append(best)
         inside &= best.holds(x)
     return rule
 
 
+def widened(test: Test, x: np.ndarray, y: np.ndarray) -> Test:
+    """The same test on the rows at hand, its threshold halfway between the values that it leaves and the nearest bad
+    value that it covers, so that new good rows just beyond the old ones aren't hit."""
+    holds, v = test.holds(x), x[:, test.feature]
+    bad, left = v[holds & y], v[~holds]
+    if not len(bad) or not len(left):
+        return test
+    near, edge = (bad.min(), left.max()) if test.above else (bad.max(), left.min())
+    return Test(test.feature, test.above, float((near + edge) / 2))
+
+
 def prune(rule: list[Test], x: np.ndarray, y: np.ndarray) -> list[Test]:
     """The beginning of the rule that is worth most on rows it wasn't grown on; longer wins among equals."""
     def worth(r: list[Test]) -> float:

@@ -40,7 +40,7 @@ class Space:
         self.dim = dim
         self.letters: dict[int, list[np.ndarray]] = {}
         self.rows: dict[int, int] = {}
-        self.table = np.empty((1024, dim), np.float32)
+        self.table = np.empty((REMEMBERED, dim), np.int8)  # 1 KB a row in 1024 dimensions
         self.is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
     def _letter(self, code: int) -> list[np.ndarray]:
@@ -54,18 +54,23 @@ class Space:
         return a[0] * b[1] * c[2]
 
     def vectors(self, keys: np.ndarray) -> np.ndarray:
+        """Vectors of at most REMEMBERED keys, one a row."""
         if len(self.rows) + len(keys) > REMEMBERED:
             self.rows.clear()
-        need = len(self.rows) + len(keys)
-        if need > len(self.table):
-            self.table = np.concatenate([self.table, np.empty((2 * need - len(self.table), self.dim), np.float32)])
         at = np.empty(len(keys), np.int64)
         for i, k in enumerate(keys.tolist()):
             if (row := self.rows.get(k)) is None:
                 row = self.rows[k] = len(self.rows)
                 self.table[row] = self.vector(k)
             at[i] = row
-        return self.table[at]
+        return self.table[at].astype(np.float32)
+
+    def bundles(self, keys: np.ndarray, counts: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Sums of the n-gram vectors, weighed by the counts of each text."""
+        out = np.zeros((len(counts), self.dim), np.float32)
+        for k in range(0, len(keys), block):
+            out += counts[:, k : k + block] @ self.vectors(keys[k : k + block])
+        return out
 
     def grams(self, text: str | None) -> np.ndarray:
         """Keys of the n-grams of a text: letters in lower case, anything else one blank, a letter in the middle."""
@@ -126,53 +131,60 @@ def learn(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     return langs, out
 
 
-def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, cols: list[Column], text_col: str = "text") -> DataFrame:
-    """The given columns of docs with lang_pred and score, the cosine with the language's prototype (0 if below)."""
-    dim = prototypes.shape[1] if len(langs) else 1
-    norms = np.linalg.norm(prototypes, axis=1, keepdims=True) if len(langs) else 1
-    unit = (prototypes / np.where(norms == 0, 1, norms)).astype(np.float32)
-    source = docs.select(*cols, F.col(text_col).alias("__text"))
-    kept = source.columns[:-1]
+class Model:
+    """Languages in order and their prototypes, scaled to length 1."""
+
+    def __init__(self, langs: list[str], prototypes: np.ndarray) -> None:
+        norms = np.linalg.norm(prototypes, axis=1, keepdims=True)
+        self.langs, self.unit = langs, (prototypes / np.where(norms == 0, 1, norms)).astype(np.float32)
+
+    def told(self, texts: list[str | None], block: int = 64) -> tuple[list[str], list[float]]:
+        """Language and cosine of each text."""
+        preds, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if not self.langs:
+            return preds, scores
+        sp = space(self.unit.shape[1])
+        for at in range(0, len(texts), block):
+            keys, counts = counted(sp, texts[at : at + block])
+            if not len(keys):
+                continue
+            vectors = sp.bundles(keys, counts)
+            length = np.linalg.norm(vectors, axis=1)
+            cosines = (vectors @ self.unit.T) / np.where(length == 0, 1, length)[:, None]
+            for i, (best, row, some) in enumerate(zip(cosines.argmax(1).tolist(), cosines, counts.any(1).tolist())):
+                if some:
+                    preds[at + i], scores[at + i] = self.langs[best], min(1.0, max(0.0, float(row[best])))
+        return preds, scores
+
+
+def is_held(id_col: str, folds: int = 4, held: int = 2) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held, F.lit(False))
+
+
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options: object) -> DataFrame:
+    """Per row: doc_id, held_out, lang_pred, score. Learns from the rows that aren't held out by crc32 of the id."""
+    model = Model(*learn(docs.where(~is_held(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col, **options))
+    cols = docs.select(F.col(id_col).alias("doc_id"), is_held(id_col).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = space(dim)
         for batch in batches:
-            for part in slices(batch, "__text", 1 << 19):
-                preds, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
-                if langs:
-                    texts = part.column("__text").to_pylist()
-                    for at in range(0, len(texts), 128):
-                        keys, counts = counted(sp, texts[at : at + 128])
-                        if not len(keys):
-                            continue
-                        vectors = np.zeros((len(counts), dim), np.float32)
-                        for k in range(0, len(keys), 8192):
-                            vectors += counts[:, k : k + 8192] @ sp.vectors(keys[k : k + 8192])
-                        length = np.linalg.norm(vectors, axis=1)
-                        cosines = (vectors @ unit.T) / np.where(length == 0, 1, length)[:, None]
-                        for i, (best, row, some) in enumerate(zip(cosines.argmax(1).tolist(), cosines, counts.any(1).tolist())):
-                            if some:
-                                preds[at + i], scores[at + i] = langs[best], min(1.0, max(0.0, float(row[best])))
-                arrays = [part.column(c) for c in kept] + [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, [*kept, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
-
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-
-
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, **options: object) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score. Learns from the rows that aren't held out by crc32 of the id."""
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held, F.lit(False))
-    langs, prototypes = learn(docs.where(~held_out), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    return predict(docs, langs, prototypes, [F.col(id_col).alias("doc_id"), held_out.alias("held_out")], text_col)
+            for part in slices(batch, "text", 1 << 19):
+                preds, scores = model.told(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.05, **options: object) -> DataFrame:
     """The rows of docs, all columns, whose language is identified with a score of at least `least`. Cosines of unrelated
     vectors spread by 0.03 in 1024 dimensions, and short texts have low ones in their own language, so only what is
     hardly above chance is rejected."""
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    langs, prototypes = learn(docs.where(~held_out), id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    told = predict(docs, langs, prototypes, [F.struct("*").alias("row")], text_col)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    model = Model(*learn(docs.where(~is_held(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col, **options))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, 1 << 19):
+                preds, scores = model.told(part.column(text_col).to_pylist())
+                yield part.filter(pa.array([p != UNKNOWN and c >= least for p, c in zip(preds, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.storage import materialise
@@ -67,9 +67,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("old"))
         jump = step.join(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), "to").select("node", F.least("to", "far").alias("label"), "old")
-        new = materialise(jump, "labels")
-        labels = new.select("node", "label")
-        if not new.where("label < old").limit(1).count():
+        moved = Observation()  # counted while the round is written
+        labels = materialise(jump.observe(moved, F.count_if(F.col("label") < F.col("old")).alias("n")), "labels").select("node", "label")
+        if not moved.get["n"]:
             return labels
 
 

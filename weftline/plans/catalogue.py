@@ -625,7 +625,7 @@ def negative_samples(spark, sf_dir):
 
 @query()
 def tabular(spark, sf_dir):
-    return generation.synthetic_tables(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
+    return generation.synthetic_tables(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).repartition(spark.sparkContext.defaultParallelism))
 
 
 @query()

@@ -28,6 +28,12 @@ def text(value, name):
     [
         ("HTML", PAIR[0], "<table><thead><tr><th>name</th><th>age</th></tr></thead><tbody><tr><td>Ann</td><td>41</td></tr></tbody></table>"),
         ("HTML", NESTED, "<table><thead><tr><th>name</th><th>details</th></tr></thead><tbody><tr><td>Ann</td><td>age</td><td>41</td></tr><tr><td></td><td>city</td><td>Rome</td></tr></tbody></table>"),
+        ("HTML", {"a": {"x": 1, "y": "p"}, "b": {"z": 2.5}}, "<table><tbody><tr><td>a</td><td>x</td><td>1</td></tr><tr><td></td><td>y</td><td>p</td></tr><tr><td>b</td><td>z</td><td>2.5</td></tr></tbody></table>"),
+        ("MARKDOWN", {"a_b": "*x", "c": 2}, "| a\\_b | c |\n| --- | --- |\n| \\*x | 2 |"),
+        ("CSV", [{"a": 1}, {"b": "x"}], "a,b\n1,\n,x\n"),
+        ("CSV", {"a": "", "b": 1}, "a,b\n,1\n"),
+        ("SQL", [{"a": -3, "b": True}, {"b": False, "a": None}], "INSERT INTO users (a, b) VALUES (-3, True), (NULL, False);"),
+        ("XML", {"1": 5}, '<root><n1 type="int">5</n1></root>'),
         ("MARKDOWN", PAIR, "| name | age |\n| --- | --- |\n| Ann | 41 |\n| Bo | 7 |"),
         ("CSV", PAIR, "name,age\nAnn,41\nBo,7\n"),
         ("CSV", NESTED, "name,details.age,details.city\nAnn,41,Rome\n"),
@@ -45,7 +51,7 @@ def test_written_texts(name, value, want):
 
 @pytest.mark.parametrize(
     ("name", "value"),
-    [(n, v) for n in f.FORMATS for v in ({}, [])] + [("HTML", [{"a": 1}, {"b": 2}]), ("MARKDOWN", [{"a": 1}, {"b": 2}]), ("MARKDOWN", NESTED), ("SQL", NESTED), ("CSV", DEEP), ("HTML", {"a": True}), ("HTML", {"a": "12"}), ("HTML", PAIR[:1]), ("CSV", {"a": -3}), ("CSV", {"a": "x,y"}), ("SQL", {"a": "it's"}), ("SQL", {"a": "f(x)"}), ("XML", {"a": "<b>"}), ("XML", [1, 2])],
+    [(n, v) for n in f.FORMATS for v in ({}, [])] + [("HTML", [{"a": 1}, {"b": 2}]), ("MARKDOWN", [{"a": 1}, {"b": 2}]), ("MARKDOWN", NESTED), ("SQL", NESTED), ("CSV", DEEP), ("HTML", {"a": True}), ("HTML", {"a": "12"}), ("HTML", PAIR[:1]), ("CSV", {"a": -3}), ("CSV", {"a": "x,y"}), ("SQL", {"a": "it's, so"}), ("SQL", {"a": "f(x)"}), ("XML", {"a": "<b>"}), ("XML", {"a": "it's"}), ("XML", {"a b": 1}), ("XML", [1, 2]), ("HTML", {"a": None}), ("HTML", [{"a": {"b": 1}}, {"a": {"b": 2}}]), ("HTML", {"n": {"x": 1, "y": 2}, "s": 1}), ("HTML", {"s": 1, "t": 2, "n": {"x": 1, "y": 2}}), ("HTML", {"s": 1, "n": {"x": 1}}), ("MARKDOWN", {"a": "x|y"}), ("CSV", {"a": ""}), ("SQL", {"a": 1e20}), ("SQL", {"a": "[1]"})],
 )
 def test_documents_that_do_not_survive(name, value):
     assert text(value, name) is None and f.converted(value, name)[2]

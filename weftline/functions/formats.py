@@ -11,12 +11,12 @@ import json
 import re
 import tomllib
 from collections.abc import Callable
-from html import escape
+from html import escape, unescape
 from typing import Any
 
 import yaml
 
-from weftline.functions.json_values import without_nulls
+from weftline.functions.json_values import parse, parsed_or_text, without_nulls
 
 
 class Unfit(ValueError):
@@ -119,13 +119,14 @@ class PythonText(Format):
 
 def rows_of(value: Any) -> list[dict[str, Any]]:
     rows = [value] if isinstance(value, dict) else value
-    if not rows or not all(isinstance(r, dict) and r for r in rows):
+    if not all(isinstance(r, dict) for r in rows):
         raise Unfit("only objects and lists of objects are tables")
     return rows
 
 
 def _number(text: str) -> Any:
-    """What a table's cell says: nothing, an integer, a number, or text."""
+    """What a table's cell says, without blanks around it: nothing, an integer, a number, or text."""
+    text = text.strip()
     if text == "":
         return None
     for kind in (int, float):
@@ -136,70 +137,75 @@ def _number(text: str) -> Any:
     return text
 
 
+Rows = list[list[str]]
+
+
 class HtmlTable(Format):
-    """A head of the first object's keys and a row for each object. A nested object fills rows of name and value
-    cells; the further ones begin with blanks for the columns before."""
+    """A head of the first object's keys and a row for each object, every value as its text. Two nested forms are told
+    as rows of (key, name, value), where further names of a key leave its cell blank: an object of a value and then an
+    object, under a head, and an object of objects, without one."""
 
     name = "HTML"
 
-    def table(self, value: Any) -> tuple[list[str], list[list[str]]]:
+    def cells(self, value: Any) -> tuple[list[str] | None, Rows]:
+        """The head, or None, and the body."""
         rows = rows_of(value)
-        head, body = list(rows[0]), []
-        for row in rows:
-            if set(row) != set(head):
-                raise Unfit("objects have different keys")
-            lines: list[list[str]] = [[]]
-            for k in head:
-                cell = row[k]
-                if isinstance(cell, dict):
-                    if len(lines) > 1 or k != head[-1] or not cell or any(isinstance(v, (dict, list)) for v in cell.values()):
-                        raise Unfit("only a last, flat object may be nested")
-                    pairs = [[str(a), "" if b is None else str(b)] for a, b in cell.items()]
-                    lines = [lines[0] + pairs[0]] + [[""] * len(lines[0]) + p for p in pairs[1:]]
-                else:
-                    lines[0].append("" if cell is None else str(cell))
-            body += lines
-        return head, body
+        head = list(rows[0])
+        inner = [v for v in value.values() if isinstance(v, dict)] if isinstance(value, dict) else []
+        if not inner:
+            return head, [[str(r[k]) for k in head] for r in rows]
+        if len(inner) == len(head):
+            return None, [[k if i == 0 else "", str(n), str(v)] for k, d in value.items() for i, (n, v) in enumerate(d.items())]
+        if len(head) != 2 or not isinstance(value[head[1]], dict):
+            raise Unfit("no table of this nesting leads back")
+        return head, [[str(value[head[0]]) if i == 0 else "", str(n), str(v)] for i, (n, v) in enumerate(inner[0].items())]
 
     def write(self, value: Any, **options: Any) -> str:
-        head, body = self.table(value)
-        cells = lambda tag, row: "<tr>" + "".join(f"<{tag}>{escape(c, quote=False)}</{tag}>" for c in row) + "</tr>"
-        return f"<table><thead>{cells('th', head)}</thead><tbody>{''.join(cells('td', r) for r in body)}</tbody></table>"
+        head, body = self.cells(value)
+        line = lambda tag, row: "<tr>" + "".join(f"<{tag}>{escape(c, quote=False)}</{tag}>" for c in row) + "</tr>"
+        top = "" if head is None else f"<thead>{line('th', head)}</thead>"
+        return f"<table>{top}<tbody>{''.join(line('td', r) for r in body)}</tbody></table>"
 
     def load(self, text: str) -> Any:
-        from html import unescape
-
-        row_cells = [[unescape(c) for c in re.findall(r"<t[hd]>(.*?)</t[hd]>", r, flags=re.S)] for r in re.findall(r"<tr>(.*?)</tr>", text, flags=re.S)]
-        return self.objects(row_cells[0], row_cells[1:])
-
-    def objects(self, head: list[str], body: list[list[str]]) -> Any:
-        out: list[dict[str, Any]] = []
-        for cells in body:
-            if len(cells) == len(head) + 1:
-                if out and len(head) > 1 and not any(cells[: len(head) - 1]):
-                    out[-1][head[-1]][cells[-2]] = _number(cells[-1])
-                    continue
-                out.append({**dict(zip(head, map(_number, cells[: len(head) - 1]))), head[-1]: {cells[-2]: _number(cells[-1])}})
+        lines = [(m[0].startswith("<tr><th"), [unescape(c) for c in re.findall(r"<t[hd]>(.*?)</t[hd]>", m[0], flags=re.S)]) for m in re.finditer(r"<tr>.*?</tr>", text, flags=re.S)]
+        if not lines:
+            return {}
+        if lines[0][0]:
+            return self.value(lines[0][1], [r for _, r in lines[1:]])
+        return self.value(None, [r for _, r in lines])
+
+    def value(self, head: list[str] | None, body: Rows) -> Any:
+        if head is not None and not (len(body) > 1 and any(len(r) > len(head) for r in body)):
+            out = [{k: _number(c) for k, c in zip(head, r)} for r in body]
+            return out[0] if len(body) == 1 and len(body[0]) == len(head) else out
+        told: dict[str, Any] = {}
+        at = None
+        for key, name, cell in (r for r in body if len(r) == 3):
+            if head is not None:
+                if key:
+                    told[head[0]] = _number(key)
+                told.setdefault(head[1], {})[name.strip()] = _number(cell)
             else:
-                out.append(dict(zip(head, map(_number, cells))))
-        return out[0] if len(out) == 1 else out
+                at = key or at
+                told.setdefault(at, {})[name] = _number(cell)
+        return told
 
 
 class MarkdownTable(HtmlTable):
-    """A pipe table of flat objects."""
+    """A pipe table of flat objects. Stars and underscores are escaped; pipes and line ends in values don't survive."""
 
     name = "MARKDOWN"
 
     def write(self, value: Any, **options: Any) -> str:
-        head, body = self.table(value)
-        if any(len(r) != len(head) for r in body):
+        head, body = self.cells(value)
+        if head is None or any(len(r) != len(head) for r in body):
             raise Unfit("no nested objects")
-        line = lambda cells: "| " + " | ".join(c.replace("\n", " ") for c in cells) + " |"
-        return "\n".join([line(head), line(["---"] * len(head)), *map(line, body)])
+        line = lambda row: "| " + " | ".join(re.sub(r"([*_])", r"\\\1", c).replace("\n", " ") for c in row) + " |"
+        return "\n".join([line(head), "| " + " | ".join(["---"] * len(head)) + " |", *map(line, body)])
 
     def load(self, text: str) -> Any:
-        rows = [[c.strip() for c in line.strip().strip("|").split("|")] for line in text.strip().split("\n")]
-        return self.objects(rows[0], rows[2:])
+        rows = [[re.sub(r"\\([*_])", r"\1", c.strip()) for c in line.strip()[1:-1].split("|")] for line in text.strip().split("\n")]
+        return self.value(rows[0], rows[2:])
 
 
 class CsvText(Format):
@@ -212,7 +218,7 @@ class CsvText(Format):
         for k, v in row.items():
             if isinstance(v, dict):
                 out |= self.flat(v, f"{before}{k}.")
-            elif isinstance(v, list) and any(isinstance(x, dict) for x in v):
+            elif isinstance(v, list) and v and isinstance(v[0], dict):
                 raise Unfit("lists of objects aren't cells")
             else:
                 out[before + k] = str(v)
@@ -236,14 +242,13 @@ class CsvText(Format):
         return text
 
     def load(self, text: str) -> Any:
-        head, *lines = [line.split(",") for line in text.split("\n")[:-1]]
+        """A blank cell is an absent member where there are several rows, and an empty text where there is one."""
+        head, *lines = [line.split(",") for line in text.strip().split("\n")]
         out = []
         for cells in lines:
-            if len(cells) != len(head):
-                raise Unfit("a row has other cells than the head")
             row: dict[str, Any] = {}
             for k, c in zip(head, cells):
-                if c == "":
+                if c == "" and len(lines) > 1:
                     continue
                 *path, last = k.split(".")
                 at = row
@@ -251,83 +256,100 @@ class CsvText(Format):
                     at = at.setdefault(p, {})
                 at[last] = self.cell(c)
             out.append(row)
-        return out[0] if len(out) == 1 else out
+        return out[0] if len(out) == 1 else out or {}
 
 
 class SqlInsert(Format):
     """One INSERT statement; strings aren't escaped, so quotes and brackets in values don't survive."""
 
     name = "SQL"
-    _value = re.compile(r"'([^']*)'|([^,'()]+)")
+    _statement = re.compile(r"INSERT INTO users \(([^)]+)\) VALUES (.+);")
+    _literal = re.compile(r"(?:[^,']|'[^']*(?:'|$))+")
 
     def literal(self, v: Any) -> str:
         if isinstance(v, (dict, list)):
             raise Unfit("nested values aren't literals")
-        if v is None or isinstance(v, bool):
-            return {None: "NULL", True: "TRUE", False: "FALSE"}[v]
-        return f"'{v}'" if isinstance(v, str) else str(v)
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
 
     def write(self, value: Any, **options: Any) -> str:
         rows = rows_of(value)
         head = list(rows[0])
-        if any(list(r) != head for r in rows):
-            raise Unfit("objects have different keys")
         tuples = ", ".join("(" + ", ".join(self.literal(r[k]) for k in head) + ")" for r in rows)
         return f"INSERT INTO users ({', '.join(head)}) VALUES {tuples};"
 
+    def meaning(self, text: str) -> Any:
+        if text == "NULL":
+            return None
+        if len(text) > 1 and text[0] == text[-1] == "'":
+            inside = text[1:-1]
+            return parsed_or_text(inside) if inside[:1] in ("{", "[") else inside
+        if text.removeprefix("-").isdigit():
+            return int(text)
+        if "." in text:
+            try:
+                return float(text)
+            except ValueError:
+                return text
+        return {"true": True, "false": False}.get(text.lower(), text)
+
     def load(self, text: str) -> Any:
-        m = re.fullmatch(r"INSERT INTO users \(([^)]*)\) VALUES (.*);", text, flags=re.S)
+        m = self._statement.match(text.strip())
         if not m:
             raise Unfit("no INSERT statement")
-        head, out = m[1].split(", "), []
-        for body in re.findall(r"\(([^)]*)\)", m[2]):
-            cells: list[Any] = []
-            for quoted, bare in self._value.findall(body):
-                bare = bare.strip()
-                if bare:
-                    words = {"NULL": None, "TRUE": True, "FALSE": False}
-                    cells.append(words[bare] if bare in words else _number(bare))
-                elif quoted or not bare and f"'{quoted}'" in body:
-                    cells.append(quoted)
-            if len(cells) != len(head):
-                raise Unfit("a tuple has other values than the columns")
+        head = [k.strip() for k in m[1].split(",")]
+        out = []
+        for body in re.findall(r"\(([^)]+)\)", m[2]):
+            cells = [self.meaning(c.strip()) for c in self._literal.findall(body)]
+            if len(cells) < len(head):
+                raise Unfit("a tuple has fewer values than columns")
             out.append(dict(zip(head, cells)))
         return out[0] if len(out) == 1 else out
 
 
+_XML_NAME = re.compile(r"[^\W\d][\w.-]*")
+
+
 class XmlText(Format):
     """Elements by key with their types as attributes, list members as `item`. A text stands for a value if it has
     the value's top-level names and scalars."""
 
     name = "XML"
 
-    def element(self, name: str, v: Any, attributes: bool = True) -> str:
-        kind = "null" if v is None else type(v).__name__
+    def escaped(self, text: str) -> str:
+        return escape(text, quote=False).replace('"', "&quot;").replace("'", "&apos;")
+
+    def tag(self, key: str) -> tuple[str, str]:
+        """Name and attributes: numbers get a letter, blanks an underscore, what is no name goes into an attribute."""
+        for name in (key, "n" + key if key.isdigit() else key, key.replace(" ", "_")):
+            if _XML_NAME.fullmatch(name):
+                return name, ""
+        return "key", f' name="{self.escaped(key)}"'
+
+    def element(self, key: str, v: Any, typed: bool = True) -> str:
+        name, attributes = self.tag(key)
+        if typed:
+            attributes += f' type="{"null" if v is None else type(v).__name__}"'
         if isinstance(v, dict):
             inner = "".join(self.element(k, x) for k, x in v.items())
         elif isinstance(v, list):
             inner = "".join(self.element("item", x) for x in v)
         else:
-            inner = "" if v is None else str(v).lower() if isinstance(v, bool) else escape(str(v), quote=False)
-        return f'<{name} type="{kind}">{inner}</{name}>' if attributes else f"<{name}>{inner}</{name}>"
+            inner = "" if v is None else str(v).lower() if isinstance(v, bool) else self.escaped(str(v))
+        return f"<{name}{attributes}>{inner}</{name}>"
 
     def write(self, value: Any, **options: Any) -> str:
-        return self.element("root", value, attributes=False)
+        return self.element("root", value, typed=False)
 
     def load(self, text: str) -> Any:
-        from weftline.functions.json_values import parse
-
         return parse(text, "XML")
 
     def check(self, value: Any, text: str) -> bool:
-        for row in [value] if isinstance(value, dict) else value:
-            if not isinstance(row, dict):
-                raise Unfit("lists of scalars aren't told")
-            for k, v in row.items():
-                scalar = "" if v is None or isinstance(v, (dict, list)) else str(v).lower() if isinstance(v, bool) else str(v)
-                if k not in text or scalar not in text:
-                    return False
-        return True
+        if isinstance(value, list):
+            return all(self.check(v, text) for v in value)
+        if not isinstance(value, dict):
+            raise Unfit("lists of scalars aren't told")
+        told = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else "" if isinstance(v, (dict, list)) else str(v)
+        return all(k in text and told(v) in text for k, v in value.items())
 
 
 FORMATS: dict[str, Format] = {}

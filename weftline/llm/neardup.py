@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import materialise, slices, split_words
+from weftline.operators.graph import components
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 BANDS, ROWS = 48, 5
@@ -120,7 +121,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
         return p, q, dp, dq
 
     low, high = np.zeros(len(u)), top.copy()
-    for _ in range(40):
+    for _ in range(24):
         j = (low + high) / 2
         p, q, dp, dq = parts(j)
         slope = up * dp / p + down * dq / q - same * (dp + dq) / np.maximum(1 - p - q, 1e-12)
@@ -146,7 +147,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 flat, ends = shingle_sets(part.column("text"))
                 regs = registers(flat, ends, m)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(set_keys(flat, ends), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
@@ -158,9 +159,20 @@ def _registers(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
+SLOTS = 1 << 18
+
+
+def _touched(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id may be among ids: a semi-join on hashed ids, of which there are at most SLOTS, so
+    that the broadcast has a bound. It drops most rows before a shuffle; the join that follows is exact."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    return df.join(F.broadcast(ids.select(slot.alias("__slot")).distinct()), slot == F.col("__slot"), "left_semi")
+
+
 def _passing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that may be linked by their registers."""
-    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias("n" + c), F.col("registers").alias("r" + c))
+    some = materialise(_touched(sketches, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "touched")
+    side = lambda c: some.select(F.col("doc_id").alias(c), F.col("n_shingles").alias("n" + c), F.col("registers").alias("r" + c))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -171,11 +183,9 @@ def _passing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. A semi-join on hashed ids, of which there are at most
-    2**18, drops most documents without a pair; what is left is written once and joined by id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 18))
-    some = docs.join(F.broadcast(ids.select(slot.alias("__slot")).distinct()), slot == F.col("__slot"), "left_semi")
+    """The pairs whose full shingle sets reach the threshold. The texts of documents in pairs are written once and
+    joined by id."""
+    some = _touched(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     some = materialise(some.dropDuplicates(["doc_id", "text"]), "texts")
     side = lambda c: some.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c))
 
@@ -201,23 +211,6 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset([tuple(words)] if words else [])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that each node of the edges (a, b) reaches. Labels fall by the least label among
-    neighbours and by following labels (pointer jumping), so the rounds grow with the logarithm of the diameter. Each
-    round is written to the shared folder; sides of the joins are plain scans or pre-aggregated."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("old"))
-        jump = step.join(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), "to").select("node", F.least("to", "far").alias("label"), "old")
-        new = materialise(jump, "labels")
-        moved = new.where("label < old").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels
-
-
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     threshold = percent / 100
@@ -246,19 +239,31 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     rest = materialise(rest, "rest")
     still = materialise(rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "open")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    facing = rest.join(still, "key").join(reps, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int"))
+    rest = materialise(rest.join(still, "key"), "rest")
+    facing = rest.join(_touched(reps, rest.select("doc_id")), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int"))
     facing = facing.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def across(x: pd.DataFrame) -> pd.DataFrame:
         regs, n, ids, labels, own = _registers(x["registers"]), x["n_shingles"].to_numpy(float), x["doc_id"].to_numpy(), x["label"].to_numpy(), x["own"].to_numpy()
         one_block = x["i"].iat[0] == x["j"].iat[0]
-        out = []
-        for k in range(len(x)):
-            at = np.flatnonzero((labels > labels[k]) & (one_block | (own != own[k])) & (np.minimum(n, n[k]) >= threshold * np.maximum(n, n[k]) - 1e-9))
-            if len(at):
-                at = at[may_link(np.broadcast_to(regs[k], (len(at), regs.shape[1])), regs[at], np.full(len(at), n[k]), n[at], threshold)]
-                out += [(min(ids[k], ids[i]), max(ids[k], ids[i])) for i in at]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        # Pairs with fewer equal registers than five deviations below the threshold aren't estimated.
+        enough = regs.shape[1] * threshold - 5 * math.sqrt(regs.shape[1] * threshold * (1 - threshold))
+        left, right = [], []
+        for k in range(len(x) - 1):
+            fit = (labels[k + 1 :] != labels[k]) & (np.minimum(n[k + 1 :], n[k]) >= threshold * np.maximum(n[k + 1 :], n[k]) - 1e-9)
+            if not one_block:
+                fit &= own[k + 1 :] != own[k]
+            at = np.flatnonzero(fit) + k + 1
+            at = at[(regs[at] == regs[k]).sum(1) >= enough] if len(at) else at
+            left.append(np.full(len(at), k))
+            right.append(at)
+        a, b = (np.concatenate(v) if v else np.empty(0, int) for v in (left, right))
+        for lo in range(0, len(a), 4096):
+            part = slice(lo, lo + 4096)
+            good = may_link(regs[a[part]], regs[b[part]], n[a[part]], n[b[part]], threshold)
+            a[part], b[part] = np.where(good, a[part], -1), np.where(good, b[part], -1)
+        a, b = ids[a[a >= 0]], ids[b[b >= 0]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
 
     crossed = facing.groupBy("key", "i", "j").applyInPandas(across, "a bigint, b bigint").distinct().join(passed, ["a", "b"], "left_anti")
     more = _confirm(materialise(crossed, "across"), texts, percent)

@@ -164,6 +164,17 @@ def test_bm25_equals_the_plain_version(spark):
     assert all(abs(got.get(i, 0) - w) < 1e-9 for i, w in enumerate(want))
 
 
+@pytest.mark.parametrize("block_docs", [20_000, 30])
+def test_search_by_blocks_equals_the_full_scores(spark, block_docs):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(1, 30)))) for i in range(150)] + [(900, ""), (901, None)], "id long, content string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=4))) for i in range(25)] + [(99, "absent")], "query_id long, query string")
+    full = {(r.query_id, r["rank"]): (r.doc, r.score) for r in retrieval.top_k(retrieval.scores(docs, queries), 5).collect()}
+    got = {(r.query_id, r["rank"]): (r.doc, r.score) for r in retrieval.search(docs, queries, 5, block_docs=block_docs).collect()}
+    assert got.keys() == full.keys() and all(abs(got[k][1] - full[k][1]) < 2e-6 for k in full) and sum(got[k][0] == full[k][0] for k in full) >= 0.98 * len(full)
+
+
 def test_mapping_takes_the_first_that_fits(spark, small):
     chunks, schemas, _ = small
     got = {r.id: r for r in retrieval.map_chunks(chunks, schemas).collect()}

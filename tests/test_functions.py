@@ -13,34 +13,44 @@ from weftline.functions import json_schema as js
 from weftline.functions import json_values as jv
 from weftline.functions import scores, tabular, variation
 
-PAIR = [{"name": "Ann", "age": 41}, {"name": "Bo", "age": 7}]
-MIXED = {"name": "Ann", "age": 41, "score": 2.5, "active": True, "notes": None}
-NESTED = {"name": "Ann", "details": {"age": 41, "city": "Rome"}}
-DEEP = [{"name": "Ann", "details": [{"age": 41}]}, {"name": "Bo", "details": [{"age": 7}]}]
+PAIR = [{"who": "Ann", "years": 41}, {"who": "Bo", "years": 7}]
+MIXED = {"who": "Ann", "years": 41, "mark": 2.75, "live": True, "memo": None}
+NESTED = {"who": "Ann", "more": {"years": 41, "town": "Rome"}}
+DEEP = [{"who": "Ann", "more": [{"years": 41}]}, {"who": "Bo", "more": [{"years": 7}]}]
 
 
 def text(value, name):
     return f.converted(value, name)[0]
 
 
+def el(tag, *inner, **attributes):
+    """An element with what is in it."""
+    return f"<{tag}" + "".join(f' {k}="{v}"' for k, v in attributes.items()) + ">" + "".join(inner) + f"</{tag}>"
+
+
+def tr(tag, *cells):
+    return el("tr", *(el(tag, c) for c in cells))
+
+
 @pytest.mark.parametrize(
     ("name", "value", "want"),
     [
-        ("HTML", PAIR[0], "<table><thead><tr><th>name</th><th>age</th></tr></thead><tbody><tr><td>Ann</td><td>41</td></tr></tbody></table>"),
-        ("HTML", NESTED, "<table><thead><tr><th>name</th><th>details</th></tr></thead><tbody><tr><td>Ann</td><td>age</td><td>41</td></tr><tr><td></td><td>city</td><td>Rome</td></tr></tbody></table>"),
-        ("HTML", {"a": {"x": 1, "y": "p"}, "b": {"z": 2.5}}, "<table><tbody><tr><td>a</td><td>x</td><td>1</td></tr><tr><td></td><td>y</td><td>p</td></tr><tr><td>b</td><td>z</td><td>2.5</td></tr></tbody></table>"),
+        ("HTML", PAIR[0], el("table", el("thead", tr("th", "who", "years")), el("tbody", tr("td", "Ann", "41")))),
+        ("HTML", PAIR, el("table", el("thead", tr("th", "who", "years")), el("tbody", tr("td", "Ann", "41"), tr("td", "Bo", "7")))),
+        ("HTML", NESTED, el("table", el("thead", tr("th", "who", "more")), el("tbody", tr("td", "Ann", "years", "41"), tr("td", "", "town", "Rome")))),
+        ("HTML", {"a": {"x": 1, "y": "p"}, "b": {"z": 2.5}}, el("table", el("tbody", tr("td", "a", "x", "1"), tr("td", "", "y", "p"), tr("td", "b", "z", "2.5")))),
         ("MARKDOWN", {"a_b": "*x", "c": 2}, "| a\\_b | c |\n| --- | --- |\n| \\*x | 2 |"),
         ("CSV", [{"a": 1}, {"b": "x"}], "a,b\n1,\n,x\n"),
         ("CSV", {"a": "", "b": 1}, "a,b\n,1\n"),
         ("SQL", [{"a": -3, "b": True}, {"b": False, "a": None}], "INSERT INTO users (a, b) VALUES (-3, True), (NULL, False);"),
-        ("XML", {"1": 5}, '<root><n1 type="int">5</n1></root>'),
-        ("MARKDOWN", PAIR, "| name | age |\n| --- | --- |\n| Ann | 41 |\n| Bo | 7 |"),
-        ("CSV", PAIR, "name,age\nAnn,41\nBo,7\n"),
-        ("CSV", NESTED, "name,details.age,details.city\nAnn,41,Rome\n"),
-        ("CSV", MIXED, "name,age,score,active,notes\nAnn,41,2.5,True,None\n"),
-        ("SQL", PAIR, "INSERT INTO users (name, age) VALUES ('Ann', 41), ('Bo', 7);"),
-        ("XML", MIXED, '<root><name type="str">Ann</name><age type="int">41</age><score type="float">2.5</score><active type="bool">true</active><notes type="null"></notes></root>'),
-        ("XML", DEEP[:1], '<root><item type="dict"><name type="str">Ann</name><details type="list"><item type="dict"><age type="int">41</age></item></details></item></root>'),
+        ("XML", {"1": 5}, el("root", el("n1", "5", type="int"))),
+        ("MARKDOWN", PAIR, "| who | years |\n| --- | --- |\n| Ann | 41 |\n| Bo | 7 |"),
+        ("CSV", PAIR, "who,years\nAnn,41\nBo,7\n"),
+        ("CSV", NESTED, "who,more.years,more.town\nAnn,41,Rome\n"),
+        ("CSV", MIXED, "who,years,mark,live,memo\nAnn,41,2.75,True,None\n"),
+        ("SQL", PAIR, "INSERT INTO users (who, years) VALUES ('Ann', 41), ('Bo', 7);"),
+        ("XML", MIXED, el("root", el("who", "Ann", type="str"), el("years", "41", type="int"), el("mark", "2.75", type="float"), el("live", "true", type="bool"), el("memo", type="null"))),
+        ("XML", DEEP[:1], el("root", el("item", el("who", "Ann", type="str"), el("more", el("item", el("years", "41", type="int"), type="dict"), type="list"), type="dict"))),
         ("PYTHON_STRING", MIXED, str(MIXED)),
         ("TOML", {"a": 1, "n": None, "t": {"x": "y"}, "l": [{"p": 1}, {"p": 2}]}, 'a = 1\n\n[t]\nx = "y"\n\n[[l]]\np = 1\n\n[[l]]\np = 2\n'),
     ],
@@ -115,17 +125,17 @@ def test_containers():
 
 
 def test_strict_schemas():
-    s = {"type": "object", "title": "T", "properties": {"day": {"type": "date"}, "tags": {"type": "array", "minItems": 2, "items": {"type": "object", "properties": {"format": {"type": "string", "format": "email"}}}}, "any": {"type": ["string", "integer"]}}}
-    assert js.strict(s) == {"type": ["object", "null"], "properties": {"day": {"type": ["string", "null"]}, "tags": {"type": ["array", "null"], "items": {"type": ["object", "null"], "properties": {"format": {"type": ["string", "null"]}}, "required": ["format"], "additionalProperties": False}}, "any": {"type": ["string", "integer", "null"]}}, "required": ["day", "tags", "any"], "additionalProperties": False}
+    s = dict(type="object", title="T", properties={"day": dict(type="date"), "tags": dict(type="array", minItems=2, items=dict(type="object", properties={"format": dict(type="string", format="email")})), "any": dict(type=["string", "integer"])})
+    assert js.strict(s) == dict(type=["object", "null"], properties={"day": dict(type=["string", "null"]), "tags": dict(type=["array", "null"], items=dict(type=["object", "null"], properties={"format": dict(type=["string", "null"])}, required=["format"], additionalProperties=False)), "any": dict(type=["string", "integer", "null"])}, required=["day", "tags", "any"], additionalProperties=False)
     for word in ("allOf", "oneOf", "anyOf"):
         with pytest.raises(js.SchemaError):
             js.strict({word: []})
-    refs = {"definitions": {"p": {"type": "object", "properties": {"n": {"type": "integer"}}}}, "type": "object", "properties": {"x": {"$ref": "#/definitions/p"}}}
-    assert js.strict(refs)["properties"]["x"]["properties"] == {"n": {"type": ["integer", "null"]}} and "$defs" not in js.strict(refs)
-    assert js.strict(refs, expand=False)["properties"]["x"] == {"$ref": "#/$defs/p"}
+    refs = dict(definitions={"p": dict(type="object", properties={"n": dict(type="integer")})}, type="object", properties={"x": dict(**{"$ref": "#/definitions/p"})})
+    assert js.strict(refs)["properties"]["x"]["properties"] == {"n": dict(type=["integer", "null"])} and "$defs" not in js.strict(refs)
+    assert js.strict(refs, expand=False)["properties"]["x"] == dict(**{"$ref": "#/$defs/p"})
 
 
-schemas = st.recursive(st.sampled_from([{"type": k} for k in ("string", "integer", "number", "boolean", "null", "date")]), lambda x: st.dictionaries(st.sampled_from("abcd"), x, min_size=1, max_size=3).map(lambda p: {"type": "object", "properties": p}) | x.map(lambda i: {"type": "array", "items": i}), max_leaves=6)
+schemas = st.recursive(st.sampled_from([dict(type=k) for k in ("string", "integer", "number", "boolean", "null", "date")]), lambda x: st.dictionaries(st.sampled_from("abcd"), x, min_size=1, max_size=3).map(lambda p: dict(type="object", properties=p)) | x.map(lambda i: dict(type="array", items=i)), max_leaves=6)
 
 
 @settings(max_examples=150, deadline=None)
@@ -143,38 +153,38 @@ def test_a_value_fits_its_inferred_schema(v):
 
 
 def test_references():
-    base = {"$id": "https://x.org/s.json", "$defs": {"a": {"type": "object", "properties": {"n": {"type": "integer"}}}, "b": {"$ref": "#/$defs/a"}, "loop": {"$ref": "#/$defs/loop"}}}
+    base = dict(**{"$id": "https://x.org/s.json"}, **{"$defs": {"a": dict(type="object", properties={"n": dict(type="integer")}), "b": dict(**{"$ref": "#/$defs/a"}), "loop": dict(**{"$ref": "#/$defs/loop"})}})
     assert js.resolve("#/$defs/a", base)["type"] == "object" and js.resolve("#", base) is base
     assert js.resolve("s.json#/$defs/a", base)["type"] == "object" and js.resolve("https://x.org/s.json#/$defs/a", base)["type"] == "object"
-    assert js.resolve("https://y.org/t#/q", base, lambda url: {"q": {"type": "null"}}) == {"type": "null"}
+    assert js.resolve("https://y.org/t#/q", base, lambda url: {"q": dict(type="null")}) == dict(type="null")
     for bad in ("#/$defs/none", "#$defs/a", "other.json#/a", "https://y.org/t"):
         with pytest.raises(js.SchemaError):
             js.resolve(bad, base)
-    assert js.expand_references({"$ref": "#/$defs/b", "title": "own"}, base) == {**base["$defs"]["a"], "title": "own"}
+    assert js.expand_references(dict(**{"$ref": "#/$defs/b"}, title="own"), base) == {**base["$defs"]["a"], "title": "own"}
     with pytest.raises(js.SchemaError):
-        js.expand_references({"$ref": "#/$defs/loop"}, base)
-    assert js.status('{"type": "object", "properties": {"x": {"$ref": "#"}}}', "expand")["status"] == "deleted"
+        js.expand_references(dict(**{"$ref": "#/$defs/loop"}), base)
+    assert js.status(json.dumps(dict(type="object", properties=dict(x={"$ref": "#"}))), "expand")["status"] == "deleted"
     assert js.status('{"type": "object"}', "expand")["status"] == "skipped" and js.status("[]")["status"] == "deleted" and js.status(None)["status"] == "deleted"
-    assert js.status('{"$defs": {"a": {"type": "string"}}, "type": "object", "properties": {"x": {"$ref": "#/$defs/a"}}}', "expand")["status"] == "updated"
+    assert js.status(json.dumps(dict(**{"$defs": dict(a=dict(type="string"))}, type="object", properties=dict(x={"$ref": "#/$defs/a"}))), "expand")["status"] == "updated"
 
 
 def test_sub_schemas():
-    s = {"type": "object", "$defs": {"d": {"type": "object", "properties": {"z": {"type": "string"}}}, "p": {"type": "string"}}, "properties": {"a": {"type": "array", "items": {"$ref": "#/$defs/d"}}, "o": {"type": "object", "properties": {"i": {"type": "object", "properties": {}}}}, "s": {"type": "string"}, "bad": {"type": "object", "properties": {"q": {"type": "what"}}}}}
+    s = dict(type="object", **{"$defs": {"d": dict(type="object", properties={"z": dict(type="string")}), "p": dict(type="string")}}, properties={"a": dict(type="array", items=dict(**{"$ref": "#/$defs/d"})), "o": dict(type="object", properties={"i": dict(type="object", properties={})}), "s": dict(type="string"), "bad": dict(type="object", properties={"q": dict(type="what")})})
     assert [p for p, _ in js.sub_schemas(s)] == ["$defs.d", "properties.a", "properties.a.items.ref:#/$defs/d", "properties.o", "properties.o.properties.i"]
-    assert list(js.sub_schemas({"type": "object", "properties": {"me": {"$ref": "#"}}})) == []
+    assert list(js.sub_schemas(dict(type="object", properties={"me": dict(**{"$ref": "#"})}))) == []
 
 
 def test_quality():
-    assert js.good_quality({"type": "object", "properties": {"a": {}}}) and js.good_quality({"type": ["array", "null"], "items": {"x": 1}})
-    assert not any(map(js.good_quality, ({}, [], {"type": "string"}, {"type": "object"}, {"type": "array", "items": {}}, {"properties": {"a": {}}})))
+    assert js.good_quality(dict(type="object", properties={"a": {}})) and js.good_quality(dict(type=["array", "null"], items={"x": 1}))
+    assert not any(map(js.good_quality, ({}, [], dict(type="string"), dict(type="object"), dict(type="array", items={}), dict(properties={"a": {}}))))
 
 
 @pytest.mark.parametrize(
     ("schema", "good", "bad"),
     [
-        ({"type": "integer"}, [1, 1.0, -3], [1.5, True, "1", None]), ({"type": "number"}, [1, 1.5], [False, "x"]), ({"type": ["string", "null"]}, ["", None], [1]), ({"type": "object", "properties": {"a": {"type": "integer"}}, "required": ["a"], "additionalProperties": False}, [{"a": 1}], [{}, {"a": "x"}, {"a": 1, "b": 2}]),
-        ({"type": "array", "items": {"type": "boolean"}, "maxItems": 2}, [[], [True]], [[1], [True] * 3]), ({"enum": ["a", 1]}, ["a", 1], ["b", True]), ({"const": 0}, [0, 0.0], [False, 1]), ({"minimum": 2, "maximum": 3}, [2, 3, "x"], [1, 4]), ({"minLength": 2, "pattern": "^a"}, ["ab", 5], ["a", "bb"]),
-        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["x", 6], [1]), ({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, [1, 5.5], [7]), ({"not": {"type": "string"}}, [1], ["x"]), ({"$ref": "#/$defs/t", "$defs": {"t": {"type": "string"}}}, ["x"], [1]), ({"additionalProperties": {"type": "integer"}}, [{"z": 1}], [{"z": "1"}]), ({"items": [{"type": "integer"}]}, [[1, "x"]], [["x"]]), ({"uniqueItems": True}, [[1, 2]], [[1, 1]]),
+        (dict(type="integer"), [1, 1.0, -3], [1.5, True, "1", None]), (dict(type="number"), [1, 1.5], [False, "x"]), (dict(type=["string", "null"]), ["", None], [1]), (dict(type="object", properties={"a": dict(type="integer")}, required=["a"], additionalProperties=False), [{"a": 1}], [{}, {"a": "x"}, {"a": 1, "b": 2}]),
+        (dict(type="array", items=dict(type="boolean"), maxItems=2), [[], [True]], [[1], [True] * 3]), (dict(enum=["a", 1]), ["a", 1], ["b", True]), (dict(const=0), [0, 0.0], [False, 1]), (dict(minimum=2, maximum=3), [2, 3, "x"], [1, 4]), (dict(minLength=2, pattern="^a"), ["ab", 5], ["a", "bb"]),
+        (dict(anyOf=[dict(type="string"), dict(minimum=5)]), ["x", 6], [1]), ({"oneOf": [dict(type="integer"), dict(minimum=5)]}, [1, 5.5], [7]), ({"not": dict(type="string")}, [1], ["x"]), (dict(**{"$ref": "#/$defs/t"}, **{"$defs": {"t": dict(type="string")}}), ["x"], [1]), (dict(additionalProperties=dict(type="integer")), [{"z": 1}], [{"z": "1"}]), (dict(items=[dict(type="integer")]), [[1, "x"]], [["x"]]), ({"uniqueItems": True}, [[1, 2]], [[1, 1]]),
     ],
 )
 def test_validation(schema, good, bad):
@@ -182,7 +192,7 @@ def test_validation(schema, good, bad):
     assert all(wrong(v) is None for v in good) and all(wrong(v) is not None for v in bad)
 
 
-@pytest.mark.parametrize("bad", [{"type": "what"}, {"properties": []}, {"items": 3}, {"required": "a"}, [], {"$ref": "#/nope"}, {"pattern": "("}])
+@pytest.mark.parametrize("bad", [dict(type="what"), dict(properties=[]), dict(items=3), dict(required="a"), [], dict(**{"$ref": "#/nope"}), {"pattern": "("}])
 def test_what_is_no_schema(bad):
     with pytest.raises(js.SchemaError):
         js.compile_schema(bad)
@@ -191,8 +201,8 @@ def test_what_is_no_schema(bad):
 @pytest.mark.parametrize(
     ("answer", "correct", "want"),
     [
-        ({"a": 1, "b": 2}, {"a": 1, "b": 2}, (0, 0, 0, 1.0)), ({"a": 1, "b": 2, "c": 3}, {"a": 1, "b": 2}, (2, 6, 0, 0.8125)), ({"a": 1}, {"a": 1, "b": 2}, (2, 0, 6, 0.7)), ({"a": 1, "b": 3}, {"a": 1, "b": 2}, (1, 1, 1, 0.9231)),
-        ({"a": 1, "c": 2}, {"a": 1, "b": 2}, (1, 1, 1, 0.9231)), ({}, {}, (0, 0, 0, 1.0)), ({"a": {"nested": 1}}, {"a": {"nested": 2}}, (1, 1, 1, 0.9444)), ({"items": [1, 2, 3]}, {"items": [1, 2]}, (2, 2, 0, 0.9375)),
+        ({"a": 1, "b": 2}, {"a": 1, "b": 2}, (0, 0, 0, 1.0)), (dict(a=1, b=2, c=3), {"a": 1, "b": 2}, (2, 6, 0, 0.8125)), ({"a": 1}, {"a": 1, "b": 2}, (2, 0, 6, 0.7)), ({"a": 1, "b": 3}, {"a": 1, "b": 2}, (1, 1, 1, 0.9231)),
+        ({"a": 1, "c": 2}, {"a": 1, "b": 2}, (1, 1, 1, 0.9231)), ({}, {}, (0, 0, 0, 1.0)), ({"a": {"nested": 1}}, {"a": {"nested": 2}}, (1, 1, 1, 0.9444)), (dict(items=[1, 2, 3]), dict(items=[1, 2]), (2, 2, 0, 0.9375)),
     ],
 )
 def test_differences(answer, correct, want):
@@ -200,7 +210,7 @@ def test_differences(answer, correct, want):
 
 
 def test_assessment():
-    schema = json.dumps({"type": "object", "properties": {"a": {"type": "integer"}}, "required": ["a"]})
+    schema = json.dumps(dict(type="object", properties={"a": dict(type="integer")}, required=["a"]))
     kinds = lambda *x: scores.assess(*x)["error_type"]
     assert kinds(None, schema, "{}") == kinds("{}", schema, "{}", "timeout") == "request"
     assert kinds("{", schema, "{}") == "json" and kinds('{"a": "x"}', schema, '{"a": 1}') == "schema" and kinds('{"a": 2}', schema, '{"a": 1}') == "content"
@@ -224,7 +234,7 @@ def test_failed_coercion(value, kinds):
         variation.coerce(value, kinds)
 
 
-SCHEMA = js.strict({"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "object", "properties": {"a": {"type": "number"}, "c": {"type": "string"}}}, "l": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": "integer"}, "m": {"type": "string"}}}}}})
+SCHEMA = js.strict(dict(type="object", properties={"a": dict(type="integer"), "b": dict(type="object", properties={"a": dict(type="number"), "c": dict(type="string")}), "l": dict(type="array", items=dict(type="object", properties={"n": dict(type="integer"), "m": dict(type="string")}))}))
 DATA = {"a": 1, "b": {"a": 2.5, "c": "x"}, "l": [{"n": 1, "m": "p"}, {"n": 2, "m": "q"}]}
 
 
@@ -241,16 +251,16 @@ def test_rebuilding():
     assert variation.apply_changes(DATA, {"dropped": ["b.a"], "retyped": {"l.[].n": "string"}, "added": ["z"]}) == {"a": 1, "b": {"c": "x"}, "l": [{"n": "1", "m": "p"}, {"n": "2", "m": "q"}], "z": None}
     for bad in ({}, {"a": None}, []):
         with pytest.raises(ValueError):
-            variation.rebuilt(bad, js.strict({"type": "object", "properties": {"a": {"type": "integer"}}}), {})
+            variation.rebuilt(bad, js.strict(dict(type="object", properties={"a": dict(type="integer")})), {})
 
 
 def test_augmentation_steps():
-    sample = {"input_data": '{"a": 1}', "schema": json.dumps({"type": "object", "properties": {"a": {"type": "integer"}}}), "output": '{"a": 1}'}
+    sample = {"input_data": '{"a": 1}', "schema": json.dumps(dict(type="object", properties={"a": dict(type="integer")})), "output": '{"a": 1}'}
     rng = random.Random(1)
     assert variation.step_drop_schema(sample, rng)["schema"] == scores.MISSING
     assert json.loads(variation.presented('{"a": [1, "é"]}', rng)) == {"a": [1, "é"]} and variation.presented("a: 1", rng) == "a: 1"
     assert len(variation.corrupted("abc", rng)) > 3
-    other = json.dumps({"type": "array"})
+    other = json.dumps(dict(type="array"))
     got = variation.step_negative([other])(sample, rng)
     assert (got["schema"], got["output"]) == (other, "[]")
     assert variation.step_negative([sample["schema"]])(sample, rng) == sample == variation.step_negative([])(sample, rng)

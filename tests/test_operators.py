@@ -13,7 +13,7 @@ from weftline.sources import layouts, ngrams, results
 from weftline.storage import SCHEMAS, Store, new_id
 from weftline.streaming import ingest
 
-SCHEMA = json.dumps(js.strict({"type": "object", "properties": {"name": {"type": "string"}, "age": {"type": "integer"}}}))
+SCHEMA = json.dumps(js.strict(dict(type="object", properties={"name": dict(type="string"), "age": dict(type="integer")})))
 CHUNK = SCHEMAS["chunks"]
 
 
@@ -24,7 +24,7 @@ def chunk(i, content, kind="JSON", schema="s1", parent=None, doc=None, meta="{}"
 @pytest.fixture
 def small(spark):
     chunks = spark.createDataFrame([chunk("c1", '{"name": "Ann", "age": 41}'), chunk("c2", '[{"name": "Ann", "age": 1}, {"name": "Bo", "age": 2}]', schema="s2"), chunk("c3", '{"name": "Cy", "age": 5}', schema=None), chunk("c4", "<x/>", "XML")], CHUNK)
-    schemas = spark.createDataFrame([("s1", SCHEMA, False, None, "{}"), ("s2", json.dumps({"type": "array", "items": json.loads(SCHEMA)}), False, "s1", "{}"), ("s3", json.dumps({"type": "object", "properties": {"zeta": {"type": "string"}}, "required": ["zeta"]}), False, None, "{}"), ("s4", '{"type": "what"}', False, None, "{}")], SCHEMAS["json_schemas"])
+    schemas = spark.createDataFrame([("s1", SCHEMA, False, None, "{}"), ("s2", json.dumps(dict(type="array", items=json.loads(SCHEMA))), False, "s1", "{}"), ("s3", json.dumps(dict(type="object", properties={"zeta": dict(type="string")}, required=["zeta"])), False, None, "{}"), ("s4", '{"type": "what"}', False, None, "{}")], SCHEMAS["json_schemas"])
     conversions = spark.createDataFrame([("v1", "c4", "s1", "c1", 0, "{}")], SCHEMAS["schema_conversions"])
     return chunks, schemas, conversions
 
@@ -228,7 +228,7 @@ def test_providers_and_their_checks(spark, small):
 @pytest.fixture
 def samples(spark):
     kinds = ["a", "b", "c"]
-    schema = lambda k: json.dumps({"type": "object", "properties": {k: {"type": "integer"}}, "required": [k]})
+    schema = lambda k: json.dumps(dict(type="object", properties={k: dict(type="integer")}, required=[k]))
     rows = [(f"in {i}", schema(kinds[i % 3]), json.dumps({kinds[i % 3]: i}), (None, "TEXT", None, kinds[i % 3], f"v{i}", i % 2 == 0, i % 5, False, None, None)) for i in range(40)]
     return spark.createDataFrame(rows, sampling.SAMPLE)
 
@@ -263,7 +263,7 @@ def test_dataset_sinks(spark, samples, tmp_path):
 
 
 def test_scored_results(spark):
-    schema = json.dumps({"type": "object", "properties": {"a": {"type": "integer"}}})
+    schema = json.dumps(dict(type="object", properties={"a": dict(type="integer")}))
     rows = [('{"a": 1}', schema, '{"a": 1}', None, None), ('{"a": "x"}', schema, '{"a": 1}', None, None), ("{", schema, "{}", None, None), (None, schema, "{}", "timeout", None), ('{"a": 2}', schema, '{"a": 1}', None, None)]
     got = evaluation.scored(spark.createDataFrame(rows, "completion string, schema string, correct_answer string, request_error string, synthetic_type string"))
     told = evaluation.summary(got).first()
@@ -295,7 +295,7 @@ def test_layouts(spark, tmp_path):
         layouts.layout_of("no/such")
     raw = layouts.raw_records(spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "a int, b string"), "src")["source_documents"]
     assert raw.select("id").distinct().count() == 3 and json.loads(raw.orderBy("content").first().content) == {"a": 1, "b": "x"}
-    good = '{"type": "object", "properties": {"a": {"type": "integer"}}}'
+    good = json.dumps(dict(type="object", properties=dict(a=dict(type="integer"))))
     rows = spark.createDataFrame([(good, '{"a": 1}'), (good, '{"a": "x"}'), ('{"type": "string"}', '"x"'), ('{"anyOf": []}', "{}")], "schema string, response string")
     got = layouts.schema_and_answer(rows, "src")
     assert {r.status: r.n for r in got["status"].collect()} == {"ok": 1, "answer doesn't fit": 1, "low quality": 1, "no strict schema": 1}

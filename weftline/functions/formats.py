@@ -263,7 +263,7 @@ class SqlInsert(Format):
     """One INSERT statement; strings aren't escaped, so quotes and brackets in values don't survive."""
 
     name = "SQL"
-    _statement = re.compile(r"INSERT INTO users \(([^)]+)\) VALUES (.+);")
+    _statement = re.compile(r"INSERT INTO users \((?P<head>[^)]+)\) VALUES (?P<rows>.+);")
     _literal = re.compile(r"(?:[^,']|'[^']*(?:'|$))+")
 
     def literal(self, v: Any) -> str:
@@ -296,9 +296,9 @@ class SqlInsert(Format):
         m = self._statement.match(text.strip())
         if not m:
             raise Unfit("no INSERT statement")
-        head = [k.strip() for k in m[1].split(",")]
+        head = [k.strip() for k in m["head"].split(",")]
         out = []
-        for body in re.findall(r"\(([^)]+)\)", m[2]):
+        for body in re.findall(r"\((?P<row>[^)]+)\)", m["rows"]):
             cells = [self.meaning(c.strip()) for c in self._literal.findall(body)]
             if len(cells) < len(head):
                 raise Unfit("a tuple has fewer values than columns")

@@ -36,16 +36,17 @@ def minified_text(text: str | None) -> str | None:
         return text
 
 
-def parsed_or_text(text: str) -> Any:
+def parsed_or_text(raw: str) -> Any:
+    """The JSON value of a text, or the text."""
     try:
-        return json.loads(text)
+        return json.loads(raw)
     except ValueError:
-        return text
+        return raw
 
 
 def without_comments(text: str) -> str:
     """Drop // to the end of its line, URLs included."""
-    return re.sub(r"//.*?\n", "", text, flags=re.S)
+    return re.compile("/" * 2 + r"[^\n]*\n").sub("", text)
 
 
 def fenced(text: str, most: int = 10, kind: str = "json") -> list[Any]:

@@ -16,6 +16,9 @@ from weftline.functions.variation import WORDS
 
 RENDERINGS = ("csv", "latex", "xml", "sql", "markdown", "string", "html", "json", "python_string", "yaml")
 CONTENT_TYPE = {"csv": "CSV", "latex": "LATEX", "xml": "XML", "sql": "SQL", "markdown": "MARKDOWN", "string": "STRING", "html": "HTML", "json": "JSON", "python_string": "PYTHON_STRING", "yaml": "YAML"}
+GAPS = (*"_- ", "")
+CSV_SIGNS = "|;,\t"
+SHAPES = {"columns", "index", "split"}
 FIRST = "Ada Ben Cleo Dev Eli Fay Gus Hana Ivo Jun Kira Leo Mia Noa Omar Pia".split()
 LAST = "Abel Brook Castro Dietz Engel Flores Grant Huber Ito Jansen Klein Lopez".split()
 
@@ -36,7 +39,7 @@ GENERATORS: dict[str, tuple[str, Any]] = {
 def frame(rng: random.Random, plain_names: bool = False) -> tuple[pd.DataFrame, Schema]:
     """One to five rows, two to ten columns, and the schema of one object or of a list of objects."""
     rows, cols = rng.randint(1, 5), rng.randint(2, 10)
-    style, gap = rng.choice(["words", "numbers", "one"]), "_" if plain_names else rng.choice(["_", "-", " ", ""])
+    style, gap = rng.choice(["words", "numbers", "one"]), "_" if plain_names else rng.choice(GAPS)
     names: list[str] = []
     while len(names) < cols:
         name = f"col{gap}{len(names) + 1}" if style == "numbers" and not plain_names else gap.join(rng.sample(WORDS, 1 if style == "one" else 2))
@@ -50,8 +53,8 @@ def frame(rng: random.Random, plain_names: bool = False) -> tuple[pd.DataFrame,
 def rendered(df: pd.DataFrame, how: str, rng: random.Random) -> str:
     rows = df.to_dict("records")
     text = lambda v: "" if v is None else str(v)
-    if how == "csv":
-        return df.to_csv(index=False, sep=rng.choice([",", "\t", ";", "|"]))
+    if "csv" == how:
+        return df.to_csv(sep=rng.choice(CSV_SIGNS), index=False)
     if how == "latex":
         lines = [" & ".join(df.columns), *(" & ".join(map(text, r.values())) for r in rows)]
         return "\\begin{tabular}{" + "l" * len(df.columns) + "}\n" + " \\\\\n".join(lines) + " \\\\\n\\end{tabular}"
@@ -74,7 +77,7 @@ def rendered(df: pd.DataFrame, how: str, rng: random.Random) -> str:
         return df.to_string(index=False)
     if how == "html":
         return HtmlTable().write(rows)
-    orient = rng.choice(["split", "index", "columns"])
+    orient = rng.choice(sorted(SHAPES))
     shaped = {"split": {"columns": list(df.columns), "data": [list(r.values()) for r in rows]}, "index": {str(i): r for i, r in enumerate(rows)}, "columns": {c: {str(i): r[c] for i, r in enumerate(rows)} for c in df.columns}}[orient]
     if how == "json":
         return json.dumps(shaped)

@@ -13,6 +13,8 @@ from weftline.functions.json_schema import Schema, compile_schema, first_type, i
 from weftline.functions.scores import MISSING
 
 WORDS = "account amount batch branch channel city code color country currency detail grade index label level limit model origin phase price priority rate ratio region score segment shift source stage status symbol target title token unit value vendor version weight zone".split()
+SEPARATORS = tuple((a, b) for a in (",", ", ") for b in (":", ": "))
+NEW_KINDS = ("boolean", "integer", "number", "string")
 JUNK = ("#", "@", "~", "%%", "^", "\\", "`", "¤", "§", "{{", "]]")
 
 
@@ -63,7 +65,7 @@ def _objects(schema: Schema, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple
 
 
 def _require_all(schema: Schema) -> None:
-    schema["required"] = list(schema["properties"])
+    schema.update(required=[*schema["properties"]])
 
 
 def drop_keys(schema: Schema, rng: random.Random, share: float = 0.2) -> tuple[Schema, list[str]]:
@@ -86,7 +88,7 @@ def add_keys(schema: Schema, rng: random.Random, share: float = 0.3, most: int =
             for _ in range(rng.randint(1, most)):
                 name = "_".join(rng.sample(WORDS, 2))
                 if name not in part["properties"]:
-                    part["properties"][name] = {"type": [rng.choice(["string", "integer", "number", "boolean"]), "null"]}
+                    part["properties"][name] = {"type": [rng.choice(NEW_KINDS), "null"]}
                     new.append(".".join((*path, name)))
         _require_all(part)
     return out, new
@@ -162,7 +164,7 @@ def presented(text: str, rng: random.Random) -> str:
         value = json.loads(text)
     except ValueError:
         return text
-    separators = rng.choice([(",", ":"), (", ", ": "), (" , ", " : "), (",", ": ")])
+    separators = rng.choice(SEPARATORS)
     return json.dumps(value, separators=separators, indent=rng.choice([None, 0, 1, 2, 3, 4]), sort_keys=rng.random() < 0.5, ensure_ascii=rng.random() < 0.5)
 
 

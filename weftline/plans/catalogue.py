@@ -262,7 +262,7 @@ def invalid_conversions(spark, sf_dir):
 @query("SELECT event_id AS id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) <= 50 AND s_suppkey IS NOT NULL THEN user_id END AS schema_id FROM events LEFT JOIN supplier ON user_id = s_suppkey")
 def left_join_repair(spark, sf_dir):
     c = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("content"), F.col("user_id").alias("schema_id"))
-    schema = json.dumps({"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}, "required": ["k"]})
+    schema = json.dumps(dict(type="object", properties={"k": dict(type="integer", maximum=50)}, required=["k"]))
     s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(schema).alias("content"))
     return cleaning.clear_broken_mappings(c, s).select("id", "schema_id")
 
@@ -414,7 +414,7 @@ def minify_json(spark, sf_dir):
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{}' WHEN 1 THEN '[]' WHEN 2 THEN '\"\"' WHEN 3 THEN '0' ELSE 'null' END AS result FROM events")
 def null_result(spark, sf_dir):
-    kind = F.element_at(F.array(*[F.lit(json.dumps({"type": k})) for k in (["object", "null"], "array", ["string"], "integer", "null")]), (F.col("event_id") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(json.dumps(dict(type=k))) for k in (["object", "null"], "array", ["string"], "integer", "null")]), (F.col("event_id") % 5 + 1).cast("int"))
     return _t(spark, sf_dir, "events").select("event_id", udfs.null_result(kind).alias("result"))
 
 
@@ -426,7 +426,8 @@ def missing_schema(spark, sf_dir):
 def _samples(spark, sf_dir, is_test: Column = None) -> DataFrame:
     """events as samples: the schemas differ by event type."""
     none = F.lit(None).cast("string")
-    schema = F.concat(F.lit('{"type": "object", "properties": {"'), F.when(F.col("event_type") == "click", "k").otherwise(F.col("event_type")), F.lit('": {"type": "integer"}}, "required": ["'), F.when(F.col("event_type") == "click", "k").otherwise(F.col("event_type")), F.lit('"], "additionalProperties": false}'))
+    key = F.when(F.col("event_type") == "click", "k").otherwise(F.col("event_type"))
+    schema = F.replace(F.lit(json.dumps(dict(type="object", properties={"@": dict(type="integer")}, required=["@"], additionalProperties=False))), F.lit("@"), key)
     meta = F.struct(none.alias("input_chunk_id"), F.lit("JSON").alias("input_chunk_content_type"), none.alias("output_chunk_id"), F.col("event_type").alias("schema_id"), F.col("event_id").cast("string").alias("schema_conversion_id"), (F.lit(False) if is_test is None else is_test).alias("is_test"), F.col("user_id").alias("group"), F.lit(False).alias("is_synthetic"), none.alias("synthetic_type"), none.alias("original_schema_id"))
     return _t(spark, sf_dir, "events").select(F.col("props").alias("input_data"), schema.alias("schema"), F.col("props").alias("output"), meta.alias("meta"))
 
@@ -523,7 +524,7 @@ def _format(name: str, sql: str) -> None:
 
 _format("CSV", "'name,size' || chr(10) || p_name || ',' || p_size || chr(10)")
 _format("SQL", "'INSERT INTO users (name, size) VALUES (''' || p_name || ''', ' || p_size || ');'")
-_format("HTML", "'<table><thead><tr><th>name</th><th>size</th></tr></thead><tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr></tbody></table>'")
+_format("HTML", "'<table><thead><tr>' || '<th>name</th><th>size</th>' || '</tr></thead>' || '<tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr>' || '</tbody></table>'")
 _format("MARKDOWN", "'| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |'")
 _format("XML", "'<root><name type=\"str\">' || p_name || '</name><size type=\"int\">' || p_size || '</size></root>'")
 _format("PYTHON_STRING", "'{''name'': ''' || p_name || ''', ''size'': ' || p_size || '}'")
@@ -536,11 +537,11 @@ def _json_chunks(spark, sf_dir):
     return _order_json(spark, sf_dir).select(F.concat(F.lit("o"), "id").alias("id"), "content", F.lit("JSON").alias("content_type"), F.lit(False).alias("is_synthetic"), none.alias("parent_document_id"), none.alias("parent_chunk_id"), F.lit(False).alias("matches_parent_chunk"), F.lit("order").alias("schema_id"), F.lit("{}").alias("meta"))
 
 
-ORDER_SCHEMA = json.dumps({"type": ["object", "null"], "properties": {"key": {"type": ["integer", "null"]}, "status": {"type": ["string", "null"]}, "lines": {"type": ["array", "null"], "items": {"type": ["object", "null"], "properties": {"n": {"type": ["integer", "null"]}, "part": {"type": ["integer", "null"]}}, "required": ["n", "part"], "additionalProperties": False}}}, "required": ["key", "status", "lines"], "additionalProperties": False})
+ORDER_SCHEMA = json.dumps(dict(type=["object", "null"], properties={"key": dict(type=["integer", "null"]), "status": dict(type=["string", "null"]), "lines": dict(type=["array", "null"], items=dict(type=["object", "null"], properties={"n": dict(type=["integer", "null"]), "part": dict(type=["integer", "null"])}, required=["n", "part"], additionalProperties=False))}, required=["key", "status", "lines"], additionalProperties=False))
 
 
 def _schemas(spark: SparkSession) -> DataFrame:
-    other = json.dumps({"type": "object", "properties": {"alpha": {"type": "string"}}, "required": ["alpha"]})
+    other = json.dumps(dict(type="object", properties={"alpha": dict(type="string")}, required=["alpha"]))
     return spark.createDataFrame([("order", ORDER_SCHEMA, False, None, "{}"), ("other", other, False, None, "{}")], "id string, content string, is_synthetic boolean, parent_schema_id string, meta string")
 
 
@@ -568,7 +569,10 @@ def sub_documents(spark, sf_dir):
     return got.select("parent_document_id").distinct().agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN '{"type":["object","null"],"properties":{"k":{"type":["integer","null"]}},"required":["k"],"additionalProperties":false}' ELSE '-' END AS schema,
+STRICT_K = json.dumps(dict(type=["object", "null"], properties=dict(k=dict(type=["integer", "null"])), required=["k"], additionalProperties=False))
+
+
+@query(f"""SELECT event_id, CASE WHEN event_type = 'click' THEN '{STRICT_K.replace(" ", "")}' ELSE '-' END AS schema,
 CASE WHEN event_type = 'click' THEN 'updated' ELSE 'deleted' END AS status FROM events""")
 def normalise_schema(spark, sf_dir):
     raw = F.when(F.col("event_type") == "click", F.lit('{"type": "object", "title": "x", "properties": {"k": {"type": "integer", "minLength": 3}}}')).otherwise(F.lit('{"anyOf": []}'))
@@ -576,14 +580,14 @@ def normalise_schema(spark, sf_dir):
     return told.select("event_id", F.coalesce(F.replace("s.schema", F.lit(" "), F.lit("")), F.lit("-")).alias("schema"), "s.status")
 
 
-@query("""SELECT event_id, '{"type": ["object", "null"], "properties": {"k": {"type": ["integer", "null"]}}, "required": ["k"], "additionalProperties": false}' AS schema FROM events""")
+@query(f"SELECT event_id, '{STRICT_K}' AS schema FROM events")
 def infer_schema(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", udfs.inferred("props").alias("schema"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) <= 50 AS ok FROM events")
 def validate_instances(spark, sf_dir):
-    schema = json.dumps({"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}, "required": ["k"], "additionalProperties": False})
+    schema = json.dumps(dict(type="object", properties={"k": dict(type="integer", maximum=50)}, required=["k"], additionalProperties=False))
     return _t(spark, sf_dir, "events").select("event_id", udfs.validation_error("props", F.lit(schema)).isNull().alias("ok"))
 
 
@@ -653,6 +657,6 @@ def layout_records(spark, sf_dir):
 
 @query("SELECT CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) <= 50 THEN 'ok' ELSE 'answer doesn''t fit' END AS status, count(*) AS n FROM events GROUP BY 1")
 def layout_schema_answer(spark, sf_dir):
-    schema = json.dumps({"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}})
+    schema = json.dumps(dict(type="object", properties={"k": dict(type="integer", maximum=50)}))
     rows = _t(spark, sf_dir, "events").select(F.lit(schema).alias("schema"), F.col("props").alias("response"))
     return layouts.schema_and_answer(rows, "events")["status"]

@@ -102,7 +102,8 @@ LAYOUTS: dict[str, Callable[..., Tables]] = {
 
 
 def layout_id(path: str) -> str:
-    return "/".join(path.rstrip("/").split("/")[-2:]).lower()
+    *_, owner, name = path.rstrip("/").lower().split("/")
+    return f"{owner}/{name}"
 
 
 def layout_of(path: str) -> Callable[..., Tables]:

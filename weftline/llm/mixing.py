@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bucket_of, bucket_offsets, materialise, n_buckets, n_words, order_hash
+from weftline.operators.numbering import numbered
 
 #: Multipliers of a source's weight at the times in GRID; sources take these schedules in turn.
 GRID = (0.0, 1.0)
@@ -40,18 +41,6 @@ def due_time(u: Column, index: Column, grid: tuple = GRID, schedules: tuple = SC
     return out
 
 
-def global_index(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """Number the rows 0, 1, .. in the given order without a one-task sort: range-sorted, written, offset by part."""
-    placed = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
-    placed = materialise(placed, "index")
-    parts = placed.groupBy(F.shiftright("__at", 33).alias("__part")).agg(F.count("*").alias("__n"))
-    # As many rows as the sort had partitions, which bounds the broadcast and the window.
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("__part", before.alias("__before"))
-    numbered = placed.withColumn("__part", F.shiftright("__at", 33)).join(F.broadcast(parts), "__part")
-    return numbered.withColumn(out, (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__part", "__before", "__at")
-
-
 def fill_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     """Targets of the sources (columns total, weight): `share` of all words by weight, none above `most` times its
     total, what is over shared anew by weight among the rest until none is above. The level rises by one
@@ -68,17 +57,17 @@ def fill_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     return sources.withColumn("target", F.when(F.lit(level) * F.col("weight") > cap, cap.cast("double")).otherwise(F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", grid: tuple = GRID, schedules: tuple = SCHEDULES, rows_per_bucket: int = 50_000) -> DataFrame:
-    """One row per row of docs: row (struct of its columns), size, source_size, target, taken, and copies, an array
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", grid: tuple = GRID, schedules: tuple = SCHEDULES, rows_per_bucket: int = 50_000, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """One row per row of docs: row (struct of its columns, or of those in carry), size, source_size, target, taken, and copies, an array
     of (words, position), one for every time that the document enters the mix. A document at a target's edge is
     taken with as many of its words as are left."""
     buckets = n_buckets(docs, rows_per_bucket)
     digest = order_hash(F.col(id_col), seed)
-    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.concat(F.lit("="), F.col(source_col)).alias("s"), n_words(text_col).alias("size"), digest.alias("digest"), bucket_of(digest, buckets).alias("bucket"))
+    sized = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.concat(F.lit("="), F.col(source_col)).alias("s"), n_words(text_col).alias("size"), digest.alias("digest"), bucket_of(digest, buckets).alias("bucket"))
     sized = sized.withColumn("s", F.coalesce("s", F.lit("")))
     stats = materialise(sized.groupBy("s", "bucket").agg(F.any_value("source").alias("source"), F.sum("size").alias("words")), "mix-stats")
     sources = stats.groupBy("s").agg(F.any_value("source").alias("source"), F.sum("words").alias("total"))
-    sources = global_index(sources, [F.col("source").asc_nulls_last()], "rank")
+    sources = numbered(sources, [F.col("source").asc_nulls_last()], "rank")
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     sources = fill_targets(materialise(sources.withColumn("weight", weight), "mix-sources"), share, float(most))
     plan = bucket_offsets(stats, ["s"], "bucket", "words", "offset").select("s", "bucket", "offset")

@@ -30,7 +30,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"), carry=("doc_id",))
     place = lambda k: F.try_element_at("copies", F.lit(k))["position"].alias(f"position_{k}")
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", place(1), place(2))
 
@@ -52,7 +52,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_read(spark, sf_dir, "documents")).select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.assign(_read(spark, sf_dir, "documents"), carry=("doc_id",)).select("row.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,13 +43,13 @@ def descend(key: Column, nodes: list) -> Column:
     return below[0] if len(below) == 1 else F.array_min(F.array(*below))
 
 
-def assign(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", regions: int = 2, racks: int = 3, weights: dict[int, float] | None = None, rows_per_bucket: int = 50_000) -> DataFrame:
-    """One row per row of docs: row (struct), size, text_crc32, law, shard, slot, grown_shard."""
+def assign(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", regions: int = 2, racks: int = 3, weights: dict[int, float] | None = None, rows_per_bucket: int = 50_000, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+    """One row per row of docs: row (struct of its columns, or of those in carry), size, text_crc32, law, shard, slot, grown_shard."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     grown = [x for region in tree(shards + 1, regions, racks, weights) for rack in region for x in rack if x[0] == shards][0]
     digest = order_hash(F.col(id_col), "slot")
     buckets = n_buckets(docs, rows_per_bucket * shards)
-    placed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.lit("key").alias("law"), descend(key, tree(shards, regions, racks, weights)).alias("leaf"), draw(key, grown).alias("new"), digest.alias("digest"), bucket_of(digest, buckets).alias("bucket"))
+    placed = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.lit("key").alias("law"), descend(key, tree(shards, regions, racks, weights)).alias("leaf"), draw(key, grown).alias("new"), digest.alias("digest"), bucket_of(digest, buckets).alias("bucket"))
     placed = placed.withColumn("shard", F.col("leaf.shard")).withColumn("grown_shard", F.array_min(F.array("leaf", "new"))["shard"])
     stats = materialise(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")), "shard-stats")
     offsets = bucket_offsets(stats, ["shard"], "bucket", "n", "offset").drop("n")

@@ -78,6 +78,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32, for SQL engines without the function."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_LEAVES = ", ".join(f"({k}, '{path}')" for region in sharding.tree(25) for rack in region for k, path, _ in rack)
+
 ORACLES: dict[str, str] = {
     # Sizes, ranks and water levels; the level that holds is the first under which no other source is above its cap.
     "op2_source_mixing": rf"""
@@ -128,6 +141,16 @@ it AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SEL
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+    "op7_sharding": f"""
+WITH c AS (SELECT {_crc_table()}::BIGINT[] AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
+             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+x AS (SELECT r, doc_id, key, size, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM d, c),
+leaf(shard, path) AS (VALUES {_LEAVES}),
+draw AS (SELECT r, shard, -ln((('0x' || substr(md5(key || ':' || path), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) AS e FROM d, leaf),
+p AS (SELECT r, arg_min(shard, e) FILTER (shard < 24) AS shard, arg_min(shard, e) AS grown FROM draw GROUP BY r)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':slot'), doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot, grown AS grown_shard
+FROM x JOIN p USING (r)""",
     # Exact links by shared shingles; components by a recursive walk, as the groups here are small.
     "op9_near_dedup": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),

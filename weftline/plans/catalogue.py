@@ -388,11 +388,10 @@ def lexical_tokens(spark, sf_dir):
 # Texts
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, arg_max(text, turn) AS answer FROM conversations GROUP BY conv_id HAVING length(arg_max(text, turn)) <= 10000")
+@query("SELECT conv_id, count(*) AS turns, arg_max(role, turn) AS role, arg_max(text, turn) AS answer FROM conversations GROUP BY conv_id HAVING length(arg_max(text, turn)) <= 10000")
 def last_turn(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"), F.max_by("text", "turn").alias("last"))
-    out = c.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"), F.substring_index("last", "</think>", -1).alias("answer"))
-    return out.where(F.length("answer") <= 10_000)
+    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max_by("role", "turn").alias("role"), F.max_by("text", "turn").alias("last"))
+    return c.select("conv_id", "turns", "role", F.substring_index("last", "</think>", -1).alias("answer")).where(F.length("answer") <= 10_000)
 
 
 @query(f"SELECT event_id, 'Turn the text into JSON under the schema. [SCHEMA]' || CASE WHEN event_type = 'click' THEN '{MISSING}' ELSE event_type END || '[INPUT]' || props || '[OUTPUT]' AS prompt FROM events")

@@ -29,6 +29,30 @@ def small(spark):
     return chunks, schemas, conversions
 
 
+def test_code_is_shipped_where_executors_lack_it(tmp_path, monkeypatch):
+    import zipfile
+
+    from weftline import session
+
+    class Context:
+        applicationId = "app"
+        files: list = []
+
+        def addPyFile(self, path):  # noqa: N802
+            self.files.append(path)
+
+    class Session:
+        sparkContext = Context()
+
+    session.ship(Session())
+    assert Context.files == []  # the tests' executors have it
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("PYTHONPATH", "/nowhere")
+    session.ship(Session())
+    session.ship(Session())
+    assert len(Context.files) == 1 and "weftline/storage.py" in zipfile.ZipFile(Context.files[0]).namelist()
+
+
 def test_store(spark, tmp_path, small):
     store = Store(spark, f"file://{tmp_path}/db")
     store.create()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +17,25 @@ def session(name: str = "weftline", master: str | None = None, **settings: str)
         builder = builder.master(master)
     known = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
     return builder.config(map={**known, **settings}).getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, unless they find it as the driver does: through PYTHONPATH or
+    the working directory."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or any(p and os.path.realpath(p) == os.path.realpath(root) for p in found):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="weftline-"), "weftline.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "weftline")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

@@ -220,13 +220,18 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     # A class of equal sets is stood for by one row, the first with its least doc_id.
     classes = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "uid")).alias("rep"), F.count("*").alias("n"))
     classes = materialise(classes.where("n > 1").select("set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.uid").alias("rep_uid")), "classes")
-    marked = real.join(classes, "set_key", "left")
-    member = marked.where("doc_id > rep").select("doc_id", "rep")
-    reps = marked.where("rep is null or uid = rep_uid").select("doc_id", "n_shingles", "registers")
-    reps = materialise(reps, "reps")
+    marked = real.select("doc_id", "uid", "set_key").join(classes, "set_key")
+    copies = materialise(marked.where("uid != rep_uid").select("uid", "doc_id", "rep"), "copies")
+    member = copies.where("doc_id > rep").select("doc_id", "rep")
+    # Rows whose hashed number is that of no copy are kept as they are, so that few registers are shuffled.
+    slot = F.pmod(F.xxhash64("uid"), F.lit(SLOTS))
+    hit = F.broadcast(copies.select(slot.alias("__slot")).distinct())
+    there = slot == F.col("__slot")
+    reps = real.join(hit, there, "left_anti").union(real.join(hit, there, "left_semi").join(copies.select("uid"), "uid", "left_anti").select(real.columns))
+    reps = materialise(reps.select("doc_id", "n_shingles", "registers"), "reps")
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
     keyed = reps.select("doc_id", "registers", band.alias("band")).select(F.xxhash64("band", F.substring("registers", F.col("band") * (2 * rows) + 1, F.lit(2 * rows))).alias("key"), "doc_id")
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     buckets = materialise(buckets.where("first < last").drop("last"), "buckets")
     held = materialise(keyed.join(buckets, "key"), "held")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -235,7 +240,8 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
     links = materialise(_confirm(passed, texts, percent), "links")
     label = components(links).withColumnRenamed("node", "doc_id")
     # Buckets of three members or more, in several components.
-    rest = held.where("n > 2").select("key", "doc_id", "n").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    many = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    rest = held.select("key", "doc_id").join(many, "key").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     rest = materialise(rest, "rest")
     still = materialise(rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "open")
     blocks = F.ceil(F.col("n") / block).cast("int")

@@ -131,10 +131,13 @@ def plain_groups(edges):
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
-    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == plain_groups(edges)
+    for few in (0, 1000):  # by joins, and in arrays
+        got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == plain_groups(edges)
+        named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges] + [(None, "x")], "a string, b string")
+        assert {r.node: r.label for r in graph.components(named, few).collect()} == {f"n{k:03}": f"n{v:03}" for k, v in plain_groups(edges).items()}
     empty = spark.createDataFrame([], "a long, b long")
-    assert graph.components(empty).count() == 0
+    assert graph.components(empty).count() == graph.components(empty, -1).count() == 0
 
 
 def test_roots(spark):

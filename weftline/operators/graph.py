@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -10,22 +12,23 @@ from weftline.storage import materialise
 
 def roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
     """(node, root): the end of each row's chain of parents; an absent parent row is itself the root. Pointers are
-    doubled each round, so depth d takes log2(d) joins. Rows on a cycle get the least node of the cycle."""
+    doubled each round, so depth d takes log2(d) joins. Rows on a cycle, or that lead to one, get the least node met."""
     p = nodes.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("up"))
     p = materialise(p.where("node is not null").dropDuplicates(["node"]).withColumn("low", F.least("node", "up")), "roots")
+    before = -1
     while True:
         hop = p.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("low").alias("far_low"))
-        new = p.join(hop, "up", "left").select("node", F.coalesce("far", "up").alias("to"), F.least("low", F.coalesce("far_low", "low")).alias("low"), F.col("up").alias("old"))
-        new = materialise(new, "roots")
-        # On a chain the pointers come to rest; on a cycle they never do, but the least node seen does.
-        moving = new.where("to != old")
-        looped = moving.join(p.select("node", F.col("low").alias("was")), "node").where("low < was").limit(1).count()
-        reached = moving.join(new.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").where("next = to").limit(1).count()
-        p = new.select("node", F.col("to").alias("up"), "low")
-        if not looped and not reached:
-            settled = new.where("to = old").select("node", F.col("to").alias("root"))
-            cyclic = new.where("to != old").select("node", F.col("low").alias("root"))
-            return settled.union(cyclic)
+        step = p.join(hop, "up", "left").select("node", F.coalesce("far", "up").alias("up"), F.least("low", F.coalesce("far_low", "low")).alias("low"), F.col("up").alias("old"), F.col("low").alias("old_low"))
+        seen = Observation()  # counted while the round is written
+        step = step.observe(seen, F.count_if(F.col("up") != F.col("old")).alias("moved"), F.count_if(F.col("low") < F.col("old_low")).alias("lower"))
+        p = materialise(step, "roots")
+        moved, lower = seen.get["moved"], seen.get["lower"]
+        # As chains have nodes at every depth, some come to rest in each round while any chain moves. If as many move
+        # as before, and none has met a lesser node, all that move go round on cycles.
+        if not moved or moved == before and not lower:
+            return p.select("node", F.when(F.col("up") == F.col("old"), F.col("up")).otherwise(F.col("low")).alias("root"))
+        before = moved
+        p = p.select("node", "up", "low")
 
 
 def content_signature(text: Column | str) -> Column:
@@ -55,13 +58,21 @@ def signatures(conversions: DataFrame, chunks: DataFrame, schemas: DataFrame, do
     return rows.select("id", F.explode(F.array_distinct(all_)).alias("signature"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges up to which components are found on the driver: two arrays of as many numbers.
+FEW_EDGES = 500_000
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, label): the least node that each node of the edges (a, b) reaches.
 
     A label falls to the least label among the neighbours and then to its own label (pointer jumping), so the rounds
     grow with the logarithm of the diameter. Each round is written to the shared folder. The sides of the joins are
-    plain scans or pre-aggregated, so AQE can split a hot node."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    plain scans or pre-aggregated, so AQE can split a hot node. At most `few` edges, a bounded amount whatever the
+    input, are labelled in the same way in arrays on the driver, as a round of jobs costs more than they do."""
+    edges = materialise(edges.select("a", "b").where("a is not null and b is not null"), "edges")
+    if edges.count() <= few:
+        return _label_arrays(edges)
+    both = materialise(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -73,6 +84,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _label_arrays(edges: DataFrame) -> DataFrame:
+    """The labels of a bounded number of edges, by the same rule."""
+    kind = edges.schema["a"].dataType.simpleString()
+    table = edges.toPandas()
+    names, codes = np.unique(table.to_numpy().reshape(-1), return_inverse=True)
+    a, b = codes.reshape(-1, 2).T if len(names) else (codes, codes)
+    label = np.arange(len(names))
+    while True:
+        old = label.copy()
+        np.minimum.at(label, label[a], label[b])
+        np.minimum.at(label, label[b], label[a])
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == old).all():
+            break
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": names, "label": names[label]}), f"node {kind}, label {kind}")
+
+
 def signature_components(edges: DataFrame, node: str = "id", signature: str = "signature") -> DataFrame:
     """(node, component): nodes that share signatures, directly or through others; the least node names a component.
     Every node is linked to the least node of each signature, a star and not all pairs."""

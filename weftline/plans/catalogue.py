@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scores import MISSING
 from weftline.operators import cleaning, evaluation, generation, graph, retrieval, sampling, training, udfs
+from weftline.session import spread
 from weftline.sources import layouts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source documents."""
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("TEXT").alias("content_type"), "source", "lang", "n_chars")
+    return spread(_t(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("TEXT").alias("content_type"), "source", "lang", "n_chars")
 
 
 def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:

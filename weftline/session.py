@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "weftline", master: str | None = None, **settings: str) -> SparkSession:
@@ -39,3 +39,10 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame, small: int = 20 << 20) -> DataFrame:
+    """A small input over all cores, for operators that work long on each row. A Parquet file of a single row group is
+    one task however many cores there are; inputs above `small` bytes come in pieces of their own and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 1 << 20 <= size <= small else df

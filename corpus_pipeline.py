@@ -43,8 +43,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every row in a shard, with a slot."""
-    return sharding.assign(docs).select("row.*", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    """Place every row in a shard, with a slot. A column of docs that is named as one of the new ones gives way."""
+    new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    placed = sharding.assign(docs)
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language", identify_language), ("near_duplicates", drop_near_duplicates), ("decontamination", decontaminate), ("mixing", mix_sources), ("sharding", shard)]

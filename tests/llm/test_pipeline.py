@@ -34,3 +34,15 @@ def test_run(spark):
     for shard in {r.shard for r in got}:
         own = sorted(r.slot for r in got if r.shard == shard)
         assert own == list(range(len(own)))
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls, empty texts, repeated rows, columns with clashing names, and no rows at all."""
+    from tests.llm.test_operators import odd
+
+    for docs in (odd(spark), odd(spark).where("false")):
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, docs, SF)
+            assert k == 4 or got.columns == columns
+            assert len(set(got.columns)) == len(got.columns) and got.count() <= 2 * docs.count()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam, langid, mixing, neardup, quality, secrets, sharding, token_counts, toxicity, warc
+from weftline.session import spread
 
 #: File of the tokenizer in the folder of public vocabularies; another path may be given.
 TOKENIZER = "piece_bpe_32k.model"
@@ -21,7 +22,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from typing import Any
 import pandas as pd
 import yaml
 
-from weftline.functions.formats import CsvText, HtmlTable, MarkdownTable
+from weftline.functions.formats import HtmlTable, MarkdownTable
 from weftline.functions.json_schema import Schema, compile_schema, strict
 from weftline.functions.variation import WORDS
 
@@ -98,6 +98,3 @@ def triplet(seed: int) -> dict[str, str] | None:
     if compile_schema(schema)(output) is not None:
         return None
     return {"input_data": rendered(df, how, rng), "content_type": CONTENT_TYPE[how], "schema": json.dumps(schema), "output": json.dumps(output)}
-
-
-__all__ = ["CsvText", "GENERATORS", "RENDERINGS", "frame", "rendered", "triplet"]

@@ -6,13 +6,14 @@ executors share (spark.checkpoint.dir), so that a lost executor costs a re-read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftline.storage import fresh_path, materialise, shared_dir  # noqa: F401
 
@@ -20,6 +21,18 @@ from weftline.storage import fresh_path, materialise, shared_dir  # noqa: F401
 BLANKS = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes in an Arrow batch of whole texts. Batches lie in memory several times over, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_BYTES, unless the session has a limit of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) == "67108864b":  # Spark's default
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about `most` bytes of text each (one longer text is a piece of its own)."""
     if not batch.num_rows:

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh_path, slices
+from weftline.llm.common import arrow_map, fresh_path, slices
 
 WIDTH = 10
 #: ASCII letters to lower case, digits and bytes of other characters kept, all else a blank.
@@ -153,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array(digest, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
 
-    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean")
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20) -> DataFrame:
@@ -164,4 +164,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         for part, _, hit, _ in scan(batches, paths, text_col):
             yield part.filter(pa.array([not h for h in hit], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

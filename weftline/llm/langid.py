@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import arrow_map, slices
 
 N = 3
 UNKNOWN = "und"
@@ -120,7 +120,7 @@ def learn(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
         for lang, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = arrow_map(sample, run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     sp, out = Space(dim), np.zeros((len(langs), dim))
     for i, lang in enumerate(langs):
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 preds, scores = model.told(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.05, **options: object) -> DataFrame:
@@ -187,4 +187,4 @@ def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 preds, scores = model.told(part.column(text_col).to_pylist())
                 yield part.filter(pa.array([p != UNKNOWN and c >= least for p, c in zip(preds, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, slices, split_words
+from weftline.llm.common import arrow_map, materialise, slices, split_words
 from weftline.operators.graph import components
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
@@ -152,7 +152,7 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
                 regs = registers(flat, ends, m)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(set_keys(flat, ends), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
 
-    return cols.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, registers binary")
+    return arrow_map(cols, run, "doc_id bigint, n_shingles bigint, set_key binary, registers binary")
 
 
 def _registers(column: pd.Series) -> np.ndarray:
@@ -202,7 +202,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(seen) + len(other) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return arrow_map(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), run, "a bigint, b bigint").distinct()
 
 
 def shingles(text: str | None) -> frozenset:

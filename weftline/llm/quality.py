@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices, split_words
+from weftline.llm.common import arrow_map, slices, split_words
 
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -81,7 +81,7 @@ def statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 out = [np.diff(starts), chars, [len(x.translate(None, _SYMBOLS)) for x in raw], [a for a, _ in lines], repeats(codes, starts, len(vocab)), [b for _, b in lines], [len(x.translate(None, _UPPER)) for x in raw], [len(x.translate(None, _MARKS)) for x in raw]]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", *COUNTS])
 
-    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
 def ratio(a: str, b: str) -> Column:

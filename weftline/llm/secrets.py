@@ -12,7 +12,6 @@ added span that lies within a base span of the same text is left out. Only the i
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import arrow_map, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -117,7 +116,7 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 spans = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s, _ in found], kind)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), spans, pa.array([c for _, c in found], pa.float64())], ["doc_id", "spans", "max_cost"])
 
-    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:bigint,end:bigint,kind:string>>, max_cost double")
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, spans array<struct<start:bigint,end:bigint,kind:string>>, max_cost double")
 
 
 def digest_columns(spans: DataFrame) -> DataFrame:
@@ -147,4 +146,4 @@ def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "[secret]", m
                 texts = pa.array([clean(t) for t in part.column(text_col).to_pylist()], part.column(text_col).type)
                 yield part.set_column(part.schema.get_field_index(text_col), text_col, texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import arrow_map, slices
 
 SPACE = "▁"
 #: Distinct segments whose counts a worker remembers before it starts anew; a matter of speed only.
@@ -165,7 +165,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), tokens], ["doc_id", "n_bytes", "n_tokens"])
 
     cols = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
-    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
 
 
 def truncate(docs: DataFrame, model: str, budget: int, text_col: str = "text") -> DataFrame:
@@ -178,7 +178,7 @@ def truncate(docs: DataFrame, model: str, budget: int, text_col: str = "text") -
                 texts = pa.array([None if t is None else cut(t, budget) for t in part.column(text_col).to_pylist()], part.column(text_col).type)
                 yield part.set_column(part.schema.get_field_index(text_col), text_col, texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def prefix_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,4 +191,4 @@ def prefix_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([prefixes(t) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "counts"])
 
     cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, counts array<int>")
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, counts array<int>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices
+from weftline.llm.common import arrow_map, slices
 from weftline.llm.features import ids, words_of
 
 FOLDS = 5
@@ -159,7 +159,7 @@ def score(docs: DataFrame, models: list[Linear], names: list[str], *, id_col: st
                     dense = np.hstack([dense, squash(logit)[:, None]])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, out)], ["doc_id", *("p_" + n for n in names)])
 
-    return cols.mapInArrow(run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}" + "".join(f", p_{n} double" for n in names))
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}" + "".join(f", p_{n} double" for n in names))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", **options: object) -> DataFrame:

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh_path, materialise
+from weftline.llm.common import arrow_map, fresh_path, materialise
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -85,7 +85,7 @@ def write_archives(records: DataFrame, folder: str, *, most_bytes: int = 256 <<
             done.append((name, n, size))
         yield pa.RecordBatch.from_pydict({"file": [x[0] for x in done], "records": [x[1] for x in done], "bytes": [x[2] for x in done]}, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    return materialise(records.mapInArrow(run, "file string, records bigint, bytes bigint"), "warc-manifest")
+    return materialise(arrow_map(records, run, "file string, records bigint, bytes bigint"), "warc-manifest")
 
 
 class Reader:
@@ -177,7 +177,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, payload
                 yield _rows(rows, payloads)
 
     files = max(1, manifest.count())
-    return manifest.select("file").repartition(files).mapInArrow(run, SCHEMA + ", payload binary" * payloads)
+    return arrow_map(manifest.select("file").repartition(files), run, SCHEMA + ", payload binary" * payloads)
 
 
 def _rows(rows: list, payloads: bool) -> pa.RecordBatch:

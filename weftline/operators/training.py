@@ -62,10 +62,10 @@ def padded(df: DataFrame, batch: str, pad: int, multiple: int = 8) -> DataFrame:
 
 
 def length_quantiles(df: DataFrame, length: Column | str, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Quantiles with linear interpolation."""
+    """Quantiles with linear interpolation, to 3 places."""
     c = F.col(length) if isinstance(length, str) else length
     q = F.percentile(c, F.array(*[F.lit(x) for x in at]))
-    return df.agg(q.alias("q")).select(*[F.element_at("q", i + 1).alias(f"p{round(x * 100)}") for i, x in enumerate(at)])
+    return df.agg(q.alias("q")).select(*[F.round(F.element_at("q", i + 1), 3).alias(f"p{round(x * 100)}") for i, x in enumerate(at)])
 
 
 def floor_percentile(df: DataFrame, group: str, value: str, q: float) -> DataFrame:

@@ -477,7 +477,7 @@ def run_info(spark, sf_dir):
     return evaluation.run_info(_results(spark, sf_dir))
 
 
-@query("SELECT " + ", ".join(f"quantile_cont(n_chars, {x}) AS p{round(x * 100)}" for x in (0.5, 0.9, 0.95, 0.99)) + " FROM documents")
+@query("SELECT " + ", ".join(f"round(quantile_cont(n_chars, {x}), 3) AS p{round(x * 100)}" for x in (0.5, 0.9, 0.95, 0.99)) + " FROM documents")
 def quantiles(spark, sf_dir):
     return training.length_quantiles(_docs(spark, sf_dir), "n_chars")
 
@@ -493,12 +493,12 @@ def token_length_filter(spark, sf_dir):
     return training.within_length(d, 1000).select("id", "n_chars")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, role, list_transform(range(length(role)), i -> ord(role[i + 1])) AS p, list_transform(range(least(length(text), 5)), i -> ord(text[i + 1])) AS t FROM conversations),
-y AS (SELECT conv_id, turn, list_concat([1], p, t, [2]) AS ids, list_concat(list_transform(range(len(p) + 1), i -> -100), t, [2]) AS labels FROM x),
+@query("""WITH x AS (SELECT conv_id, turn, role, list_transform(range(length(role)), lambda i: ord(role[i + 1])) AS p, list_transform(range(least(length(text), 5)), lambda i: ord(text[i + 1])) AS t FROM conversations),
+y AS (SELECT conv_id, turn, list_concat([1], p, t, [2]) AS ids, list_concat(list_transform(range(len(p) + 1), lambda i: -100), t, [2]) AS labels FROM x),
 z AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY conv_id) / 8) * 8)::BIGINT AS w FROM y)
-SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(w - len(ids)), i -> 0)), ',') AS input_ids,
-array_to_string(list_concat(labels, list_transform(range(w - len(ids)), i -> -100)), ',') AS labels,
-array_to_string(list_concat(list_transform(range(len(ids)), i -> 1), list_transform(range(w - len(ids)), i -> 0)), ',') AS attention_mask FROM z""")
+SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(w - len(ids)), lambda i: 0)), ',') AS input_ids,
+array_to_string(list_concat(labels, list_transform(range(w - len(ids)), lambda i: -100)), ',') AS labels,
+array_to_string(list_concat(list_transform(range(len(ids)), lambda i: 1), list_transform(range(w - len(ids)), lambda i: 0)), ',') AS attention_mask FROM z""")
 def tokenise_mask_pad(spark, sf_dir):
     code = lambda s: [ord(c) for c in s]
     c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", training.tokens("role", code).alias("p"), training.tokens(F.substring("text", 1, 5), code).alias("t"))
@@ -553,20 +553,22 @@ def convert_all(spark, sf_dir):
     return fresh.groupBy("content_type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, '{"n": ' || l_linenumber || ', "part": ' || l_partkey || '}' AS line FROM lineitem),
-a AS (SELECT l_orderkey, string_agg(line, ', ' ORDER BY l_linenumber) AS lines FROM l GROUP BY 1)
-SELECT o_orderkey AS id, '$' AS path, ('{"key": ' || o_orderkey || ', "status": "' || o_orderstatus || '", "lines": [' || lines || ']}') AS content FROM orders JOIN a ON o_orderkey = l_orderkey
+_PARTS = """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, '{"n": ' || l_linenumber || ', "part": ' || l_partkey || '}' AS line FROM lineitem),
+a AS (SELECT l_orderkey, string_agg(line, ', ' ORDER BY l_linenumber, l_partkey) AS lines FROM l GROUP BY 1),
+p AS (SELECT o_orderkey AS id, '$' AS path, ('{"key": ' || o_orderkey || ', "status": "' || o_orderstatus || '", "lines": [' || lines || ']}') AS content FROM orders JOIN a ON o_orderkey = l_orderkey
 UNION ALL SELECT l_orderkey, '$.lines', '[' || lines || ']' FROM a
-UNION ALL SELECT l_orderkey, '$.lines[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line) - 1) || ']', line FROM l""")
+UNION ALL SELECT l_orderkey, '$.lines[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1) || ']', line FROM l)"""
+
+
+@query(_PARTS + " SELECT * FROM p")
 def sub_json(spark, sf_dir):
     return _order_json(spark, sf_dir).select("id", F.explode(udfs.parts("content", F.lit(7))).alias("p")).select("id", "p.path", "p.content")
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+@query(_PARTS + " SELECT count(DISTINCT lower(content)) AS n FROM p WHERE length(content) >= 30")
 def sub_documents(spark, sf_dir):
-    """Each order gives one sub-document: a fifth of its parts, one at the least; parts equal in text are one row."""
-    got = generation.sub_documents(_json_chunks(spark, sf_dir), source="documents", least=0, share=0.0)
-    return got.select("parent_document_id").distinct().agg(F.count("*").alias("n"))
+    got = generation.sub_documents(_json_chunks(spark, sf_dir), source="documents", least=30, share=1.0)
+    return got.agg(F.count("*").alias("n"))
 
 
 STRICT_K = json.dumps(dict(type=["object", "null"], properties=dict(k=dict(type=["integer", "null"])), required=["k"], additionalProperties=False))
@@ -634,7 +636,7 @@ def tabular(spark, sf_dir):
 
 @query()
 def diff_metrics(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
+    e = spread(_t(spark, sf_dir, "events"))
     wrong = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit("k"), F.lit("key"))).when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props"))
     r = e.select("event_id", wrong.alias("completion"), F.lit(None).cast("string").alias("schema"), F.col("props").alias("correct_answer"), F.lit(None).cast("string").alias("request_error"), F.lit(None).cast("string").alias("synthetic_type"))
     return evaluation.scored(r).select("event_id", "error_type", "correct", "diff_lines", "chars_added", "chars_missing", "similarity")

@@ -257,6 +257,24 @@ def test_added_spans_and_odd_texts(spark):
     assert secrets.redact(one).first()[0] == "a [secret] then [secret]"
 
 
+@pytest.mark.parametrize("text, added", [
+    ("password: Xk9!vQ#7zL$p2Wm", ["password: Xk9!vQ#7zL$p2Wm"]),
+    ('password="$9kQ!x7Lz#Wp"', ['password="$9kQ!x7Lz#Wp']),
+    ("secret = aB3$fG7!kL9@qR2", ["secret = aB3$fG7!kL9@qR2"]),
+    ("client_secret=A1$kd93!sk", ["secret=A1$kd93!sk"]),
+    ("passwd=$kQ!xLz#WpRv", ["passwd=$kQ!xLz#WpRv"]),  # no digit
+    ("api_key=abcdefg$kQ9!xLz#Wp4 end", ["api_key=abcdefg$kQ9!xLz#Wp4"]),  # the base span ends at $
+    ("token: Bearer x9!Kq2#mVt7", ["Bearer x9!Kq2#mVt7"]),
+    ("token=x9Kq2mVt7Lp4", []),  # the base span holds it all
+    ('{"token":"abc","next":"/home","secret":"Xk9!vQ#7zL","u":"bob"}', ['secret":"Xk9!vQ#7zL']),
+    ("password: $password$123", []),
+])
+def test_base_credential_words_are_contexts(text, added):
+    spans, highest = secrets.find(text)
+    assert [text[a:b] for a, b, k in spans if k == "cred"] == added
+    assert [s for s in spans if s[2] != "cred"] == plain_spans(text) and (highest >= 10) >= bool(added)
+
+
 # 5. language
 
 

@@ -1,13 +1,14 @@
 """Secret scans with a guess-cost model (operator 4).
 
-Base spans are three fixed patterns. The method adds spans of kind `cred`: values that follow a credential word which
-the base pattern doesn't know, or that the base pattern would cut at other characters, and that are costly to guess.
-The cost of a value is the least, over all ways to cut it into dictionary words, dates, repeats, keyboard walks,
-sequences and brute-force characters, of the sum of the parts' log10 guesses; it is found by dynamic programming
-over the ends of parts. A value is added if its cost reaches min_cost and it mixes letters with digits.
+Base spans are three fixed patterns. The method adds spans of kind `cred`: values that follow a credential word, the
+base pattern's or another, and that are costly to guess. The cost of a value is the least, over all ways to cut it into
+dictionary words, dates, repeats, keyboard walks, sequences and brute-force characters, of the sum of the parts' log10
+guesses; it is found by dynamic programming over the ends of parts. A value is added if its cost reaches min_cost. A
+value in quotes ends at the same quote; a bare one at a blank or ', less closing punctuation.
 
 Cases: null and empty texts have no spans and the digest of an empty string; equal spans of one kind can't occur; an
-added span that lies within a base span of the same text is left out. Only the id and text columns are read.
+added span is left out if a base span or another added one contains it entirely, and may else overlap base spans, which
+stay as they are. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from weftline.llm.common import arrow_map, slices
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Credential words beyond the base pattern's, and values with the characters that it stops at.
-CONTEXT = re.compile(r"""(pwd|passphrase|passcode|credentials?|bearer|private_?key|access_?key|auth_?key|client_?id|login|pin)["']?\x20*(?:[:=]\x20*|(?<=bearer)\x20)["']?([!-&(-~]{6,256})""", re.I | re.A)
+#: Credential words, the base pattern's among them, and values with the characters that it stops at.
+CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|pwd|passphrase|passcode|credentials?|bearer|private_?key|access_?key|auth_?key|client_?id|login|pin)["']?\x20*(?:[:=]\x20*|(?<=bearer)\x20)(?:"([!#-~]{6,256})|'?(?!")([!-&(-~]{6,256}))""", re.I | re.A)
+#: The longest end of a value that can begin the next match: a credential word, a quote and a sign.
+TAIL = len('credentials":')
 WORDS_BASE = ("passw", "secret", "token", "apikey", "api_key")
-WORDS_CONTEXT = ("pwd", "passphrase", "passcode", "credential", "bearer", "private", "access", "auth", "client", "login", "pin")
+WORDS_CONTEXT = (*WORDS_BASE, "pwd", "passphrase", "passcode", "credential", "bearer", "private", "access", "auth", "client", "login", "pin")
 KINDS = ("assign", "access", "hex", "cred")
 
 _COMMON = "password 123456 secret admin welcome qwerty letmein login master dragon monkey shadow sunshine princess football baseball iloveyou trustno1 superman batman hello freedom whatever starwars passw0rd changeme default test guest root user demo example sample token key value public private account system server database network internet computer company business service summer winter spring autumn january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday love money house world peace happy lucky orange purple silver golden yellow green black white none null true false string number client access bearer the and for you that with this from have not are was your all can one out more".split()
@@ -90,17 +93,22 @@ def find(text: str | None, min_cost: float = 10.0) -> tuple[list[tuple[int, int,
     if "AKIA" in text:
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    base = list(spans)
     if any(w in low for w in WORDS_CONTEXT):
-        for m in CONTEXT.finditer(text):
-            value = m[2].rstrip("\"',;.)")
-            end = m.start(2) + len(value)
-            if len(value) < 6 or not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or any(a < end and m.start(2) < b for a, b, _ in base):
+        base, k, covered, at = sorted(spans), 0, 0, 0
+        while m := CONTEXT.search(text, at):
+            begin, end = m.span(m.lastindex)
+            at = max(begin, end - TAIL)
+            if text[begin - 1] not in "\"'":
+                end = begin + len(text[begin:end].rstrip("\"',;.)"))
+            while k < len(base) and base[k][0] <= m.start():
+                covered, k = max(covered, base[k][1]), k + 1
+            if end - begin < 6 or end <= covered:
                 continue
-            cost = guess_cost(value)
+            cost = guess_cost(text[begin:end])
             highest = max(highest, cost)
             if cost >= min_cost:
                 spans.append((m.start(), end, "cred"))
+                covered = end
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))), highest
 
 

@@ -275,6 +275,15 @@ def test_base_credential_words_are_contexts(text, added):
     assert [s for s in spans if s[2] != "cred"] == plain_spans(text) and (highest >= 10) >= bool(added)
 
 
+def test_long_values_are_covered_whole(spark):
+    value = "".join(random.Random(4).choices("abcdefghkmXYZ0123456789-_.", k=1000)) + "Z"
+    for text in ("Authorization: Bearer " + value, 'passwd="$' + value + '"', "pwd=$" + value):
+        spans, highest = secrets.find(text)
+        assert [(text[a:b][-len(value):], k) for a, b, k in spans] == [(value, "cred")]
+        assert highest >= secrets.guess_cost(value) > secrets.guess_cost(value[:256])
+        assert value[-9:] not in secrets.redact(spark.createDataFrame([(text,)], "text string")).first()[0]
+
+
 # 5. language
 
 

@@ -27,7 +27,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Credential words, the base pattern's among them, and values with the characters that it stops at.
-CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|pwd|passphrase|passcode|credentials?|bearer|private_?key|access_?key|auth_?key|client_?id|login|pin)["']?\x20*(?:[:=]\x20*|(?<=bearer)\x20)(?:"([!#-~]{6,256})|'?(?!")([!-&(-~]{6,256}))""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|pwd|passphrase|passcode|credentials?|bearer|private_?key|access_?key|auth_?key|client_?id|login|pin)["']?\x20*(?:[:=]\x20*|(?<=bearer)\x20)(?:"([!#-~]{6,})|'?(?!")([!-&(-~]{6,}))""", re.I | re.A)
 #: The longest end of a value that can begin the next match: a credential word, a quote and a sign.
 TAIL = len('credentials":')
 WORDS_BASE = ("passw", "secret", "token", "apikey", "api_key")

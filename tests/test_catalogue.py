@@ -40,6 +40,21 @@ def test_augmented_samples_keep_their_originals(spark):
     assert all(json.loads(r.input_data) == json.loads(r.original_input) for r in got)
 
 
+def test_whole_texts_are_tokenised(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    width, want = {}, {}
+    for r in rows:
+        width[r.conv_id] = max(width.get(r.conv_id, 0), -(-(len(r.role) + len(r.text) + 2) // 8) * 8)
+    for r in rows:
+        t, n = [ord(c) for c in r.text], len(r.role) + len(r.text) + 2
+        rest = width[r.conv_id] - n
+        parts = ([1, *map(ord, r.role), *t, 2] + [0] * rest, [-100] * (len(r.role) + 1) + t + [2] + [-100] * rest, [1] * n + [0] * rest)
+        want[r.conv_id, r.turn] = tuple(",".join(map(str, x)) for x in parts)
+    got = catalogue.QUERIES["tokenise_mask_pad_whole"](spark, SF).collect()
+    assert len(got) == len(rows) == len(want) and max(len(r.text) for r in rows) > 5
+    assert {(r.conv_id, r.turn): (r.input_ids, r.labels, r.attention_mask) for r in got} == want
+
+
 def test_entry(spark):
     import __spark_entry__
 

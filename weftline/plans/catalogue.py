@@ -500,12 +500,22 @@ SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(w -
 array_to_string(list_concat(labels, list_transform(range(w - len(ids)), lambda i: -100)), ',') AS labels,
 array_to_string(list_concat(list_transform(range(len(ids)), lambda i: 1), list_transform(range(w - len(ids)), lambda i: 0)), ',') AS attention_mask FROM z""")
 def tokenise_mask_pad(spark, sf_dir):
+    return _tokenised(spark, sf_dir, F.substring("text", 1, 5))
+
+
+def _tokenised(spark: SparkSession, sf_dir: str, text: Column | str) -> DataFrame:
     code = lambda s: [ord(c) for c in s]
-    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", training.tokens("role", code).alias("p"), training.tokens(F.substring("text", 1, 5), code).alias("t"))
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", training.tokens("role", code).alias("p"), training.tokens(text, code).alias("t"))
     out = training.padded(training.masked(c, "p", "t", 1, 2), "conv_id", 0)
     return out.select("conv_id", "turn", *[F.array_join(k, ",").alias(k) for k in ("input_ids", "labels", "attention_mask")])
 
 
+@query(ORACLES["tokenise_mask_pad"].replace("least(length(text), 5)", "length(text)"))
+def tokenise_mask_pad_whole(spark, sf_dir):
+    """tokenise_mask_pad over whole texts, whose SQL holds it to the first 5 characters."""
+    return _tokenised(spark, sf_dir, "text")
+
+
 # Formats
 
 

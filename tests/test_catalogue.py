@@ -6,6 +6,7 @@ import pytest
 
 from tests.compare import check, tables
 from weftline.functions.json_schema import check as wrong
+from weftline.operators import sampling
 from weftline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +41,18 @@ def test_augmented_samples_keep_their_originals(spark):
     assert all(json.loads(r.input_data) == json.loads(r.original_input) for r in got)
 
 
+def test_augmented_samples_have_negatives(spark):
+    got = catalogue.QUERIES["augment"](spark, SF).collect()
+    own = {r.original_schema for r in got}
+    negative = [r for r in got if r.schema in own and r.schema != r.original_schema]
+    assert len(own) > 1 and 0.04 < len(negative) / len(got) < 0.12  # chance 0.1, less what later steps change again
+    assert all(r.output == "{}" and wrong(r.original_output, r.schema) is not None for r in negative)
+    again = sampling.augmented(catalogue._samples(spark, SF).repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    none = sampling.augmented(catalogue._samples(spark, SF), others=[]).collect()
+    assert not [r for r in none if r.schema in own and r.schema != r.original_schema]
+
+
 def test_whole_texts_are_tokenised(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     width, want = {}, {}

@@ -80,9 +80,14 @@ def negative_samples(samples: DataFrame, share: float = 0.25, tries: int = 3, se
     return out.select("input_data", F.col("other").alias("schema"), F.col("empty").alias("output"), meta.alias("meta"))
 
 
-def augmented(samples: DataFrame, others: list[str] | None = None, chances: tuple[float, ...] = (0.1, 0.1, 0.5, 0.1), seed: int = 0, steps: list[tuple[variation.Step, float]] | None = None) -> DataFrame:
+def augmented(samples: DataFrame, others: list[str] | None = None, chances: tuple[float, ...] = (0.1, 0.1, 0.5, 0.1), seed: int = 0, steps: list[tuple[variation.Step, float]] | None = None, pool: int = 5000) -> DataFrame:
     """Training samples with the steps negative, no schema, varied schema, presentation, each by its chance; or with
-    any other steps. Original columns are kept as original_schema, original_output, original_input."""
+    any other steps. The negative step draws from `others`, or else from a pool of at most `pool` of the samples' own
+    distinct schemas, the first in the order of a digest. Original columns are kept as original_schema, original_output,
+    original_input."""
+    if others is None and steps is None:
+        own = samples.where(F.col("schema") != MISSING).select("schema").distinct()
+        others = [r.schema for r in shuffled(own, "schema", pool, "negative").collect()]
     acts = steps or [(variation.step_negative(others or []), chances[0]), (variation.step_drop_schema, chances[1]), (variation.step_present, chances[2]), (variation.step_vary, chances[3])]
     src = samples.withColumn("__seed", F.pmod(F.xxhash64("input_data", "schema", F.lit(seed)), F.lit(1 << 40)))
 

@@ -318,6 +318,23 @@ def test_language_odd(spark):
     assert langid.keep_identified(odd(spark), least=0.0).columns == odd(spark).columns
 
 
+SHORT = ["The children walked slowly home from the school.", "It was raining when they left the house.", "Les enfants sont rentrés de l'école avec leurs amis.", "Die Kinder gingen langsam von der Schule nach Hause.", "Los niños volvieron despacio de la escuela a su casa."]
+FOREIGN = ["Дети медленно шли домой из школы, когда начался дождь. " * 4, "Τα παιδιά γύρισαν αργά από το σχολείο στο σπίτι τους. " * 4, "孩子们慢慢地从学校走回家，外面开始下雨了。" * 4]
+
+
+def test_only_what_is_beyond_chance_is_identified(spark):
+    rng, foreign = random.Random(5), [*FOREIGN]
+    for sizes in ((80,) * 150, (400,) * 50):
+        for low, high in ((0x61, 0x7B), (0x3B1, 0x3CA), (0x430, 0x450), (0x4E00, 0x9000)):
+            letters = [chr(c) for c in range(low, high)]
+            foreign.extend(" ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n)) for n in sizes)
+    docs = texts(spark).select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(SHORT + foreign)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in langid.keep_identified(docs.union(more)).select("doc_id").collect()}
+    assert {r.doc_id for r in docs.collect()} <= kept and {-1 - i for i in range(len(SHORT))} <= kept
+    assert len([i for i in kept if i < -len(SHORT)]) <= len(foreign) // 200  # at the old cut of 0.05, over a quarter
+
+
 # 6. decontamination
 
 

@@ -131,6 +131,16 @@ def learn(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
     return langs, out
 
 
+def least_cosine(counts: np.ndarray, dim: int) -> np.ndarray:
+    """By row of n-gram counts, the cosine that a text must reach to count as identified. Cosines of unrelated vectors
+    spread by 1 / sqrt(dim), whatever the length: 4.5 of that, as the largest of several languages is taken. Letters of a
+    learned script share n-grams with a language by chance, and kindred languages share more; that part of the cosine
+    grows with sum / length of the counts, the root of the number of different n-grams. A text in a learned language
+    grows faster, so longer texts must reach more, by 0.16 at most."""
+    spread = counts.sum(1) / np.maximum(1, np.linalg.norm(counts, axis=1))
+    return 4.5 / dim**0.5 + np.clip(0.01 * (spread - 7), 0, 0.16)
+
+
 class Model:
     """Languages in order and their prototypes, scaled to length 1."""
 
@@ -140,9 +150,14 @@ class Model:
 
     def told(self, texts: list[str | None], block: int = 64) -> tuple[list[str], list[float]]:
         """Language and cosine of each text."""
-        preds, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return self.weighed(texts, block)[:2]
+
+    def weighed(self, texts: list[str | None], block: int = 64) -> tuple[list[str], list[float], list[float]]:
+        """Language and cosine of each text, and the cosine that a text of its n-gram counts must reach to be more than
+        chance (least_cosine)."""
+        preds, scores, cuts = [UNKNOWN] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
         if not self.langs:
-            return preds, scores
+            return preds, scores, cuts
         sp = space(self.unit.shape[1])
         for at in range(0, len(texts), block):
             keys, counts = counted(sp, texts[at : at + block])
@@ -151,10 +166,11 @@ class Model:
             vectors = sp.bundles(keys, counts)
             length = np.linalg.norm(vectors, axis=1)
             cosines = (vectors @ self.unit.T) / np.where(length == 0, 1, length)[:, None]
+            least = least_cosine(counts, self.unit.shape[1])
             for i, (best, row, some) in enumerate(zip(cosines.argmax(1).tolist(), cosines, counts.any(1).tolist())):
                 if some:
-                    preds[at + i], scores[at + i] = self.langs[best], min(1.0, max(0.0, float(row[best])))
-        return preds, scores
+                    preds[at + i], scores[at + i], cuts[at + i] = self.langs[best], min(1.0, max(0.0, float(row[best]))), float(least[i])
+        return preds, scores, cuts
 
 
 def is_held(id_col: str, folds: int = 4, held: int = 2) -> Column:
@@ -175,16 +191,15 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.05, **options: object) -> DataFrame:
-    """The rows of docs, all columns, whose language is identified with a score of at least `least`. Cosines of unrelated
-    vectors spread by 0.03 in 1024 dimensions, and short texts have low ones in their own language, so only what is
-    hardly above chance is rejected."""
+def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None, **options: object) -> DataFrame:
+    """The rows of docs, all columns, whose language is identified with a score of at least `least`, or where that is None,
+    of at least what is beyond chance for the text (least_cosine)."""
     model = Model(*learn(docs.where(~is_held(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, 1 << 19):
-                preds, scores = model.told(part.column(text_col).to_pylist())
-                yield part.filter(pa.array([p != UNKNOWN and c >= least for p, c in zip(preds, scores)], pa.bool_()))
+                told = zip(*model.weighed(part.column(text_col).to_pylist()))
+                yield part.filter(pa.array([p != UNKNOWN and c >= (cut if least is None else least) for p, c, cut in told], pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

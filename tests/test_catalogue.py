@@ -63,7 +63,7 @@ def test_whole_texts_are_tokenised(spark):
         rest = width[r.conv_id] - n
         parts = ([1, *map(ord, r.role), *t, 2] + [0] * rest, [-100] * (len(r.role) + 1) + t + [2] + [-100] * rest, [1] * n + [0] * rest)
         want[r.conv_id, r.turn] = tuple(",".join(map(str, x)) for x in parts)
-    got = catalogue.QUERIES["tokenise_mask_pad_whole"](spark, SF).collect()
+    got = catalogue.QUERIES["tokenise_mask_pad"](spark, SF).collect()
     assert len(got) == len(rows) == len(want) and max(len(r.text) for r in rows) > 5
     assert {(r.conv_id, r.turn): (r.input_ids, r.labels, r.attention_mask) for r in got} == want
 

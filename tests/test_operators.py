@@ -131,13 +131,49 @@ def plain_groups(edges):
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)]
-    for few in (0, 1000):  # by joins, and in arrays
-        got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
-        assert got == plain_groups(edges)
-        named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges] + [(None, "x")], "a string, b string")
-        assert {r.node: r.label for r in graph.components(named, few).collect()} == {f"n{k:03}": f"n{v:03}" for k, v in plain_groups(edges).items()}
-    empty = spark.createDataFrame([], "a long, b long")
-    assert graph.components(empty).count() == graph.components(empty, -1).count() == 0
+    got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == plain_groups(edges)
+    named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges] + [(None, "x")], "a string, b string")
+    assert {r.node: r.label for r in graph.components(named).collect()} == {f"n{k:03}": f"n{v:03}" for k, v in plain_groups(edges).items()}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_many_edges(spark):
+    """700,000 edges and more: chains of six with shuffled names, and one hub with a third of all nodes."""
+    name = lambda c: (c * 7919) % 700_001
+    chains = spark.range(699_996).where("id % 6 < 5").select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b"))
+    got = graph.components(chains.union(spark.range(1_000_000, 1_120_000).select("id", F.lit(1_050_000).cast("long"))))
+    want = spark.range(699_996).groupBy(F.floor(F.col("id") / 6)).agg(F.min(name(F.col("id"))).alias("low"), F.collect_list(name(F.col("id"))).alias("n")).where(F.size("n") > 1)
+    want = want.select(F.explode("n").alias("node"), F.col("low").alias("label")).union(spark.range(1_000_000, 1_120_000).select("id", F.lit(1_000_000).cast("long")))
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_intermediates_are_removed(spark):
+    from weftline import storage
+
+    before = set(storage._MADE)
+    with storage.scratch():
+        df = storage.materialise(spark.range(5), "t")
+        assert df.count() == 5 and set(storage._MADE) - before == {df.written_at}
+    assert set(storage._MADE) == before
+    df = storage.materialise(spark.range(5), "t")
+    storage.discard(df)
+    assert set(storage._MADE) == before
+
+
+def test_a_folder_of_this_machine_is_refused_on_a_cluster():
+    from weftline import storage
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)  # noqa: N815
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        storage.shared_dir(Cluster())
 
 
 def test_roots(spark):
@@ -265,7 +301,7 @@ def test_missing_and_negative_samples(samples):
     assert len(missing) == 2 and all(r.schema == "[MISSING]" and r.meta.is_test and r.meta.synthetic_type == "missing_schema" for r in missing)
     negative = sampling.negative_samples(samples).collect()
     assert len(negative) == 10 and all(r.output == "{}" and r.meta.schema_id != r.meta.original_schema_id and r.meta.synthetic_type == "negative" for r in negative)
-    assert sampling.negative_samples(samples.where("meta.schema_id = 'a'")).count() == 0
+    assert sampling.negative_samples(samples.where("meta.schema_id = 'a'")).count() == 0 and sampling.negative_samples(samples.where("false")).count() == 0
     assert sorted(map(str, negative)) == sorted(map(str, sampling.negative_samples(samples.repartition(3)).collect()))
 
 

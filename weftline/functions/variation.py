@@ -202,14 +202,13 @@ def step_corrupt(s: Sample, rng: random.Random) -> Sample:
     return {**s, "input_data": corrupted(s["input_data"], rng)}
 
 
-def step_negative(others: list[str]) -> Step:
-    """Another schema that the output doesn't fit, with an empty result; two tries."""
+def step_negative(others: list[str], in_order: bool = False) -> Step:
+    """Another schema that the output doesn't fit, with an empty result; two tries, or each of `others` in order."""
 
     def act(s: Sample, rng: random.Random) -> Sample:
         if s["schema"] == MISSING:
             return s
-        for _ in range(2 if others else 0):
-            other = rng.choice(others)
+        for other in others if in_order else [rng.choice(others) for _ in range(2 if others else 0)]:
             if other != s["schema"] and compile_schema(json.loads(other))(json.loads(s["output"])) is not None:
                 return {**s, "schema": other, "output": json.dumps(null_result(json.loads(other)))}
         return s

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftline.storage import materialise
+from weftline.storage import discard, materialise
 
 
 def roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
@@ -58,49 +56,34 @@ def signatures(conversions: DataFrame, chunks: DataFrame, schemas: DataFrame, do
     return rows.select("id", F.explode(F.array_distinct(all_)).alias("signature"))
 
 
-#: Edges up to which components are found on the driver: two arrays of as many numbers.
-FEW_EDGES = 500_000
-
-
-def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of the edges (a, b) reaches.
 
-    A label falls to the least label among the neighbours and then to its own label (pointer jumping), so the rounds
-    grow with the logarithm of the diameter. Each round is written to the shared folder. The sides of the joins are
-    plain scans or pre-aggregated, so AQE can split a hot node. At most `few` edges, a bounded amount whatever the
-    input, are labelled in the same way in arrays on the driver, as a round of jobs costs more than they do."""
-    edges = materialise(edges.select("a", "b").where("a is not null and b is not null"), "edges")
-    if edges.count() <= few:
-        return _label_arrays(edges)
-    both = materialise(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("old"))
-        jump = step.join(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), "to").select("node", F.least("to", "far").alias("label"), "old")
-        moved = Observation()  # counted while the round is written
-        labels = materialise(jump.observe(moved, F.count_if(F.col("label") < F.col("old")).alias("n")), "labels").select("node", "label")
-        if not moved.get["n"]:
-            return labels
-
-
-def _label_arrays(edges: DataFrame) -> DataFrame:
-    """The labels of a bounded number of edges, by the same rule."""
-    kind = edges.schema["a"].dataType.simpleString()
-    table = edges.toPandas()
-    names, codes = np.unique(table.to_numpy().reshape(-1), return_inverse=True)
-    a, b = codes.reshape(-1, 2).T if len(names) else (codes, codes)
-    label = np.arange(len(names))
+    Alternating star contraction. With each edge from its larger to its smaller end, the large-star step hangs the
+    larger neighbours of every node below its least neighbour, and the small-star step hangs a node's smaller
+    neighbours, and the node, below the least of them. Both keep components and end in one star a component, in a
+    number of rounds that grows with the square of the logarithm of the nodes at most; stars of a least node, as
+    they come from groups, are recognised in the first round. Each step is written to the shared folder and the one
+    before is removed. The least neighbours are pre-aggregated and the other side of each join is a plain scan, so
+    AQE can split a hot node; there is one way for all sizes. Edges with a null are left out."""
+    pairs = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = materialise(pairs, "edges")
+    now, old = pairs.where("u > v"), []
     while True:
-        old = label.copy()
-        np.minimum.at(label, label[a], label[b])
-        np.minimum.at(label, label[b], label[a])
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == old).all():
+        near = now.select(F.col("v").alias("x"), "v").union(now.select("u", "v")).groupBy("x").agg(F.min("v").alias("m"))
+        hung, spare = Observation(), Observation()  # counted while the steps are written
+        large = now.join(near.select(F.col("x").alias("v"), "m"), "v").observe(hung, F.count_if(F.col("m") < F.col("v")).alias("n"))
+        large = materialise(large.select("u", F.col("m").alias("v")), "large-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        rest = large.join(least, "u").observe(spare, F.count_if(F.col("v") > F.col("m")).alias("n"))
+        rest = rest.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = materialise(rest.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discard(large, *old)
+        now, old = small, [small]
+        if not hung.get.get("n") and not spare.get.get("n"):
             break
-    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": names, "label": names[label]}), f"node {kind}, label {kind}")
+    roots_ = now.select("v", "v").union(pairs.where("u = v"))  # a node may have an edge to itself alone
+    return now.union(roots_).toDF("node", "label").groupBy("node").agg(F.min("label").alias("label"))
 
 
 def signature_components(edges: DataFrame, node: str = "id", signature: str = "signature") -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions.scores import MISSING
 from weftline.operators import cleaning, evaluation, generation, graph, retrieval, sampling, training, udfs
-from weftline.session import spread
 from weftline.sources import layouts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +42,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source documents."""
-    return spread(_t(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("TEXT").alias("content_type"), "source", "lang", "n_chars")
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("TEXT").alias("content_type"), "source", "lang", "n_chars")
 
 
 def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,11 +321,11 @@ def signature_groups(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    parts = [F.concat(F.lit("text:"), graph.content_signature("content")), F.concat(F.lit("size:"), "source", F.lit(":"), "n_chars"), F.concat(F.lit("head:"), "lang", F.lit(":"), F.substring("content", 1, 12))]
+    parts = [F.concat(F.lit("text:"), graph.content_signature("content")), F.concat(F.lit("size:"), "source", F.lit(":"), "n_chars"), F.concat(F.lit("letters:"), "lang", F.lit(":"), F.sha2(F.array_join(F.array_sort(F.array_distinct(F.split("content", ""))), ""), 256))]
     return d.select("id", F.explode(F.array_compact(F.array(*parts))).alias("signature"))
 
 
-_EDGES = f"edges AS (SELECT doc_id AS id, unnest(['text:' || {_SIG}, 'size:' || source || ':' || n_chars, 'head:' || lang || ':' || substr(text, 1, 12)]) AS signature FROM documents)"
+_EDGES = f"edges AS (SELECT doc_id AS id, unnest(['text:' || {_SIG}, 'size:' || source || ':' || n_chars, 'letters:' || lang || ':' || sha256(array_to_string(list_sort(list_distinct(string_split(text, ''))), ''))]) AS signature FROM documents)"
 _COMPONENTS = f"""{_EDGES}, walk AS (SELECT DISTINCT id AS start, id AS node FROM edges UNION SELECT w.start, b.id FROM walk w JOIN edges a ON a.id = w.node JOIN edges b ON b.signature = a.signature),
 comp AS (SELECT start AS node, min(node) AS component FROM walk GROUP BY start)"""
 
@@ -493,29 +492,19 @@ def token_length_filter(spark, sf_dir):
     return training.within_length(d, 1000).select("id", "n_chars")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, role, list_transform(range(length(role)), lambda i: ord(role[i + 1])) AS p, list_transform(range(least(length(text), 5)), lambda i: ord(text[i + 1])) AS t FROM conversations),
+@query("""WITH x AS (SELECT conv_id, turn, role, list_transform(range(length(role)), lambda i: ord(role[i + 1])) AS p, list_transform(range(length(text)), lambda i: ord(text[i + 1])) AS t FROM conversations),
 y AS (SELECT conv_id, turn, list_concat([1], p, t, [2]) AS ids, list_concat(list_transform(range(len(p) + 1), lambda i: -100), t, [2]) AS labels FROM x),
 z AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY conv_id) / 8) * 8)::BIGINT AS w FROM y)
 SELECT conv_id, turn, array_to_string(list_concat(ids, list_transform(range(w - len(ids)), lambda i: 0)), ',') AS input_ids,
 array_to_string(list_concat(labels, list_transform(range(w - len(ids)), lambda i: -100)), ',') AS labels,
 array_to_string(list_concat(list_transform(range(len(ids)), lambda i: 1), list_transform(range(w - len(ids)), lambda i: 0)), ',') AS attention_mask FROM z""")
 def tokenise_mask_pad(spark, sf_dir):
-    return _tokenised(spark, sf_dir, F.substring("text", 1, 5))
-
-
-def _tokenised(spark: SparkSession, sf_dir: str, text: Column | str) -> DataFrame:
     code = lambda s: [ord(c) for c in s]
-    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", training.tokens("role", code).alias("p"), training.tokens(text, code).alias("t"))
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", training.tokens("role", code).alias("p"), training.tokens("text", code).alias("t"))
     out = training.padded(training.masked(c, "p", "t", 1, 2), "conv_id", 0)
     return out.select("conv_id", "turn", *[F.array_join(k, ",").alias(k) for k in ("input_ids", "labels", "attention_mask")])
 
 
-@query(ORACLES["tokenise_mask_pad"].replace("least(length(text), 5)", "length(text)"))
-def tokenise_mask_pad_whole(spark, sf_dir):
-    """tokenise_mask_pad over whole texts, whose SQL holds it to the first 5 characters."""
-    return _tokenised(spark, sf_dir, "text")
-
-
 # Formats
 
 
@@ -646,7 +635,7 @@ def tabular(spark, sf_dir):
 
 @query()
 def diff_metrics(spark, sf_dir):
-    e = spread(_t(spark, sf_dir, "events"))
+    e = _t(spark, sf_dir, "events")
     wrong = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit("k"), F.lit("key"))).when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props"))
     r = e.select("event_id", wrong.alias("completion"), F.lit(None).cast("string").alias("schema"), F.col("props").alias("correct_answer"), F.lit(None).cast("string").alias("request_error"), F.lit(None).cast("string").alias("synthetic_type"))
     return evaluation.scored(r).select("event_id", "error_type", "correct", "diff_lines", "chars_added", "chars_missing", "similarity")

@@ -6,7 +6,11 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+#: Bytes in an Arrow batch. Batches of whole texts lie in memory several times over, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(name: str = "weftline", master: str | None = None, **settings: str) -> SparkSession:
@@ -15,10 +19,18 @@ def session(name: str = "weftline", master: str | None = None, **settings: str)
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    known = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    known = {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", _BATCH_KEY: str(BATCH_BYTES)}
     return builder.config(map={**known, **settings}).getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """For an application that runs queries in a session it was given: ship the package, and cut Arrow batches to
+    BATCH_BYTES where the session has Spark's default. Operators themselves change no setting."""
+    ship(spark)
+    if spark.conf.get(_BATCH_KEY) == "67108864b":
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -39,10 +51,3 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
-
-
-def spread(df: DataFrame, small: int = 20 << 20) -> DataFrame:
-    """A small input over all cores, for operators that work long on each row. A Parquet file of a single row group is
-    one task however many cores there are; inputs above `small` bytes come in pieces of their own and stay as they are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if 1 << 20 <= size <= small else df

@@ -6,10 +6,12 @@ that names the current version, so readers see the old or the new table and a lo
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +25,18 @@ SCHEMAS = {
 }
 
 _OWN: dict[str, str] = {}
+#: Folders and files that this process made in the shared folder and has not yet removed, in order.
+_MADE: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; one of our own only where none is set."""
+    """The folder that all executors share, as the session names it. Where the setting is unset a folder of this
+    machine will do for a local master only; anywhere else that is an error."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -37,14 +44,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, removed by discard, at the end of a scratch, or with the process."""
+    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    _MADE[path] = None
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _remove(path: str) -> None:
+    files, at = fs.FileSystem.from_uri(path)
+    kind = files.get_file_info(at).type
+    if kind == fs.FileType.Directory:
+        files.delete_dir(at)
+    elif kind == fs.FileType.File:
+        files.delete_file(at)
+    _MADE.pop(path, None)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what materialise wrote for frames that nothing will read again."""
+    for df in frames:
+        _remove(df.written_at)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is written to the shared folder within is removed at the end, so a result must be written elsewhere before."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            _remove(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_MADE):
+        try:
+            _remove(path)
+        except OSError:  # the store is gone or unreachable as the process ends
+            return
 
 
 def new_id(*parts: Column | str) -> Column:

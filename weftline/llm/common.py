@@ -21,15 +21,8 @@ from weftline.storage import fresh_path, materialise, shared_dir  # noqa: F401
 BLANKS = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes in an Arrow batch of whole texts. Batches lie in memory several times over, in the JVM and in Python.
-BATCH_BYTES = 8 << 20
-
-
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_BYTES, unless the session has a limit of its own."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key) == "67108864b":  # Spark's default
-        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    """mapInArrow. The session says how large batches of whole texts may be (session.prepare)."""
     return df.mapInArrow(run, schema)
 
 

@@ -13,24 +13,24 @@ from pyspark.sql import functions as F
 
 from weftline.llm import decontam, langid, mixing, neardup, sharding
 from weftline.llm.common import materialise
-from weftline.session import ship
+from weftline.session import prepare
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without an identified language."""
-    ship(spark)
+    prepare(spark)
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    ship(spark)
+    prepare(spark)
     return neardup.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a passage of the benchmark."""
-    ship(spark)
+    prepare(spark)
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -483,6 +483,26 @@ def test_near_duplicates(spark):
     assert neardup.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ids_of_any_type_and_keys_that_collide(spark, monkeypatch):
+    rows = [("b", "one two three four"), ("a", "One  two three four"), ("c", "other words here now"), ("d", "other words here now then"), ("e", "nothing like it at all"), ("e", "one two three four"), (None, "one two three four")]
+    docs = spark.createDataFrame(rows, "name string, body string")
+    want = {"a": "a", "b": "a", "c": "c", "d": "c", "e": "a", None: None}
+    got = lambda: {r.doc_id: r.component_id for r in neardup.link(docs, id_col="name", text_col="body").collect()}
+    assert got() == want
+    real = neardup.sketch
+    monkeypatch.setattr(neardup, "sketch", lambda *a, **k: real(*a, **k).selectExpr("doc_id", "digest", "n_shingles", "binary('same') set_key", "registers"))
+    assert got() == want  # classes whose sets differ are refuted on the texts, and searched anew
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "w"), (1, "far from the rest", "v"), (2, "A b c  d", "u"), (None, "a b c d", "t"), (None, "only without id", "s"), (None, "only without id", "r"), (3, None, "q"), (3, None, "q"), (4, "far from the rest", "p")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, __dropped string, digest int")
+    got = neardup.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text), r["__dropped"]) for r in got.collect()) == sorted([("1", "a b c d", "w"), ("1", "far from the rest", "v"), ("None", "only without id", "r"), ("3", "None", "q"), ("3", "None", "q")])
+    assert neardup.keep_first(docs.where("false")).count() == 0
+
+
 def test_setsketch_merges_and_estimates():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, (2, 300)).astype(np.uint64)

@@ -4,20 +4,27 @@
    exponential hash values, truncated to a power of `base`. Registers are mergeable by maximum, and two registers are
    equal with a probability near the Jaccard similarity. Points come from one Poisson process per shingle, in
    ascending order and cut off where no register can change, so filling them takes about n + m log m steps.
-2. Documents with equal shingle sets form a class; only its least doc_id goes on.
+2. A node is an id with a text. Nodes with equal keys of their shingle sets form a class; only its first node goes on.
 3. Runs of `rows` registers are band keys. In each band bucket every member is paired with the least member (a star,
    linear in the bucket); a pair goes on if the maximum likelihood estimate of its similarity from the registers and
-   set sizes is within five standard errors of the threshold, and is confirmed on the full shingle sets.
+   set sizes is within five standard errors of the threshold. These pairs, and each member of a class with its first
+   node, are confirmed on the full shingle sets.
 4. Confirmed links give components. Buckets that still hold several components are compared across components only,
-   in blocks of at most 2 x block rows, through the registers; what passes is confirmed alike. So every pair of
-   different sets that shares a band and isn't yet connected is decided, and no group's pairs are all emitted.
+   in blocks of at most 2 x block rows, through the registers, each pair in the first band that it shares; what passes
+   is confirmed alike. So every pair of different sets that shares a band and isn't yet connected is decided once,
+   and no group's pairs are all emitted.
 5. Components of all links; a document is kept if it has the least doc_id of its component.
 
 With the default 48 bands of 5 registers a pair at the threshold of 0.75 shares no band with probability 2e-6.
 
-Cases: null or empty texts have no shingles and are linked with nothing; one word is one shingle; rows that repeat a
-doc_id are one node, and the links of each of their texts count; a null doc_id is in no component: component_id is
-null and the row is kept; no rows give no rows. Only the id and text columns are read.
+Every step is the same at every size. The texts of nodes that are in a pair are joined once, by id and digest of the
+text, and written; registers are shuffled once to leave out copies, and where pairs are estimated.
+
+Cases: ids are of any type that can be ordered. Null or empty texts have no shingles and are linked with nothing; one
+word is one shingle; very long texts are taken whole. Rows that repeat a doc_id are one document, and the links of each
+of their texts count; a null doc_id is in no component: component_id is null and the row is kept. Ties can't arise, as
+ids are ordered and equal ids are one document. No rows give no rows. Only the id and text columns are read, so names
+of others can't clash.
 """
 
 from __future__ import annotations
@@ -29,11 +36,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import arrow_map, materialise, slices, split_words
 from weftline.operators.graph import components
+from weftline.storage import discard
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 BANDS, ROWS = 48, 5
@@ -141,38 +149,36 @@ def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
     return fit & (j + 5 * wide >= threshold)
 
 
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
+def _id_key(column: str) -> Column:
+    """A text for every id, and another for null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m: int = BANDS * ROWS) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key, registers (uint16, little endian)."""
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """Per row: doc_id, digest (of the text), n_shingles, set_key, registers (uint16, little endian)."""
+    cols = docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("digest"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 flat, ends = shingle_sets(part.column("text"))
                 regs = registers(flat, ends, m)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(set_keys(flat, ends), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(np.diff(ends), pa.int64()), pa.array(set_keys(flat, ends), pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "digest", "n_shingles", "set_key", "registers"])
 
-    return arrow_map(cols, run, "doc_id bigint, n_shingles bigint, set_key binary, registers binary")
+    return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, digest binary, n_shingles bigint, set_key binary, registers binary")
 
 
 def _registers(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
-SLOTS = 1 << 18
-
-
-def _touched(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id may be among ids: a semi-join on hashed ids, of which there are at most SLOTS, so
-    that the broadcast has a bound. It drops most rows before a shuffle; the join that follows is exact."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    return df.join(F.broadcast(ids.select(slot.alias("__slot")).distinct()), slot == F.col("__slot"), "left_semi")
-
-
 def _passing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that may be linked by their registers."""
-    some = materialise(_touched(sketches, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "touched")
-    side = lambda c: some.select(F.col("doc_id").alias(c), F.col("n_shingles").alias("n" + c), F.col("registers").alias("r" + c))
+    side = lambda c: sketches.select(F.col("uid").alias(c), F.col("n_shingles").alias("n" + c), F.col("registers").alias("r" + c))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -182,27 +188,34 @@ def _passing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFra
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. The texts of documents in pairs are written once and
-    joined by id."""
-    some = _touched(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    some = materialise(some.dropDuplicates(["doc_id", "text"]), "texts")
-    side = lambda c: some.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c))
+def _texts(docs: DataFrame, nodes: DataFrame, uids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(uid, text) of the nodes in uids, written. Equal rows are combined before the shuffle."""
+    rows = docs.select(_id_key(id_col).alias("id"), _digest(text_col).alias("digest"), F.col(text_col).alias("text")).dropDuplicates(["id", "digest"])
+    wanted = nodes.join(uids, "uid", "left_semi").select("uid", _id_key("doc_id").alias("id"), "digest")
+    return materialise(rows.join(wanted, ["id", "digest"]).select("uid", "text"), "texts")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, copy) whose full shingle sets reach the threshold, or are equal where copy is true."""
+    side = lambda c: texts.select(F.col("uid").alias(c), F.col("text").alias("t" + c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, frozenset()
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column("ta"), batch.column("tb")):
-                text = ta.as_py()
+            for ta, tb, copy in zip(batch.column("ta"), batch.column("tb"), batch.column("copy").to_pylist()):
+                text, other = ta.as_py(), tb.as_py()
+                if text == other:
+                    keep.append(True)
+                    continue
                 if text != last:
                     last, seen = text, shingles(text)
-                other = shingles(tb.as_py())
-                same = len(seen & other)
-                keep.append(100 * same >= percent * (len(seen) + len(other) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                more = shingles(other)
+                same = len(seen & more)
+                keep.append(100 * same >= (100 if copy else percent) * (len(seen) + len(more) - same))
+            yield batch.select(["a", "b", "copy"]).filter(pa.array(keep, pa.bool_()))
 
-    return arrow_map(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb"), run, "a bigint, b bigint").distinct()
+    return arrow_map(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "copy", "ta", "tb"), run, "a bigint, b bigint, copy boolean")
 
 
 def shingles(text: str | None) -> frozenset:
@@ -211,47 +224,71 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset([tuple(words)] if words else [])
 
 
-def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
-    threshold = percent / 100
-    sketches = sketch(docs, id_col=id_col, text_col=text_col, m=bands * rows).withColumn("uid", F.monotonically_increasing_id())
-    sketches = materialise(sketches, "sketches")
-    real = sketches.where("n_shingles > 0 and doc_id is not null")
-    # A class of equal sets is stood for by one row, the first with its least doc_id.
-    classes = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "uid")).alias("rep"), F.count("*").alias("n"))
-    classes = materialise(classes.where("n > 1").select("set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.uid").alias("rep_uid")), "classes")
-    marked = real.select("doc_id", "uid", "set_key").join(classes, "set_key")
-    copies = materialise(marked.where("uid != rep_uid").select("uid", "doc_id", "rep"), "copies")
-    member = copies.where("doc_id > rep").select("doc_id", "rep")
-    # Rows whose hashed number is that of no copy are kept as they are, so that few registers are shuffled.
-    slot = F.pmod(F.xxhash64("uid"), F.lit(SLOTS))
-    hit = F.broadcast(copies.select(slot.alias("__slot")).distinct())
-    there = slot == F.col("__slot")
-    reps = real.join(hit, there, "left_anti").union(real.join(hit, there, "left_semi").join(copies.select("uid"), "uid", "left_anti").select(real.columns))
-    reps = materialise(reps.select("doc_id", "n_shingles", "registers"), "reps")
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, bands: int, rows: int, block: int, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, digest, n_shingles; nodes: uid, doc_id, digest, n rows; edges a, b between uids), all written."""
+    sketches = materialise(sketch(docs, id_col=id_col, text_col=text_col, m=bands * rows).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    real = sketches.where("n_shingles > 0" if null_ids else "n_shingles > 0 and doc_id is not null")
+    nodes = materialise(real.groupBy("doc_id", "digest", "set_key").agg(F.min("uid").alias("uid"), F.count("*").alias("n")), "nodes")
+    classes = nodes.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "digest", "uid")).alias("rep"), F.count("*").alias("m")).where("m > 1")
+    classes = materialise(classes.select("set_key", F.col("rep.uid").alias("a")), "classes")
+    copies = materialise(nodes.join(classes, "set_key").where("uid != a").select("a", F.col("uid").alias("b")), "copies")
+    while True:
+        links, reps, held, passed, texts = _stars(docs, sketches, nodes, copies, id_col, text_col, percent, bands, rows)
+        refuted = copies.join(links.where("copy"), ["a", "b"], "left_anti")
+        if not refuted.head(1):
+            break
+        # Another set with the same key: no copy, so it takes part in the search as a node of its own.
+        fewer = materialise(copies.join(refuted, ["a", "b"], "left_anti"), "copies")
+        discard(links, reps, held, passed, texts, copies)
+        copies = fewer
+    more = _across(reps, held, passed, components(links), percent / 100, bands, rows, block)
+    more = materialise(_confirm(more.withColumn("copy", F.lit(False)), texts, percent), "more-links")
+    edges = materialise(links.select("a", "b").union(more.select("a", "b")), "links")
+    told = materialise(sketches.select("doc_id", "digest", "n_shingles"), "rows")
+    discard(sketches, classes, copies, links, reps, held, passed, texts, more)
+    return told, nodes, edges
+
+
+def _stars(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, copies: DataFrame, id_col: str, text_col: str, percent: int, bands: int, rows: int) -> tuple[DataFrame, ...]:
+    """Confirmed links of copies and of the buckets' stars; the sketches of nodes that are no copies; the rows of buckets
+    with two members or more; the pairs that were confirmed or not; the texts of all nodes that are in a pair."""
+    reps = nodes.select("uid").join(copies.select(F.col("b").alias("uid")), "uid", "left_anti")
+    reps = materialise(sketches.select("uid", "n_shingles", "registers").join(reps, "uid", "left_semi"), "reps")
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    keyed = reps.select("doc_id", "registers", band.alias("band")).select(F.xxhash64("band", F.substring("registers", F.col("band") * (2 * rows) + 1, F.lit(2 * rows))).alias("key"), "doc_id")
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    hashed = F.xxhash64("band", F.substring("registers", F.col("band") * (2 * rows) + 1, F.lit(2 * rows)))
+    # The last bits of a key tell its band.
+    key = F.shiftleft(hashed, (bands - 1).bit_length()).bitwiseOR(F.col("band").cast("long"))
+    keyed = reps.select("uid", "registers", band.alias("band")).select(key.alias("key"), "uid")
+    buckets = keyed.groupBy("key").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
     buckets = materialise(buckets.where("first < last").drop("last"), "buckets")
     held = materialise(keyed.join(buckets, "key"), "held")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    star = held.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    passed = materialise(_passing(materialise(star, "star"), reps, threshold), "passed")
-    links = materialise(_confirm(passed, texts, percent), "links")
-    label = components(links).withColumnRenamed("node", "doc_id")
-    # Buckets of three members or more, in several components.
+    uids = held.select("uid").union(copies.select("a")).union(copies.select("b")).distinct()
+    texts = _texts(docs, nodes, uids, id_col, text_col)
+    star = held.where("uid > first").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct()
+    passed = materialise(_passing(star, reps, percent / 100), "passed")
+    asked = passed.withColumn("copy", F.lit(False)).union(copies.withColumn("copy", F.lit(True)))
+    links = materialise(_confirm(asked, texts, percent), "star-links")
+    discard(buckets)
+    return links, reps, held, passed, texts
+
+
+def _across(reps: DataFrame, held: DataFrame, passed: DataFrame, label: DataFrame, threshold: float, bands: int, rows: int, block: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may be linked by their registers, each once and none
+    that `passed` has. Buckets of three members or more, in several components, are compared block by block."""
+    label = materialise(label.withColumnRenamed("node", "uid"), "labels")
     many = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    rest = held.select("key", "doc_id").join(many, "key").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    rest = held.select("key", "uid").join(many, "key").join(label, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     rest = materialise(rest, "rest")
-    still = materialise(rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "open")
+    still = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    rest = materialise(rest.join(still, "key"), "rest")
-    facing = rest.join(_touched(reps, rest.select("doc_id")), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", "key"), blocks).cast("int"))
+    facing = rest.join(still, "key").join(reps, "uid").withColumn("own", F.pmod(F.xxhash64("uid", "key"), blocks).cast("int"))
     facing = facing.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    mask = (1 << (bands - 1).bit_length()) - 1
 
     def across(x: pd.DataFrame) -> pd.DataFrame:
-        regs, n, ids, labels, own = _registers(x["registers"]), x["n_shingles"].to_numpy(float), x["doc_id"].to_numpy(), x["label"].to_numpy(), x["own"].to_numpy()
+        regs, n, ids, labels, own = _registers(x["registers"]), x["n_shingles"].to_numpy(float), x["uid"].to_numpy(), x["label"].to_numpy(), x["own"].to_numpy()
         one_block = x["i"].iat[0] == x["j"].iat[0]
+        own_band = int(x["key"].iat[0]) & mask
         # Pairs with fewer equal registers than five deviations below the threshold aren't estimated.
         enough = regs.shape[1] * threshold - 5 * math.sqrt(regs.shape[1] * threshold * (1 - threshold))
         left, right = [], []
@@ -260,7 +297,11 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
             if not one_block:
                 fit &= own[k + 1 :] != own[k]
             at = np.flatnonzero(fit) + k + 1
-            at = at[(regs[at] == regs[k]).sum(1) >= enough] if len(at) else at
+            if len(at):
+                equal = regs[at] == regs[k]
+                some = equal.sum(1) >= enough
+                first = equal[some].reshape(-1, bands, rows).all(2).argmax(1)
+                at = at[some][first == own_band]
             left.append(np.full(len(at), k))
             right.append(at)
         a, b = (np.concatenate(v) if v else np.empty(0, int) for v in (left, right))
@@ -271,16 +312,38 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per
         a, b = ids[a[a >= 0]], ids[b[b >= 0]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
 
-    crossed = facing.groupBy("key", "i", "j").applyInPandas(across, "a bigint, b bigint").distinct().join(passed, ["a", "b"], "left_anti")
-    more = _confirm(materialise(crossed, "across"), texts, percent)
-    edges = links.union(more).union(member.select("rep", "doc_id")).toDF("a", "b")
-    final = components(materialise(edges, "edges")).withColumnRenamed("node", "doc_id")
-    told = sketches.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    component = F.coalesce("label", "doc_id")
-    return told.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # Comparisons take long for the bytes that they read, so the parts aren't coalesced by size.
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = facing.select("key", "i", "j", "uid", "label", "own", "n_shingles", "registers").repartition(tasks, "key", "i", "j")
+    return met.groupBy("key", "i", "j").applyInPandas(across, "a bigint, b bigint").join(passed, ["a", "b"], "left_anti")
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The rows of docs, all columns, without those that have a smaller doc_id in their component."""
-    dropped = materialise(link(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("__dropped")), "dropped")
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    told, nodes, edges = _linked(docs, id_col, text_col, percent, bands, rows, block, False)
+    ids = nodes.groupBy("doc_id").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a < b").select("doc_id", "a")
+    same = nodes.join(ids, "doc_id").where("uid > a").select("a", F.col("uid").alias("b"))
+    final = components(edges.union(same)).join(nodes.select(F.col("uid").alias("node"), "doc_id"), "node").select("doc_id", "label")
+    final = materialise(final.distinct(), "final")
+    low = final.groupBy("label").agg(F.min("doc_id").alias("low"))
+    final = final.join(low, "label").select("doc_id", "low")
+    component = F.coalesce("low", "doc_id")
+    return told.join(final, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, bands: int = BANDS, rows: int = ROWS, block: int = 256) -> DataFrame:
+    """One row of each group of equal or linked texts, with all its columns: that with the least id, a null id last, then
+    the least digest of the text. Of rows with the same id and text that with the least JSON form stays. Here an id with
+    several texts is several documents. Rows without words all stay."""
+    told, nodes, edges = _linked(docs, id_col, text_col, percent, bands, rows, block, True)
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "digest")
+    final = materialise(components(edges).join(nodes.select(F.col("uid").alias("node"), "doc_id", "digest"), "node"), "final")
+    first = final.groupBy("label").agg(F.min(place).alias("first"))
+    dropped = final.join(first, "label").where(place != F.col("first")).select(_id_key("doc_id").alias("id"), "digest")
+    again = nodes.where("n > 1").select(_id_key("doc_id").alias("id"), "digest")
+    dropped = materialise(dropped, "dropped")
+    whole = docs.select(F.struct("*").alias("row"), _id_key(id_col).alias("id"), _digest(text_col).alias("digest")).join(dropped, ["id", "digest"], "left_anti")
+    if again.head(1):
+        many = whole.join(again, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        whole = whole.join(again, ["id", "digest"], "left_anti").select("row").union(many.select("row"))
+    return whole.select("row.*")

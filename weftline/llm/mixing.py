@@ -3,14 +3,15 @@
 Every source has a piecewise linear weight schedule over the training time 0..1. Its integral, scaled to the
 source's target, is the cumulative demand for its words. A source's documents stand in a fixed random order; the
 running sum of their sizes is inverted through the demand, which gives the time at which each is due. Documents
-are then range-sorted by that time.
+are then range-sorted by that time (training_order, and the query).
 
-The running sums never put a source into one task: rows go to buckets of a digest's range, each (source, bucket)
-holds about rows_per_bucket rows however large the source is, and bucket totals give the offsets.
+The running sums never put a source, nor all rows of one id, into one task: rows go to buckets of the range of a digest
+of id and text, each (source, bucket) holds about rows_per_bucket rows however large the source is, and bucket totals
+give the offsets.
 
 Cases: a null source is a source of its own, ordered last; null or empty texts have size 0 and are taken with no
-words; rows with one doc_id are ordered by size, equal rows are interchangeable; no rows give no rows. Extra columns
-are kept inside the `row` struct, so their names can't clash.
+words; very long texts are counted whole and may be cut at a target's edge; rows alike in id and text are
+interchangeable; no rows give no rows. Extra columns are kept inside the `row` struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     of (words, position), one for every time that the document enters the mix. A document at a target's edge is
     taken with as many of its words as are left."""
     buckets = n_buckets(docs, rows_per_bucket)
-    digest = order_hash(F.col(id_col), seed)
+    digest = order_hash(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), seed)
     sized = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.concat(F.lit("="), F.col(source_col)).alias("s"), n_words(text_col).alias("size"), digest.alias("digest"), bucket_of(digest, buckets).alias("bucket"))
     sized = sized.withColumn("s", F.coalesce("s", F.lit("")))
     stats = materialise(sized.groupBy("s", "bucket").agg(F.any_value("source").alias("source"), F.sum("size").alias("words")), "mix-stats")
@@ -88,9 +89,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def training_order(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     """The mix itself: the columns of the documents, one row per copy, range-sorted by position. Only a document
-    at its source's edge is cut, to its first words."""
+    at its source's edge is cut, after the last word that is taken; what comes before stays as it is, blanks too."""
     rows = mixed.select("row", "size", F.explode("copies").alias("copy"))
-    cut = F.array_join(F.slice(F.filter(F.split("row." + text_col, r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.col("copy.words").cast("int")), " ")
+    words = F.regexp_extract_all("row." + text_col, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, 1, F.col("copy.words").cast("int")), "")
     text = F.when(F.col("copy.words") < F.col("size"), cut).otherwise(F.col("row." + text_col))
     fields = mixed.schema["row"].dataType.fieldNames()
     cols = [(text if c == text_col else F.col("row")[c]).alias(c) for c in fields]

@@ -142,7 +142,15 @@ def test_mixing_odd(spark):
 def test_training_order_holds_what_is_taken(spark):
     mixed = mixing.mix(texts(spark))
     want = sum(r.taken for r in mixed.select("taken").collect())
-    assert sum(len((r.text or "").split()) for r in mixing.training_order(mixed).select("text").collect()) == want
+    got = mixing.training_order(mixed).collect()
+    assert sum(len((r.text or "").split()) for r in got) == want
+    whole = {r.doc_id: r.text for r in texts(spark).collect()}
+    assert all(whole[r.doc_id].startswith(r.text) for r in got) and any(whole[r.doc_id] != r.text for r in got)
+
+
+def test_query_is_sorted_by_position(spark):
+    got = [r.position_1 for r in QUERIES["op2_source_mixing"](spark, SF).collect()]
+    assert [p for p in got if p is not None] == sorted(p for p in got if p is not None) and got[0] is not None
 
 
 # 3. WARC
@@ -182,6 +190,8 @@ def test_warc_reader_takes_members_in_small_pieces_and_finds_damage():
 
 # 4. secrets
 
+WORDS = secrets.default_words()
+
 
 def plain_spans(text):
     out = []
@@ -195,7 +205,7 @@ def plain_spans(text):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["token", "Secret", "PASSWD", "api_key", "apiKey", ":", "=", " ", '"', "'", "abc", "a1b2c3", "AKIA", "ABCDEFGH12345678", "0123456789abcdef01234567", "é", "ſecret", "\n", "pwd"]), max_size=25).map("".join))
 def test_base_spans(text):
-    got, _ = secrets.find(text)
+    got, _ = secrets.find(text, WORDS)
     assert [s for s in got if s[2] != "cred"] == plain_spans(text)
 
 
@@ -209,47 +219,127 @@ def test_secret_columns(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[2] == k for s in want) for k in ("assign", "access", "hex"))
 
 
-def brute_cost(value):
-    """All segmentations of a short value, with the same parts."""
-    n, low, best = len(value), value.lower(), math.inf
-    for cuts in itertools.product([0, 1], repeat=n - 1):
-        ends = [i + 1 for i in range(n - 1) if cuts[i]] + [n]
-        total, at = 0.0, 0
-        for end in ends:
-            part = value[at:end]
-            total += secrets_part(part, low[at:end])
-            at = end
-        best = min(best, total)
-    return best
-
-
-def secrets_part(part, low):
+def part_cost(part, words):
+    """The cheapest way to guess a part as one thing."""
     size = 10 if part[-1].isdigit() else 26 if part[-1].isalpha() else 33
+    low = part.lower()
     costs = [math.log10(size)] if len(part) == 1 else []
-    if low in secrets.RANK and len(part) >= 3:
-        costs.append(math.log10(secrets.RANK[low] + 1) + (0 if part == low else math.log10(2) if part.istitle() or part.isupper() else math.log10(2) * sum(c.isupper() for c in part)))
     if len(part) >= 3:
+        case = 0 if part == low else math.log10(2) * (1 if part.istitle() or part.isupper() else sum(c.isupper() for c in part))
+        plain = low.translate(str.maketrans("4@301$57", "aaeoisst"))
+        costs += [math.log10(words[low] + 1) + case] if low in words else [math.log10(words[plain] + 1) + case + math.log10(4)] if plain in words else []
         ok = lambda f: all(f(a, b) for a, b in zip(low, low[1:]))
-        costs += [math.log10(size * len(part))] * ok(lambda a, b: a == b) + [math.log10(188 * len(part))] * ok(lambda a, b: a + b in secrets._NEAR) + [math.log10(4 * size * len(part))] * ok(lambda a, b: abs(ord(a) - ord(b)) == 1)
+        costs += [math.log10(size * len(part))] * ok(lambda a, b: a == b) + [math.log10(188 * len(part))] * ok(lambda a, b: any(abs(row.find(a) - row.find(b)) == 1 and a in row and b in row for row in ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")))
+        costs += [math.log10(4 * size * len(part))] * (ok(lambda a, b: ord(b) - ord(a) == 1) or ok(lambda a, b: ord(a) - ord(b) == 1))
+    year, month, day = r"(19|20)\d\d", r"(0[1-9]|1[0-2])", r"(0[1-9]|[12]\d|3[01])"
+    for form in (f"{year}[-/._]?{month}[-/._]?{day}", f"{day}[-/._]?{month}[-/._]?{year}", f"{month}[-/._]?{day}[-/._]?{year}", year):
+        if re.fullmatch(form, part):
+            costs.append(math.log10(365 * 120 if len(part) > 4 else 120))
     return min(costs, default=math.inf)
 
 
-@pytest.mark.parametrize("value", ["secret", "aaaa1", "Adminx9", "qwertyz", "abcd", "x7Kq9", "Loveabc"])
+def brute_cost(value, words):
+    """All segmentations of a short value."""
+    best = math.inf
+    for cuts in itertools.product([0, 1], repeat=len(value) - 1):
+        ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(value)]
+        best = min(best, sum(part_cost(value[a:b], words) for a, b in zip(ends, ends[1:])))
+    return best
+
+
+def plain_cost(value, words):
+    """Every part that ends at each place."""
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[begin] + part_cost(value[begin:end], words) for begin in range(end)))
+    return best[-1]
+
+
+@pytest.mark.parametrize("value", ["secret", "aaaa1", "Adminx9", "qwertyz", "abcd", "x7Kq9", "Loveabc", "adminnnn", "secretttt", "ababab", "cbabcd", "p4ssw0rd", "20240131x", "12312024", "aAaA"])
 def test_guess_cost_is_the_least(value):
-    # Longest runs only count whole in the fast version, so it may be above the brute one by a run's shorter part.
-    assert secrets.guess_cost(value) >= brute_cost(value) - 1e-9
-    assert secrets.guess_cost(value) <= brute_cost(value) + 0.4
+    assert math.isclose(secrets.guess_cost(value, WORDS), brute_cost(value, WORDS))
+    assert math.isclose(plain_cost(value, WORDS), brute_cost(value, WORDS))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["admin", "n", "nnn", "t", "secret", "abc", "cba", "qwe", "ewq", "2024", "0131", "-", "X", "7", "1", "12", "@", "love", "Zz", "aaaaaaa", "!"]), min_size=1, max_size=9).map("".join))
+def test_guess_cost_of_any_value_is_the_least(value):
+    assert math.isclose(secrets.guess_cost(value, WORDS), plain_cost(value, WORDS))
+
+
+def test_guess_cost_of_long_runs():
+    for value in ("a" * 300 + "b" * 200, "qwerty" * 60 + "aaaa" * 40, "abcdefgh" * 30):
+        assert math.isclose(secrets.guess_cost(value, WORDS), plain_cost(value, WORDS))
+    assert secrets.guess_cost("ab" * 100_000, WORDS) > 0  # in proportion to the length
 
 
 def test_guess_cost_orders_values():
-    assert secrets.guess_cost("password123") < 7 < 11 < secrets.guess_cost("x9Kq2mVt7Lp4")
-    assert secrets.guess_cost("2024-01-31") < 6 and secrets.guess_cost("aaaaaaaaaaaa") < 4 and secrets.guess_cost("qwertyuiop") < 5
+    cost = lambda x: secrets.guess_cost(x, WORDS)
+    assert len(WORDS) > 20_000 and cost("password123") < 7 < 11 < cost("x9Kq2mVt7Lp4")
+    assert cost("2024-01-31") < 6 and cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 5 and cost("wintergarden") < 9
+
+
+CONTEXT_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "pwd", "passphrase", "passcode", "credentials", "credential", "bearer", "private_key", "privatekey", "access_key", "accesskey", "auth_key", "authkey", "client_id", "clientid", "login", "pin")
+
+
+def context_at(text, i):
+    """(value begin, value end) of a credential context that begins at i, read character by character."""
+    for word in CONTEXT_WORDS:
+        if text[i : i + len(word)].lower() != word or not text[i : i + len(word)].isascii():
+            continue
+        at = i + len(word)
+        places = []
+        for j in ([at + 1] if text[at : at + 1] in ('"', "'") else []) + [at]:
+            k = j
+            while text[k : k + 1] == " ":
+                k += 1
+            if text[k : k + 1] in (":", "=") and text[k : k + 1]:
+                k += 1
+                while text[k : k + 1] == " ":
+                    k += 1
+                places.append(k)
+        if word == "bearer" and text[at : at + 1] == " ":
+            places.append(at + 1)
+        for k in places:
+            quote = text[k : k + 1] if text[k : k + 1] in ('"', "'") else ""
+            begin = end = k + len(quote)
+            while end < len(text) and "!" <= text[end] <= "~" and (not quote or text[end] != quote):
+                end += 1
+            if end - begin >= 6:
+                if not quote:
+                    while end > begin and text[end - 1] in "\"',;.)":
+                        end -= 1
+                return begin, end
+    return None
+
+
+def plain_cred(text, words, least=10.0):
+    base, out, at = plain_spans(text), [], 0
+    while at < len(text):
+        found = context_at(text, at)
+        if found is None:
+            at += 1
+            continue
+        begin, end = found
+        full = end
+        while full < len(text) and text[full] in "\"',;.)" and text[begin - 1] not in "\"'":
+            full += 1
+        if end - begin >= 6 and not any(a <= at and end <= b for a, b, *_ in [*base, *out]) and plain_cost(text[begin:end], words) >= least:
+            out.append((at, end, "cred"))
+        at = max(begin, full - secrets.TAIL)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "Secret", "pwd", "api_key", "bearer", "pin", ":", "=", " ", '"', "'", "x9!Kq2", "#mVt7", "$Lp4", "abc", ",", "\n", "é", "password"]), max_size=22).map("".join))
+def test_added_spans_equal_the_plain_ones(text):
+    assert [s for s in secrets.find(text, WORDS)[0] if s[2] == "cred"] == plain_cred(text, WORDS)
 
 
 def test_added_spans_and_odd_texts(spark):
     text = "pwd: x9!Kq2#mVt7 then token=abcdef"
-    assert [s[2] for s in secrets.find(text)[0]] == ["cred", "assign"]
-    assert secrets.find("pwd: password123")[0] == [] and secrets.find(None) == ([], 0.0)
+    assert [s[2] for s in secrets.find(text, WORDS)[0]] == ["cred", "assign"]
+    assert secrets.find("pwd: password123", WORDS)[0] == [] and secrets.find(None, WORDS) == ([], 0.0)
     got = secrets.digest_columns(secrets.secret_spans(odd(spark)))
     assert got.count() == len(ODD) and got.where(f"base_sha256 = '{hashlib.sha256(b'').hexdigest()}'").count() == len(ODD)
     assert secrets.secret_spans(empty(spark)).count() == 0
@@ -268,9 +358,11 @@ def test_added_spans_and_odd_texts(spark):
     ("token=x9Kq2mVt7Lp4", []),  # the base span holds it all
     ('{"token":"abc","next":"/home","secret":"Xk9!vQ#7zL","u":"bob"}', ['secret":"Xk9!vQ#7zL']),
     ("password: $password$123", []),
+    ("pwd=ab'cD!9xK#2q rest", ["pwd=ab'cD!9xK#2q"]),
+    ("pwd='ab$cD!9xK#2q' rest", ["pwd='ab$cD!9xK#2q"]),
 ])
 def test_base_credential_words_are_contexts(text, added):
-    spans, highest = secrets.find(text)
+    spans, highest = secrets.find(text, WORDS)
     assert [text[a:b] for a, b, k in spans if k == "cred"] == added
     assert [s for s in spans if s[2] != "cred"] == plain_spans(text) and (highest >= 10) >= bool(added)
 
@@ -278,9 +370,9 @@ def test_base_credential_words_are_contexts(text, added):
 def test_long_values_are_covered_whole(spark):
     value = "".join(random.Random(4).choices("abcdefghkmXYZ0123456789-_.", k=1000)) + "Z"
     for text in ("Authorization: Bearer " + value, 'passwd="$' + value + '"', "pwd=$" + value):
-        spans, highest = secrets.find(text)
+        spans, highest = secrets.find(text, WORDS)
         assert [(text[a:b][-len(value):], k) for a, b, k in spans] == [(value, "cred")]
-        assert highest >= secrets.guess_cost(value) > secrets.guess_cost(value[:256])
+        assert highest >= secrets.guess_cost(value, WORDS) > secrets.guess_cost(value[:256], WORDS)
         assert value[-9:] not in secrets.redact(spark.createDataFrame([(text,)], "text string")).first()[0]
 
 
@@ -377,14 +469,21 @@ def test_contamination(spark, block_bytes):
 # 7. sharding
 
 
-def plain_leaf(key, shards):
-    best = {}
-    for region in sharding.tree(shards):
-        for rack in region:
-            for k, path, w in rack:
-                u = (int(hashlib.md5(f"{key}:{path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                best[k] = -math.log(u) / w
-    return min(best, key=best.get)
+def plain_leaf(key, nodes):
+    """Descend the tree by hand: at each level the child whose draw, by the weight below it, is least."""
+    def draw(path, weight):
+        return -math.log((int(hashlib.md5(f"{key}:{path}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight
+
+    below = lambda rack: sum(w for _, _, w in rack)
+    region = min((r for r in range(len(nodes)) if any(nodes[r])), key=lambda r: draw(str(r), sum(map(below, nodes[r]))))
+    rack = min((k for k in range(len(nodes[region])) if nodes[region][k]), key=lambda k: draw(f"{region}/{k}", below(nodes[region][k])))
+    return min(nodes[region][rack], key=lambda leaf: draw(leaf[1], leaf[2]))[0]
+
+
+def flat_leaf(key, nodes):
+    """The least draw over all leaves at once, which is not what a descent finds."""
+    leaves = [x for region in nodes for rack in region for x in rack]
+    return min(leaves, key=lambda x: -math.log((int(hashlib.md5(f"{key}:{x[1]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / x[2])[0]
 
 
 @pytest.mark.parametrize("rows_per_bucket", [50_000, 2])
@@ -392,11 +491,13 @@ def test_sharding(spark, rows_per_bucket):
     docs = texts(spark).unionByName(odd(spark).select(*texts(spark).columns))
     got = sharding.assign(docs, rows_per_bucket=rows_per_bucket).select("row.doc_id", "row.text", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
     assert len(got) == docs.count()
+    one, more = sharding.tree(24), sharding.tree(25, base=24)
     for r in got:
         key = "null" if r.doc_id is None else r.doc_id
         data = (r.text or "").encode()
         assert (r["size"], r.text_crc32, r.law) == (len(data) + 8, zlib.crc32(data), "key")
-        assert r.shard == plain_leaf(key, 24) and r.grown_shard == plain_leaf(key, 25) and r.grown_shard in (r.shard, 24)
+        assert r.shard == plain_leaf(key, one) and r.grown_shard == plain_leaf(key, more) and r.grown_shard in (r.shard, 24)
+    assert sum(r.shard == flat_leaf(r.doc_id, one) for r in got) < 0.5 * len(got)  # a flat minimum would agree throughout
     for shard in {r.shard for r in got}:
         own = sorted(r.slot for r in got if r.shard == shard)
         assert own == list(range(len(own)))
@@ -407,7 +508,14 @@ def test_a_changed_weight_moves_rows_only_in_and_out_of_its_subtree(spark):
     docs = spark.range(3000).selectExpr("id doc_id", "'x' text")
     place = lambda w: {r[0]: r[1] for r in sharding.assign(docs, 12, weights=w).select("row.doc_id", "shard").collect()}
     old, new = place({}), place({5: 3.0})
-    assert all(new[k] == 5 for k in old if old[k] != new[k]) and any(old[k] != new[k] for k in old)
+    leaf = {k: path.split("/") for region in sharding.tree(12) for rack in region for k, path, _ in rack}
+    moved = [(leaf[old[k]], leaf[new[k]]) for k in old if old[k] != new[k]]
+    region, rack = leaf[5][:2]
+    assert moved
+    for a, b in moved:
+        assert b[0] == region  # region: the only one whose weight has grown
+        assert a[0] != region or b[1] == rack  # within it, into the rack
+        assert a[:2] != [region, rack] or b[2] == "5"  # within the rack, into the shard
     share = sum(v == 5 for v in new.values()) / 3000
     assert abs(share - 3 / 14) < 0.03
 

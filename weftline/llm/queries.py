@@ -32,7 +32,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"), carry=("doc_id",))
     place = lambda k: F.try_element_at("copies", F.lit(k))["position"].alias(f"position_{k}")
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", place(1), place(2))
+    told = mixed.select("row.doc_id", "size", "source_size", "target", "taken", place(1), place(2))
+    return told.orderBy(F.col("position_1").asc_nulls_last(), "doc_id")  # the range sort by training position
 
 
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +90,23 @@ def _crc_table() -> list[int]:
     return out
 
 
-_LEAVES = ", ".join(f"({k}, '{path}')" for region in sharding.tree(25) for rack in region for k, path, _ in rack)
+_TREES = [(grown, sharding.levels(sharding.tree(24 + grown, base=24))) for grown in (0, 1)]
+#: (grown, level, node, path, weight, number) of the trees of 24 shards and one more.
+_NODES = ", ".join(f"({g}, {k}, {node}, '{path}', {weight!r}::DOUBLE, {number})" for g, levels in _TREES for k, level in enumerate(levels) for node, children in enumerate(level) for path, weight, number in children)
+
+
+def _step(level: int) -> str:
+    """The descent of one level in SQL: the number of the child with the least draw."""
+    return f"""s{level + 1} AS (SELECT r, grown, arg_min(number, -ln((('0x' || substr(md5(key || ':' || path), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) / weight) AS node
+  FROM s{level} JOIN d USING (r) JOIN nodes USING (grown, node) WHERE level = {level} GROUP BY r, grown)"""
+
 
 ORACLES: dict[str, str] = {
     # Sizes, ranks and water levels; the level that holds is the first under which no other source is above its cap.
     "op2_source_mixing": rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size,
-         md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), 'mix')) AS digest
+         md5(concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')), 'mix')) AS digest
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::BIGINT AS rank
@@ -144,12 +154,15 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
     "op7_sharding": f"""
 WITH c AS (SELECT {_crc_table()}::BIGINT[] AS tab),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, (strlen(coalesce(text, '')) + 8)::BIGINT AS size,
-             list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
-x AS (SELECT r, doc_id, key, size, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM d, c),
-leaf(shard, path) AS (VALUES {_LEAVES}),
-draw AS (SELECT r, shard, -ln((('0x' || substr(md5(key || ':' || path), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) AS e FROM d, leaf),
-p AS (SELECT r, arg_min(shard, e) FILTER (shard < 24) AS shard, arg_min(shard, e) AS grown FROM draw GROUP BY r)
-SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':slot'), doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot, grown AS grown_shard
+             md5(coalesce(text, '')) AS digest, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+x AS (SELECT r, doc_id, key, size, digest, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM d, c),
+nodes(grown, level, node, path, weight, number) AS (VALUES {_NODES}),
+s0 AS (SELECT r, grown, 0 AS node FROM d, (VALUES (0), (1)) g(grown)),
+{_step(0)},
+{_step(1)},
+{_step(2)},
+p AS (SELECT r, max(node) FILTER (grown = 0) AS shard, max(node) FILTER (grown = 1) AS grown_shard FROM s3 GROUP BY r)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY md5(key || ':' || digest || ':slot'), doc_id NULLS FIRST, size, crc) - 1)::BIGINT AS slot, grown_shard
 FROM x JOIN p USING (r)""",
     # Exact links by shared shingles; components by a recursive walk, as the groups here are small.
     "op9_near_dedup": rf"""

@@ -444,13 +444,57 @@ def plain_hits(text, items):
     return len(w), len(hit), sorted(map(str, found))
 
 
+def found(block, texts):
+    """(text, begin, length, owner) of all occurrences."""
+    codes, starts, vocab = decontam.folded(pa.array(texts, pa.string()))
+    x, out = block.numbered(codes, vocab), set()
+    for t in block.tables:
+        begin, owner = t.search(x, starts)
+        rows = np.searchsorted(starts, begin, "right") - 1
+        out |= set(zip(rows.tolist(), (begin - starts[rows]).tolist(), [t.length] * len(rows), owner.tolist()))
+    return out
+
+
+def plain_found(items, texts):
+    out = set()
+    for r, text in enumerate(texts):
+        w = decontam.words(text)
+        for i, item in enumerate(items):
+            o = decontam.words(item)
+            k = min(10, len(o))
+            wins = {tuple(o[j : j + k]) for j in range(len(o) - k + 1)} if k else set()
+            out |= {(r, j, k, i) for j in range(len(w) - k + 1 if k else 0) if tuple(w[j : j + k]) in wins}
+    return out
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("a b c d".split()), max_size=60), st.lists(st.lists(st.sampled_from("a b c d".split()), max_size=14), max_size=5))
-def test_wu_manber_finds_all(text, items):
-    tables = decontam.compile_items(enumerate(map(" ".join, items)))
-    hits = {(i, i + t.length) for t in tables for i, _ in t.search([x.encode() for x in text])}
-    n, hit, _ = plain_hits(" ".join(text), list(enumerate(map(" ".join, items))))
-    assert len(set().union(*(range(a, b) for a, b in hits))) == hit
+@given(st.lists(st.lists(st.sampled_from("a b c d".split()), max_size=60), max_size=4), st.lists(st.lists(st.sampled_from("a b c d".split()), max_size=14), max_size=5))
+def test_wu_manber_finds_all(texts, items):
+    texts, items = [" ".join(t) for t in texts], [" ".join(i) for i in items]
+    assert found(decontam.Block(enumerate(items)), texts) == plain_found(items, texts)
+
+
+def test_wu_manber_in_long_texts():
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(200)]
+    items = [" ".join(rng.choices(vocab, k=rng.choice([1, 2, 9, 10, 30, 80]))) for _ in range(60)]
+    texts = []
+    for n in (5, 600, 20_000):
+        w = rng.choices(vocab, k=n)
+        for item in rng.sample(items, 20):
+            at = rng.randrange(len(w))
+            w[at:at] = item.split()
+        texts.append(" ".join(w))
+    assert found(decontam.Block(enumerate(items)), texts) == plain_found(items, texts)
+
+
+def test_a_compiled_benchmark_is_small():
+    import pickle
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(30_000)]
+    items = [" ".join(rng.choices(vocab, k=100)) for _ in range(3000)]
+    assert len(pickle.dumps(decontam.Block(enumerate(items)))) < 10 * sum(map(len, items))
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 24, 40])
@@ -461,7 +505,7 @@ def test_contamination(spark, block_bytes):
     got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=block_bytes).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"], r.items_sha256, r.contaminated) for r in got) == sorted((d, *(p := plain_hits(t, items)), hashlib.sha256(",".join(p[2]).encode()).hexdigest(), p[1] > 0) for d, t in docs)
     kept = decontam.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_bytes=block_bytes).collect()
-    assert sorted((r.doc_id, r.text) for r in kept) == sorted(((d, t) for d, t in docs if not plain_hits(t, items)[1]), key=str) or {r.doc_id for r in kept} == {2, 4}
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(((d, t) for d, t in docs if not plain_hits(t, items)[1]), key=str)
     nothing = decontam.contamination(odd(spark), bench.where("false")).collect()
     assert len(nothing) == len(ODD) and not any(r.contaminated for r in nothing)
 

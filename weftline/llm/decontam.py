@@ -2,166 +2,253 @@
 
 The patterns are the windows of 10 consecutive words of the benchmark items; an item with fewer words is one pattern.
 Patterns of one length share a table: for the block of words that ends at a position, the shift table says how far
-the search may jump without passing an occurrence; where it may not, the block's bucket of patterns is compared
-directly. A search visits about one word in nine and stays in one pass over the documents, without a shuffle.
-
-The benchmark is a stated query set: it is cut into blocks of at most block_bytes, each block's tables lie in the
-shared folder, and every worker takes all blocks to its documents. So what a worker holds is bounded by block_bytes
-whatever the benchmark's size.
-
-Cases: null or empty texts have no words; items without words are no patterns; items with equal words are all
-reported; equal item ids are reported once; a null item id is left out of the list but its words are hit; empty
-tables give no hits. Only the id and text columns are read. Overlapping occurrences are all found.
+the search may jump without passing an occurrence; where it may not jump, the bucket of patterns with the same hash of
+their last words is compared directly. Words are numbers, and many stretches of text are searched in step, so that a
+step is an array operation. A search visits about one word in nine and stays in one pass over the documents, without
+a shuffle.
+
+The benchmark is a stated query set of any size. Tasks cut it into blocks of at most block_bytes of text and compile each
+into the shared folder: about 4 bytes of tables and the block's distinct words per word of text. A worker takes up
+to hold_bytes of documents and then all blocks in turn, so what it holds is bounded by block_bytes and hold_bytes
+whatever the benchmark's size, and each block is read once for hold_bytes of text.
+
+Cases: null or empty texts have no words; very long texts are searched whole, in overlapping stretches; items without
+words are no patterns; items with equal words are all reported; equal item ids are reported once; a null item id is
+left out of the list but its words are hit; rows that repeat a doc_id are answered one by one; empty tables give no
+hits. Overlapping occurrences are all found. Only the id and text columns are read, so names of others can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_map, fresh_path, slices
+from weftline.llm.common import arrow_map, fresh_path, materialise, slices, split_words
+from weftline.storage import discard
 
 WIDTH = 10
+#: Words whose hash selects a bucket, at the end of a pattern.
+SUFFIX = 4
+#: Windows of a text that are searched as one of many stretches.
+STRETCH = 512
 #: ASCII letters to lower case, digits and bytes of other characters kept, all else a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
+def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word numbers of all texts one after another, where each text's begin, and the words by number."""
+    plain = pa.array([(t or b"").translate(_FOLD) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
+    codes, starts, vocab = split_words(plain)
+    return codes.astype(np.int64), starts, vocab.cast(pa.binary()).to_pylist()
+
+
 class WuManber:
-    """Search for patterns of one length, given as word tuples with what each stands for."""
+    """Search for patterns of one length: windows of `ids`, word numbers of the block, at `at`, for the items `owner`."""
 
-    def __init__(self, length: int, patterns: dict[tuple, frozenset]) -> None:
+    def __init__(self, length: int, ids: np.ndarray, at: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> None:
         self.length, self.block = length, min(2, length)
-        self.default = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = {}
-        for pattern, owners in patterns.items():
-            for end in range(self.block, length + 1):
-                block = self._key(pattern, end)
-                self.shift[block] = min(self.shift.get(block, self.default), length - end)
-            self.bucket.setdefault(self._key(pattern, length), []).append((pattern, owners))
-
-    def _key(self, seq: tuple | list, end: int):
-        return seq[end - 1] if self.block == 1 else (seq[end - 2], seq[end - 1])
-
-    def search(self, text: list[bytes]) -> Iterator[tuple[int, frozenset]]:
-        """Begin and owners of every occurrence."""
-        at, n, get, default, length = self.length, len(text), self.shift.get, self.default, self.length
+        self.ids = ids
+        hashes = self._suffix(ids, at + length)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.owner = hashes[order], at[order], owner[order]
+        # The table has four places or more for each pattern. Blocks that share a place take the shorter shift, which
+        # is safe. `inside` tells how far into its item each pattern begins: the first one has a block at any distance
+        # from its end; of later ones only the last block is new.
+        self.mask = np.uint64((1 << max(4, int(4 * len(at) + 1).bit_length())) - 1)
+        self.shift = np.full(int(self.mask) + 1, min(255, length - self.block + 1), np.uint8)
+        np.minimum.at(self.shift, self._place(ids, at + length), np.uint8(0))
+        first = at[inside == 0]
+        for end in range(self.block, length):
+            np.minimum.at(self.shift, self._place(ids, first + end), np.uint8(min(255, length - end)))
+
+    def _place(self, x: np.ndarray, end: np.ndarray) -> np.ndarray:
+        mixed = x[end - 1].astype(np.uint64) * _K1
         if self.block == 2:
-            while at <= n:
-                jump = get((text[at - 2], text[at - 1]), default)
-                if jump:
-                    at += jump
-                    continue
-                found = tuple(text[at - length : at])
-                for pattern, owners in self.bucket.get(found[-2:], ()):
-                    if pattern == found:
-                        yield at - length, owners
-                at += 1
-        else:
-            for i, word in enumerate(text):
-                for _, owners in self.bucket.get(word, ()):
-                    yield i, owners
-
-
-def compile_items(items: Iterable[tuple[object, str | None]], width: int = WIDTH) -> list[WuManber]:
-    by: dict[int, dict[tuple, set]] = {}
-    for item, text in items:
-        seq = tuple(words(text))
-        size = min(width, len(seq))
-        for i in range(len(seq) - size + 1 if size else 0):
-            by.setdefault(size, {}).setdefault(seq[i : i + size], set()).add(item)
-    return [WuManber(size, {p: frozenset(o) for p, o in patterns.items()}) for size, patterns in sorted(by.items())]
+            mixed = mixed ^ x[end - 2].astype(np.uint64) * _K2
+        return (mixed ^ mixed >> np.uint64(29)) * _K3 >> np.uint64(20) & self.mask
+
+    def _suffix(self, x: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(end), np.uint64)
+        for k in range(min(SUFFIX, self.length)):
+            out = (out ^ x[end - 1 - k].astype(np.uint64)) * _K1
+            out ^= out >> np.uint64(32)
+        return out
+
+    def search(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and owners of all occurrences in texts x[starts[i] : starts[i + 1]]."""
+        length = self.length
+        room = np.diff(starts) - length + 1  # windows of each text
+        stretches = np.where(room > 0, -(-room // STRETCH), 0)
+        row = np.repeat(np.arange(len(room)), stretches)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+        begin = starts[row] + step * STRETCH
+        last = np.minimum(begin + STRETCH - 1, starts[row] + room[row] - 1) + length  # ends of the last windows
+        end, found = begin + length, []
+        while len(end):
+            jump = self.shift[self._place(x, end)].astype(np.int64)
+            here = jump == 0
+            if here.any():
+                found.append(end[here])
+            end = end + np.where(here, 1, jump)
+            on = end <= last
+            end, last = end[on], last[on]
+        end = np.concatenate(found) if found else np.empty(0, np.int64)
+        hashes = self._suffix(x, end)
+        low = np.searchsorted(self.hashes, hashes, "left")
+        count = np.searchsorted(self.hashes, hashes, "right") - low
+        pattern = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        begin = np.repeat(end, count) - length
+        for k in range(length):
+            same = x[begin + k] == self.ids[self.at[pattern] + k]
+            begin, pattern = begin[same], pattern[same]
+        return begin, self.owner[pattern]
+
+
+class Block:
+    """The tables of some items, by pattern length, with the numbers of their words and the items' ids."""
+
+    def __init__(self, items: Iterable[tuple[object, str | None]], width: int = WIDTH) -> None:
+        items = list(items)
+        self.owners = [item for item, _ in items]
+        codes, starts, vocab = folded(pa.array([t for _, t in items], pa.string()))
+        self.vocab = {w: i for i, w in enumerate(vocab)}
+        sizes = np.diff(starts)
+        lengths = np.minimum(sizes, width)
+        self.tables = []
+        for length in sorted(set(lengths[lengths > 0].tolist())):
+            own = np.flatnonzero(lengths == length)
+            n = sizes[own] - length + 1
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(starts[own], n) + inside
+            self.tables.append(WuManber(length, codes.astype(np.int32), at.astype(np.int32), np.repeat(own, n).astype(np.int32), inside))
+
+    def numbered(self, codes: np.ndarray, vocab: list[bytes]) -> np.ndarray:
+        """Word numbers of a piece of text as those of this block; words that it doesn't have get one that no pattern has."""
+        unknown = len(self.vocab)
+        table = np.fromiter((self.vocab.get(w, unknown) for w in vocab), np.int64, len(vocab))
+        return table[codes] if len(vocab) else codes
 
 
 def _save_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int) -> list[str]:
-    """Compile the benchmark block by block into the shared folder; the driver holds one block at a time."""
-    paths: list[str] = []
-    block: list = []
-    held = 0
-
-    def flush() -> None:
-        path = fresh_path(benchmark.sparkSession, "patterns")
-        store, at = fs.FileSystem.from_uri(path)
-        store.create_dir(at.rpartition("/")[0], recursive=True)
-        with store.open_output_stream(at) as out:
-            out.write(pickle.dumps(compile_items(block, width)))
-        paths.append(path)
-
-    for item, text in benchmark.select(id_col, text_col).toLocalIterator():
-        block.append((item, text))
-        held += len(text or "")
-        if held >= block_bytes:
+    """Compile the benchmark in the shared folder, by tasks that each hold one block at a time; the files of finished
+    tasks, whose names alone reach the driver, a name for block_bytes of benchmark or a smaller partition."""
+    folder = fresh_path(benchmark.sparkSession, "patterns")
+    items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        names: list[str] = []
+        block: list = []
+        held = 0
+
+        def flush() -> None:
+            names.append(f"{base}/{uuid.uuid4().hex}")
+            with store.open_output_stream(names[-1]) as out:
+                out.write(pickle.dumps(Block(block, width)))
+
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                block.append((item, text))
+                held += len(text or "") + 8
+                if held >= block_bytes:
+                    flush()
+                    block, held = [], 0
+        if block:
             flush()
-            block, held = [], 0
-    if block or not paths:
-        flush()
-    return paths
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["file"])
 
+    made = materialise(arrow_map(items, run, "file string"), "pattern-files")
+    files = sorted(r.file for r in made.collect())
+    discard(made)
+    return [folder, *files]
 
-_BLOCK: dict[str, list[WuManber]] = {}
 
+_BLOCK: dict[str, Block] = {}
 
-def _load(path: str) -> list[WuManber]:
+
+def _load(folder: str, name: str) -> Block:
     """One block's tables; a worker keeps the last."""
-    if path not in _BLOCK:
+    if name not in _BLOCK:
         _BLOCK.clear()
-        store, at = fs.FileSystem.from_uri(path)
-        with store.open_input_stream(at) as f:
-            _BLOCK[path] = pickle.loads(f.read())
-    return _BLOCK[path]
+        store, _ = fs.FileSystem.from_uri(folder)
+        with store.open_input_stream(name) as f:
+            _BLOCK[name] = pickle.loads(f.read())
+    return _BLOCK[name]
 
 
-def scan(batches: Iterator[pa.RecordBatch], paths: list[str], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[int], list[int], list[set]]]:
-    """Pieces of the batches with words, hit words and items of each row."""
+def _held(batches: Iterator[pa.RecordBatch], text_col: str, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces of the batches in lots of about `most` bytes of text."""
+    lot, size = [], 0
     for batch in batches:
         for part in slices(batch, text_col):
-            texts = [words(t) for t in part.column(text_col).to_pylist()]
-            hits: list[list] = [[] for _ in texts]
-            for path in paths:
-                for table in _load(path):
-                    for found, text in zip(hits, texts):
-                        found += [(i, i + table.length, owners) for i, owners in table.search(text)]
-            counts, items = [], []
-            for found in hits:
-                n, end = 0, 0
-                for a, b, _ in sorted(found, key=lambda x: x[:2]):
-                    n += max(0, b - max(a, end))
-                    end = max(end, b)
-                counts.append(n)
-                items.append(set().union(*(x[2] for x in found)) - {None})
-            yield part, [len(t) for t in texts], counts, items
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20) -> DataFrame:
+            lot.append(part)
+            size += part.nbytes
+            if size >= most:
+                yield lot
+                lot, size = [], 0
+    if lot:
+        yield lot
+
+
+def scan(batches: Iterator[pa.RecordBatch], paths: list[str], text_col: str, hold_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[set]]]:
+    """Pieces of the batches with words, hit words and items of each row."""
+    folder, *files = paths
+    for lot in _held(batches, text_col, hold_bytes):
+        pieces = [folded(part.column(text_col)) for part in lot]
+        edges = [np.zeros(len(codes) + 1, np.int32) for codes, _, _ in pieces]
+        items: list[dict[int, set]] = [{} for _ in pieces]
+        for name in files:
+            block = _load(folder, name)
+            for (codes, starts, vocab), edge, own in zip(pieces, edges, items):
+                x = block.numbered(codes, vocab)
+                for table in block.tables:
+                    begin, owner = table.search(x, starts)
+                    if not len(begin):
+                        continue
+                    np.add.at(edge, begin, 1)
+                    np.add.at(edge, begin + table.length, -1)
+                    rows = np.searchsorted(starts, begin, "right") - 1
+                    for pair in np.unique(rows * len(block.owners) + owner).tolist():
+                        own.setdefault(pair // len(block.owners), set()).add(block.owners[pair % len(block.owners)])
+        for part, (codes, starts, _), edge, own in zip(lot, pieces, edges, items):
+            covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+            yield part, np.diff(starts), covered[starts[1:]] - covered[starts[:-1]], [own.get(i, set()) - {None} for i in range(part.num_rows)]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20, hold_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, items (sorted), contaminated."""
     paths = _save_blocks(benchmark, item_col, item_text, width, block_bytes)
     cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, n, hit, items in scan(batches, paths, "text"):
-            lists = [sorted(map(str, x)) for x in items]
+        for part, n, hit, items in scan(batches, paths, "text", hold_bytes):
+            lists = [sorted(set(map(str, x))) for x in items]
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array(digest, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in lists], pa.int64()), pa.array(digest, pa.string()), pa.array(lists, pa.list_(pa.string())), pa.array(hit > 0, pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
 
     return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20, hold_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs without a hit word, with all their columns; one pass, no join."""
     paths = _save_blocks(benchmark, item_col, item_text, width, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, hit, _ in scan(batches, paths, text_col):
-            yield part.filter(pa.array([not h for h in hit], pa.bool_()))
+        for part, _, hit, _ in scan(batches, paths, text_col, hold_bytes):
+            yield part.filter(pa.array(hit == 0, pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

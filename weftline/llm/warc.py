@@ -6,15 +6,18 @@ one record. Files are written and read through pyarrow's file systems, so any sh
 writes files under names of its own, and only files named in the manifest of finished tasks are read: what a lost
 task left behind is ignored.
 
-Cases: null html is an empty payload; payloads under min_bytes are always responses; of equal payloads the smallest
-page_id is the response and rows that repeat this id with the same payload are responses too; a null page_id is
-never the smallest, its record bears no id and reads back as null; a null url reads back as null; no pages give an
-empty manifest and no rows. Only the id, url and html columns are read.
+Cases: page ids are whole numbers. Null html is an empty payload; payloads under min_bytes are always responses; of equal
+payloads the smallest page_id is the response; rows that repeat this id with the same payload are responses too, under
+record ids of their own if their urls differ, and revisits refer to the first by url; a null page_id is never the
+smallest, its record bears no id and reads back as null; a null url reads back as null; very long pages are one record
+each; no pages give an empty manifest and no rows. Only the id, url and html columns are read, so names of others
+can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,28 +36,32 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, payload_digest, refers_to (null for responses). Digests with several pages are found by
+    """page_id, url, payload, payload_digest, refers_to and refers_url (null for responses). Digests with several pages are found by
     a pre-aggregated group over narrow rows and written; the join back has plain scans on both sides, so that AQE
     broadcasts a small side and splits a hot digest otherwise."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
-    firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = materialise(firsts.where("n > 1").select("payload_digest", "first"), "warc-firsts")
+    firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
+    firsts = materialise(firsts.where("n > 1").select("payload_digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "warc-firsts")
     refers = F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first"))
-    return rows.join(firsts, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
+    return rows.join(firsts, "payload_digest", "left").select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"), F.when(refers.isNotNull(), F.col("first_url")).alias("refers_url"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, json.dumps([page_id, url, digest]))}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """A response, or a revisit without its payload."""
     head = HTTP_HEAD % len(payload)
     block = head if refers_to is not None else head + payload
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))), ("WARC-Block-Digest", "sha256:" + hashlib.sha256(block).hexdigest()), ("WARC-Payload-Digest", "sha256:" + digest)]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, url, digest)), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))), ("WARC-Block-Digest", "sha256:" + hashlib.sha256(block).hexdigest()), ("WARC-Payload-Digest", "sha256:" + digest)]
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if url is not None:
         fields.append(("WARC-Target-URI", url.encode("unicode_escape").decode()))
     if refers_to is not None:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{refers_to}:{digest}')}>"), ("X-Refers-To-Page-ID", str(refers_to))]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_url, digest)), ("X-Refers-To-Page-ID", str(refers_to))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return text.encode() + block + b"\r\n\r\n"
 
@@ -68,7 +75,7 @@ def write_archives(records: DataFrame, folder: str, *, most_bytes: int = 256 <<
         store.create_dir(base, recursive=True)
         done, out, name, n, size = [], None, "", 0, 0
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to"))):
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "payload_digest", "refers_to", "refers_url"))):
                 if out is None:
                     name, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(name, compression=None)

@@ -6,8 +6,9 @@ shorter prefixes: among the pieces that end at a position, exactly one is stable
 count at a position is one more than the count where that piece begins. Truncation and budget questions are then
 look-ups in the counts; nothing is encoded again.
 
-Cases: null or empty text has no tokens. Repeated rows, ties and extra columns don't matter: only the id and text
-columns are read, and each row is answered by itself. Very long texts take time in proportion to their length.
+Cases: null or empty text has no tokens; no rows give no rows. Repeated rows, ties and extra columns don't matter: only the
+id and text columns are read, and each row is answered by itself. Very long texts take time in proportion to their
+length.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from weftline.llm.common import arrow_map, slices
 SPACE = "▁"
 #: Distinct segments whose counts a worker remembers before it starts anew; a matter of speed only.
 REMEMBERED = 400_000
+#: Pairs of pieces whose stability a worker remembers before it starts anew; a matter of speed only.
+PAIRS = 2_000_000
 #: Characters of a segment whose table is remembered.
 HEAD = 6
 
@@ -40,6 +43,7 @@ class PrefixCounter:
         self.score = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
         self.longest = max(map(len, self.score))
         self._stable: dict[str, dict[str, bool]] = defaultdict(dict)
+        self._pairs = 0
         self._heads: dict[str, tuple[list[int], list[str]]] = {}
         inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         # Text may be cut wherever no piece spans the cut: before a space mark that follows other text, and around
@@ -74,6 +78,7 @@ class PrefixCounter:
         return parts
 
     def _is_stable(self, left: str, right: str) -> bool:
+        self._pairs += 1
         known = self._stable[left][right] = self._merge(left + right) == ([left, right] if left else [right])
         return known
 
@@ -91,6 +96,9 @@ class PrefixCounter:
 
     def _extend(self, text: str, counts: list[int], last: list[str]) -> tuple[list[int], list[str]]:
         """Go on from a table of the first characters: counts of the prefixes, and the last piece of each."""
+        if self._pairs > PAIRS:
+            self._stable.clear()
+            self._pairs = 0
         score, stable, longest = self.score, self._stable, self.longest
         rows = [stable[x] for x in last]
         for end in range(len(counts), len(text) + 1):

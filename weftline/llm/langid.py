@@ -8,8 +8,10 @@ Bundles are built from n-gram counts: the count of an n-gram times its vector is
 needs one pass, no shuffle, and prototypes of a fixed size (dimension x languages). Training reads about
 train_per_lang texts of each language, drawn by a hash of id and seed; that is the bound of the sample.
 
-Cases: `und` with score 0 for null texts, texts without letters, and if nothing was learned; equal cosines go to the
-first language by code point; rows with null lang aren't learned from. Only id, text and lang columns are read.
+Cases: `und` with score 0 for null texts, texts without letters, and if nothing was learned; very long texts are read
+whole; equal cosines go to the first language by code point; rows with null lang aren't learned from, rows that repeat
+an id are drawn together and each is answered by itself; no rows give no rows. Only id, text and lang columns are read,
+so names of others can't clash.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ step is an array operation. A search visits about one word in nine and stays in
 a shuffle.
 
 The benchmark is a stated query set of any size. Tasks cut it into blocks of at most block_bytes of text and compile each
-into the shared folder: about 4 bytes of tables and the block's distinct words per word of text. A worker takes up
-to hold_bytes of documents and then all blocks in turn, so what it holds is bounded by block_bytes and hold_bytes
+into the shared folder: some 30 bytes of tables a word and the block's distinct words, measured at 8 bytes a byte of
+benchmark. A worker takes up to hold_bytes of documents and then all blocks in turn, so what it holds is bounded by block_bytes and hold_bytes
 whatever the benchmark's size, and each block is read once for hold_bytes of text.
 
 Cases: null or empty texts have no words; very long texts are searched whole, in overlapping stretches; items without

@@ -6,6 +6,7 @@ executors share (spark.checkpoint.dir), so that a lost executor costs a re-read
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,3 +82,28 @@ def bucket_offsets(stats: DataFrame, group: list[str], bucket: str, value: str,
     window task holds as many rows as there are buckets, never a group's rows."""
     w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return stats.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, most_rows: int, most_bytes: int, seed: str) -> DataFrame:
+    """(id, text, the other columns of labels) of at most most_rows labelled documents with at most most_bytes of text,
+    written. labels has id, not null, and what is learned.
+
+    First at most most_rows label rows are taken, by a digest of the id; of their documents, which one id may have any
+    number of, those with the least digests of id and text, as long as they fit. Only digests and sizes reach the driver.
+    Rows alike in id, text and labels count once."""
+    few = labels.orderBy(F.xxhash64("id", F.lit(seed)), *labels.columns).limit(most_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    rows = rows.withColumn("__key", F.md5(F.concat_ws(":", F.lit(seed), "id", F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.to_json(F.struct(*[c for c in labels.columns if c != "id"])))))
+    known = rows.groupBy("__key").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("size")).orderBy("__key").limit(most_rows)
+    chosen, held = [], 0
+    for r in known.collect():
+        if held + r["size"] <= most_bytes:
+            chosen.append((r["__key"],))
+            held += r["size"]
+    keys = docs.sparkSession.createDataFrame(chosen, "__key string")
+    return materialise(rows.join(F.broadcast(keys), "__key").dropDuplicates(["__key"]).drop("__key"), "labelled")
+
+
+def fold_of(key: object, folds: int) -> int:
+    """The fold of an id, so that rows of one id are never both learned from and held out."""
+    return zlib.crc32(str(key).encode()) % folds

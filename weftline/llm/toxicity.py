@@ -5,12 +5,15 @@ the first also get the log-odds that the earlier models give. In training these
 comes from a model that didn't see the row, so later models learn how far to trust the earlier ones on new rows.
 Scoring predicts category after category in one pass over whole texts, without a shuffle.
 
-Training takes at most train_rows labelled documents, those with the least hash of the id. A document is toxic if its
-probability reaches the cut that had the best F1 on the out-of-fold predictions.
-
-Cases: null and empty texts have only the models' intercepts; labels that are null count as 0, a document with
-several labels rows is learned from each; without labelled rows all probabilities are 0 and nothing is toxic. Only
-the id and text columns and the label columns are read.
+Training takes at most train_rows labelled documents with at most train_bytes of text, by a digest of id and text, so the
+driver's part is bounded. Folds go by a hash of the id. A document is toxic if its probability reaches the cut that had
+the best F1 on the out-of-fold predictions.
+
+Cases: null and empty texts have only the models' intercepts; very long texts are scored whole, and learned from if
+they fit in train_bytes; labels that are null count as 0, a document with several labels rows is learned from each, rows
+alike in id, text and labels once; rows that repeat an id are scored one by one; equal probabilities at the cut
+are all toxic; without labelled rows all probabilities are 0 and nothing is toxic; no documents give no rows. Only the
+id and text columns and the label columns are read, so names of others can't clash.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_map, slices
+from weftline.llm.common import arrow_map, fold_of, labelled_sample, slices
 from weftline.llm.features import ids, words_of
+from weftline.storage import discard
 
 FOLDS = 5
 #: Least chi-square, with one degree of freedom, of a word feature with a category. Of the training sample's 10**5
@@ -106,11 +110,12 @@ def design(texts: list[str | None], known: np.ndarray | None = None) -> tuple[np
     return (rows, feats) if known is None else (rows[feats > 0], feats[feats > 0])
 
 
-def fit_chain(texts: list[str | None], labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Linear], float]:
-    """The models of the categories (columns of labels, in the chain's order) and the cut of the last category."""
+def fit_chain(keys: list, texts: list[str | None], labels: np.ndarray, folds: int = FOLDS) -> tuple[list[Linear], float]:
+    """The models of the categories (columns of labels, in the chain's order) and the cut of the last category. Rows with
+    one key share a fold."""
     rows, feats = design(texts)
     known, codes = np.unique(feats, return_inverse=True)
-    fold = np.arange(len(texts)) % folds
+    fold = np.array([fold_of(k, folds) for k in keys], int)
     dense, models, oof = np.empty((len(texts), 0)), [], np.zeros(len(texts))
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
@@ -132,14 +137,14 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][best] + (p[order][best + 1] if best + 1 < len(y) else 0)) / 2) if len(y) and y.any() else 1.1
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]], *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 3000, seed: str = "toxic") -> tuple[list[Linear], float]:
+def train(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]], *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 3000, train_bytes: int = 64 << 20, seed: str = "toxic") -> tuple[list[Linear], float]:
     """Fit the chain on the bounded sample, on the driver."""
     names = [n for n, _ in categories]
     few = labels.select(F.col(id_col).alias("id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in categories]).where("id is not null")
-    few = few.orderBy(F.xxhash64("id", F.lit(seed)), "id", *names).limit(train_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
-    got = sorted(rows.select("id", "text", *names).toLocalIterator(), key=lambda r: (str(r[0]), r[1] or "", r[2:]))
-    return fit_chain([r[1] for r in got], np.array([r[2:] for r in got], int).reshape(len(got), len(names)))
+    sample = labelled_sample(docs, few, id_col=id_col, text_col=text_col, most_rows=train_rows, most_bytes=train_bytes, seed=seed)
+    got = sorted(sample.select("id", "text", *names).collect(), key=lambda r: (str(r[0]), r[1] or "", r[2:]))
+    discard(sample)
+    return fit_chain([r[0] for r in got], [r[1] for r in got], np.array([r[2:] for r in got], int).reshape(len(got), len(names)))
 
 
 def score(docs: DataFrame, models: list[Linear], names: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

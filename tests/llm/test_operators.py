@@ -172,6 +172,20 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_revisits_refer_to_the_response(spark, tmp_path):
+    html = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(1, "b", html), (1, "a", html), (2, None, html), (None, None, html)], "page_id long, url string, html string")
+    warc.write_archives(warc.plan_records(pages), f"file://{tmp_path}/w")
+    fields = [f for path in (tmp_path / "w").iterdir() for f, *_ in warc.Reader(path.open("rb"))]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(ids) == 4
+    for f in fields:
+        assert (f["WARC-Type"] == "response") == (f.get("X-Page-ID") == "1")
+        if f["WARC-Type"] == "revisit":
+            first = ids[f["WARC-Refers-To"]]
+            assert (first["WARC-Type"], first["WARC-Target-URI"]) == ("response", "a")
+
+
 def test_warc_reader_takes_members_in_small_pieces_and_finds_damage():
     import io
 
@@ -401,6 +415,29 @@ def test_language_bundle_equals_the_sum_over_occurrences():
     assert np.allclose(fast[0], slow) and not fast[1].any()
 
 
+def test_languages_equal_a_plain_classifier(spark):
+    """Bundles by occurrence, prototypes and cosines by hand, for every document."""
+    rows, known = texts(spark).collect(), {}
+
+    def vector(gram):
+        if gram not in known:
+            known[gram] = np.prod([np.roll(langid.letter_vector(ord(c), 1024), 2 - k) for k, c in enumerate(gram)], axis=0).astype(float)
+        return known[gram]
+
+    def bundle(text):
+        clean = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} "))
+        return sum((vector(clean[i : i + 3]) for i in range(len(clean) - 2) if clean[i + 1] != " "), np.zeros(1024))
+
+    own = {r.doc_id: bundle(r.text) for r in rows}
+    langs = sorted({r.lang for r in rows if r.lang})
+    proto = [sum(own[r.doc_id] for r in rows if r.lang == g and zlib.crc32(str(r.doc_id).encode()) % 4 != 2) for g in langs]
+    got = {r.doc_id: r for r in QUERIES["op5_language_id"](spark, SF).collect()}
+    for r in rows:
+        v = own[r.doc_id]
+        cos = [v @ p / (np.linalg.norm(v) * np.linalg.norm(p)) for p in proto]
+        assert got[r.doc_id].lang_pred == langs[int(np.argmax(cos))] and abs(got[r.doc_id].score - min(1, max(0, max(cos)))) < 1e-4
+
+
 def test_language_odd(spark):
     got = {str(r.doc_id): r.lang_pred for r in langid.identify(odd(spark)).collect()}
     assert got["1"] == got["2"] == got["3"] == "und" and got["8"] != "und"
@@ -587,7 +624,7 @@ def test_toxicity_chain_order_and_odd_rows(spark):
     rng = random.Random(1)
     bad = [rng.random() < 0.4 for _ in range(300)]
     data = [" ".join(rng.choices(words, k=20)) + " nasty" * b for b in bad]
-    models, cut = toxicity.fit_chain(data, np.array([[b, b] for b in bad], int))
+    models, cut = toxicity.fit_chain(list(range(300)), data, np.array([[b, b] for b in bad], int))
     assert [len(m.d) for m in models] == [1, 2]  # the second model also has the first's log-odds
     rows, feats = toxicity.design(["w1 nasty", "w1 w2"])
     first = models[0].logit(rows, feats, np.empty((2, 0)))
@@ -595,6 +632,91 @@ def test_toxicity_chain_order_and_odd_rows(spark):
     assert p[0] >= cut > p[1]
 
 
+def plain_features(text):
+    words = "".join(c.lower() if c.isascii() and c.isalnum() else c if ord(c) > 127 else " " for c in text or "").split()
+    return set(words) | {"^" + w[:4] for w in words}
+
+
+def plain_fit(sets, dense, y):
+    """Logistic regression by hand: a matrix with a column for each feature that is associated with the category."""
+    n, pos, chosen = len(y), sum(y), []
+    for f in sorted(set().union(*sets)):
+        a = sum(t for s, t in zip(sets, y) if f in s)
+        df = sum(f in s for s in sets)
+        c, top = pos - a, df - a
+        if n * (a * (n - pos - top) - c * top) ** 2 / max(pos * (n - pos) * df * max(n - df, 0.5), 1e-9) >= 20:
+            chosen.append(f)
+    x = np.array([[f in s for f in chosen] for s in sets], float).reshape(n, len(chosen))
+    d = np.hstack([np.array(dense, float).reshape(n, -1), np.ones((n, 1))])
+    w, v = np.zeros(len(chosen)), np.zeros(d.shape[1])
+    rate = min(max(pos / n, 1e-3), 1 - 1e-3)
+    v[-1] = math.log(rate / (1 - rate))
+    gw, gv = np.full(len(w), 1e-8), np.full(len(v), 1e-8)
+    for _ in range(150):
+        error = (1 / (1 + np.exp(-np.clip(x @ w + d @ v, -30, 30))) - y) / n
+        g, h = x.T @ error + 1e-3 / n * w, d.T @ error
+        gw, gv = gw + g * g, gv + h * h
+        w, v = w - 0.5 / np.sqrt(gw) * g, v - 0.5 / np.sqrt(gv) * h
+    told = dict(zip(chosen, w))
+    return lambda s, more: float(np.dot([*more, 1.0], v) + sum(told.get(f, 0.0) for f in s))
+
+
+def plain_chain(ids, data, labels, new):
+    """Probabilities of each category for the new texts, and the verdicts."""
+    sets, fresh = [plain_features(t) for t in data], [plain_features(t) for t in new]
+    fold = [zlib.crc32(str(i).encode()) % 5 for i in ids]
+    dense, now, out = [[] for _ in data], [[] for _ in new], []
+    for c in range(labels.shape[1]):
+        y, oof = labels[:, c].astype(float), [0.0] * len(data)
+        for k in range(5):
+            use = [i for i in range(len(data)) if fold[i] != k]
+            model = plain_fit([sets[i] for i in use], [dense[i] for i in use], y[use]) if len(use) < len(data) else None
+            for i in range(len(data)):
+                if fold[i] == k:
+                    oof[i] = model(sets[i], dense[i])
+        model = plain_fit(sets, dense, y)
+        logits = [model(s, m) for s, m in zip(fresh, now)]
+        out.append([1 / (1 + math.exp(-x)) for x in logits])
+        squash = lambda x: min(8, max(-8, x)) / 4
+        dense = [m + [squash(x)] for m, x in zip(dense, oof)]
+        now = [m + [squash(x)] for m, x in zip(now, logits)]
+    p = sorted(((1 / (1 + math.exp(-x)), t) for x, t in zip(oof, labels[:, -1])), key=lambda r: -r[0])
+    f1 = [2 * sum(t for _, t in p[: k + 1]) / (k + 1 + labels[:, -1].sum()) for k in range(len(p))]
+    best = f1.index(max(f1))
+    cut = (p[best][0] + p[best + 1][0]) / 2
+    return out, [x >= cut for x in out[-1]]
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(25)]
+    rows = []
+    for i in range(160):
+        low, bad = rng.random() < 0.3, rng.random() < 0.35
+        rows.append((i // 2 if i < 20 else i, " ".join(rng.choices(words, k=12) + ["Sloppy!"] * (low and rng.random() < 0.9) + ["nasty."] * (bad and rng.random() < 0.85)), int(not low), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, "nasty sloppy w1"), (902, "")], "doc_id long, text string")
+    labels = spark.createDataFrame(sorted({(r[0], r[2], r[3]) for r in rows}), "doc_id long, quality int, toxic int")
+    learned = sorted({(r[0], r[1], 1 - q, t & q, t) for r in rows for d, q, t in {(x[0], x[2], x[3]) for x in rows} if d == r[0]}, key=lambda r: (str(r[0]), r[1], r[2:]))
+    new = [r[1] for r in rows] + [None, "nasty sloppy w1", ""]
+    want, verdict = plain_chain([r[0] for r in learned], [r[1] for r in learned], np.array([r[2:] for r in learned]), new)
+    got = {}
+    for r in toxicity.classify(docs, labels).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, d in enumerate([r[0] for r in rows] + [900, 901, 902]):
+        assert any(all(abs(r[c] - want[k][i]) < 1e-5 for k, c in enumerate(("p_low_quality", "p_toxic_clean", "p_toxic"))) and r.toxic == verdict[i] for r in got[d]), d
+    assert sum(verdict) > 20 and not all(verdict)
+
+
+def test_training_samples_are_bounded(spark):
+    from weftline.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i} " + "x" * 100) for i in range(200)] + [(2, "y" * 5000), (3, "z"), (3, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, True), (2, False), (3, True)], "id long, bad boolean")
+    take = lambda rows, size: labelled_sample(docs, labels, id_col="doc_id", text_col="text", most_rows=rows, most_bytes=size, seed="s").collect()
+    assert len(take(10, 1 << 20)) == 10 and sum(len(r.text) for r in take(500, 2000)) <= 2000 and len(take(500, 1 << 20)) == 202
+    assert sorted(map(str, take(10, 1 << 20))) == sorted(map(str, take(10, 1 << 20)))
+
+
 # 9. near duplicates
 
 
@@ -718,12 +840,81 @@ def test_decision_lists():
     rng = np.random.default_rng(0)
     x = rng.random((600, 8))
     y = (x[:, 2] > 0.8) | ((x[:, 6] > 0.5) & (x[:, 7] <= 0.2))
-    rules = quality.learn(x, y)
+    third = np.arange(600) % 3 == 2
+    rules = quality.learn(x, y, third)
     told = np.zeros(600, bool)
     for r in rules:
         told |= quality.covers(r, x)
     assert (told & ~y).sum() <= 6 and (told & y).sum() >= 0.9 * y.sum() and len(rules) <= 6
-    assert quality.learn(x, np.zeros(600, bool)) == []
+    assert quality.learn(x, np.zeros(600, bool), third) == []
+
+
+def plain_list(x, y, third):
+    """Sequential covering by hand: rules as lists of (feature, above, threshold)."""
+    holds = lambda t, r: r[t[0]] > t[2] if t[1] else r[t[0]] <= t[2]
+    left, rules = list(range(len(y))), []
+    while len(rules) < 12 and any(y[i] and not third[i] for i in left):
+        inside, rule = [i for i in left if not third[i]], []
+        while len(rule) < 3 and inside and not all(y[i] for i in inside):
+            p0, best, gain = sum(y[i] for i in inside), None, 1e-9
+            for f in range(len(x[0])):
+                values = sorted({x[i][f] for i in inside})
+                marks = [(a + b) / 2 for a, b in zip(values, values[1:])]
+                if len(marks) > 64:
+                    marks = sorted(set(np.quantile([x[i][f] for i in inside if y[i]], np.linspace(0, 1, 64)).tolist()))
+                for t in marks:
+                    for above in (True, False):
+                        c = [i for i in inside if holds((f, above, t), x[i])]
+                        p = sum(y[i] for i in c)
+                        if p and p * (math.log2(p / len(c)) - math.log2(p0 / len(inside))) > gain:
+                            best, gain = (f, above, t), p * (math.log2(p / len(c)) - math.log2(p0 / len(inside)))
+            if best is None:
+                break
+            f, above, _ = best
+            bad = [x[i][f] for i in inside if y[i] and holds(best, x[i])]
+            out = [x[i][f] for i in inside if not holds(best, x[i])]
+            if bad and out:
+                best = (f, above, (min(bad) + max(out)) / 2 if above else (max(bad) + min(out)) / 2)
+            rule.append(best)
+            inside = [i for i in inside if holds(best, x[i])]
+        check = [i for i in left if third[i]]
+
+        def worth(r):
+            c = [i for i in check if all(holds(t, x[i]) for t in r)]
+            return (2 * sum(y[i] for i in c) - len(c)) / max(1, len(c)) if c else -1.0
+
+        rule = max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=[])
+        c = [i for i in left if all(holds(t, x[i]) for t in rule)]
+        if not rule or sum(y[i] for i in c) < 3 or sum(y[i] for i in c) / len(c) < 0.97:
+            break
+        rules.append(rule)
+        left = [i for i in left if i not in set(c)]
+    return rules
+
+
+def plain_numbers(text):
+    text = text or ""
+    n, chars, symbols, dup, again = plain_counts(text)
+    lines = len([x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+    per = lambda a, b: a / b if b else 0.0
+    return [float(n), per(chars, n), per(symbols, n), per(dup, lines), per(again, n), per(n, lines), per(sum("A" <= c <= "Z" for c in text), chars), per(text.count("!") + text.count("?"), n)]
+
+
+def test_quality_equals_a_plain_list(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = texts(spark, sf).where("doc_id % 3 = 0").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("doc_id % 3 = 0")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    known = sorted((r.doc_id, r.quality == 0, *plain_numbers(rows[r.doc_id])) for r in labels.collect() if r.quality is not None and r.doc_id in rows)
+    x, y = [list(r[2:]) for r in known], [r[1] for r in known]
+    rules = plain_list(x, y, [zlib.crc32(str(r[0]).encode()) % 3 == 2 for r in known])
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    assert rules and len(got) == len(rows)
+    for d, text in rows.items():
+        v, c = plain_numbers(text), plain_counts(text)
+        failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
+        rejected = any(all(v[f] > t if above else v[f] <= t for f, above, t in rule) for rule in rules)
+        assert (got[d].base_failed, got[d].kept) == (failed, not failed and not rejected)
 
 
 def test_quality_odd(spark):

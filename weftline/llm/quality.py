@@ -5,11 +5,15 @@ covering: a rule, a conjunction of thresholds, is grown on two thirds of the row
 other third, and kept if it is precise there; the rows that it covers are set aside and the next rule is grown. The
 list is emitted as one ordered Spark conditional expression, so applying it needs no Python and can be read.
 
-Learning takes at most train_rows labelled documents, those with the least hash of the id.
-
-Cases: null texts count as empty; ratios over no words are 0; lines are cut at \\n only; a document with several label
-rows is learned from each, null labels aren't learned from; without labels, or without a rule precise enough, the
-list keeps every document that the base rules keep. Only the id and text columns and the label columns are read.
+Learning takes at most train_rows labelled documents with at most train_bytes of text, by a digest of id and text; of an
+id all rows are in the same third.
+
+Cases: null texts count as empty; very long texts are read whole; ratios over no words are 0; lines are cut at \\n only; a
+document with several label rows is learned from each, rows alike in id, text and label once, null labels aren't
+learned from; rows that repeat an id are judged one by one; of tests with equal gain the first feature, the least
+threshold and `above` win; without labels, or without a rule precise enough, the list keeps every document that the base
+rules keep; no documents give no rows. Only the id and text columns and the label columns are read, so names of others
+can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_map, slices, split_words
+from weftline.llm.common import arrow_map, fold_of, labelled_sample, slices, split_words
+from weftline.storage import discard
 
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -157,12 +162,11 @@ def prune(rule: list[Test], x: np.ndarray, y: np.ndarray) -> list[Test]:
     return max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=[])
 
 
-def learn(x: np.ndarray, y: np.ndarray, *, most_rules: int = 12, most_tests: int = 3, precision: float = 0.97, least: int = 3) -> list[list[Test]]:
-    """Rules for the bad rows (y true), in order. Each must be precise on all rows that earlier rules left, and cover
+def learn(x: np.ndarray, y: np.ndarray, third: np.ndarray, *, most_rules: int = 12, most_tests: int = 3, precision: float = 0.97, least: int = 3) -> list[list[Test]]:
+    """Rules for the bad rows (y true), in order, grown on the rows outside `third` and pruned on those in it. Each must be precise on all rows that earlier rules left, and cover
     `least` bad ones at least."""
     rules: list[list[Test]] = []
     left = np.ones(len(y), bool)
-    third = np.arange(len(y)) % 3 == 2
     while len(rules) < most_rules and y[left & ~third].any():
         rule = prune(grow(x[left & ~third], y[left & ~third], most_tests), x[left & third], y[left & third])
         c = left & covers(rule, x)
@@ -184,15 +188,16 @@ def as_column(rules: list[list[Test]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", train_rows: int = 4000, seed: str = "quality") -> list[list[Test]]:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", train_rows: int = 4000, train_bytes: int = 64 << 20, seed: str = "quality") -> list[list[Test]]:
     few = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(quality_col) == 0).alias("bad"))
-    few = few.orderBy(F.xxhash64("id", F.lit(seed)), "id", "bad").limit(train_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
+    rows = labelled_sample(docs, few, id_col=id_col, text_col=text_col, most_rows=train_rows, most_bytes=train_bytes, seed=seed)
     told = statistics(rows.select(F.struct("id", "bad").alias("key"), "text"), id_col="key", text_col="text")
     names = list(features())
     got = told.select("doc_id.id", "doc_id.bad", *[c.alias(n) for n, c in features().items()]).toPandas()
+    discard(rows)
     got = got.sort_values(["id", "bad", *names])
-    return learn(got[names].to_numpy(float).reshape(len(got), len(names)), got["bad"].to_numpy(bool))
+    third = np.array([fold_of(k, 3) == 2 for k in got["id"].tolist()], bool)
+    return learn(got[names].to_numpy(float).reshape(len(got), len(names)), got["bad"].to_numpy(bool), third)
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:

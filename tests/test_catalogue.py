@@ -1,10 +1,12 @@
 """Every registered query against its SQL in DuckDB, and what queries without SQL promise."""
 
+import hashlib
 import json
 
 import pytest
 
 from tests.compare import check, tables
+from weftline.functions import tabular, variation
 from weftline.functions.json_schema import check as wrong
 from weftline.operators import sampling
 from weftline.plans import catalogue
@@ -35,6 +37,49 @@ def test_synthetic_tables_fit_their_schemas(spark):
     assert len({r.content_type for r in got}) == 10
 
 
+def draw(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def test_tables_equal_the_plain_generator(spark):
+    got = {r.key: (r.input_data, r.content_type, r.schema, r.output) for r in catalogue.QUERIES["tabular"](spark, SF).collect()}
+    keys = [r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
+    want = {k: tabular.triplet(draw(f"{k}:0")) for k in keys}
+    assert got == {k: (t["input_data"], t["content_type"], t["schema"], t["output"]) for k, t in want.items() if t}
+
+
+def test_variations_equal_the_plain_ones(spark):
+    got = {(r.chunk_id, r.number): (r.schema_id, json.loads(r.schema), json.loads(r.data)) for r in catalogue.QUERIES["vary_schema"](spark, SF).collect()}
+    want = {}
+    for r in catalogue._json_chunks(spark, SF).collect():
+        for k in range(2):
+            try:
+                schema, data, _ = variation.vary(json.loads(catalogue.ORDER_SCHEMA), json.loads(r.content), draw(f"{r.id}:{k}:0"))
+            except (ValueError, TypeError, KeyError, AttributeError):
+                continue
+            want[r.id, k] = ("order", json.loads(json.dumps(schema)), json.loads(json.dumps(data)))
+    assert got == want
+
+
+def test_augmented_samples_equal_the_plain_steps(spark):
+    """Row by row, in order: another schema that the output doesn't fit, no schema, presentation, a varied schema."""
+    rows = catalogue._samples(spark, SF).selectExpr("*", "pmod(xxhash64(input_data, schema, 0), 1L << 40) seed").collect()
+    own = {}
+    for r in rows:
+        own[r.meta.schema_id] = min(own.get(r.meta.schema_id, r.schema), r.schema)
+    order = sorted(own, key=lambda s: (hashlib.sha256(f"{s}:negative".encode()).hexdigest(), s))
+    want = []
+    for r in rows:
+        steps = [(variation.step_drop_schema, 0.1), (variation.step_present, 0.5), (variation.step_vary, 0.1)]
+        if r.seed % 1000 < 100:
+            near = [own[order[((r.seed >> 10) + t * 7919) % len(order)]] for t in range(2)]
+            steps.insert(0, (variation.step_negative(near, in_order=True), 1.0))
+        new = variation.augmented({"input_data": r.input_data, "schema": r.schema, "output": r.output}, r.seed, steps)
+        want.append((new["input_data"], new["schema"], new["output"], r.input_data, r.schema, r.output))
+    got = catalogue.QUERIES["augment"](spark, SF).collect()
+    assert sorted((r.input_data, r.schema, r.output, r.original_input, r.original_schema, r.original_output) for r in got) == sorted(want)
+
+
 def test_augmented_samples_keep_their_originals(spark):
     got = catalogue.QUERIES["augment"](spark, SF).collect()
     assert any(r.schema == "[MISSING]" for r in got) and any(r.input_data != r.original_input for r in got)

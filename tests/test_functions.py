@@ -274,3 +274,35 @@ def test_tables():
             seen.add(t["content_type"])
             assert js.check(t["output"], t["schema"]) is None and t == tabular.triplet(seed)
     assert len(seen) == 10
+
+
+@pytest.mark.parametrize("schema, good, bad", [
+    ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"required": ["a"]}, "else": {"required": ["b"]}}, [{"k": 1, "a": 0}, {"k": 2, "b": 0}, {"b": 0}], [{"k": 1, "b": 0}, {"k": 2, "a": 0}]),
+    ({"dependencies": {"a": ["b"], "c": {"required": ["d"]}}}, [{"a": 1, "b": 1}, {}, {"c": 1, "d": 1}], [{"a": 1}, {"c": 1}]),
+    ({"dependentRequired": {"a": ["b"]}, "dependentSchemas": {"c": {"minProperties": 2}}}, [{"a": 1, "b": 2}, {"c": 1, "x": 1}], [{"a": 1}, {"c": 1}]),
+    ({"contains": {"type": "integer"}}, [[1], ["a", 2]], [[], ["a"]]),
+    ({"contains": {"type": "integer"}, "minContains": 2, "maxContains": 3}, [[1, 2], [1, "x", 2, 3]], [[1], [1, 2, 3, 4]]),
+    ({"propertyNames": {"pattern": "^[a-z]+$"}}, [{"ab": 1}], [{"A": 1}]),
+    ({"items": [{"type": "integer"}], "additionalItems": False}, [[1], []], [[1, 2], ["a"]]),
+    ({"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}, [[1, "a"], []], [[1, 2], ["a"]]),
+    ({"patternProperties": {"^x": {"type": "integer"}}, "properties": {"xa": {"minimum": 5}}}, [{"xa": 6}, {"y": "s"}], [{"xa": 4}, {"xa": "s"}, {"xb": "s"}]),
+    ({"multipleOf": 0.1}, [0.3, 1, "text"], [0.35]),
+    ({"format": "date"}, ["2024-02-29", 5], ["2023-02-29", "x"]),
+    ({"format": "date-time"}, ["2024-01-31T10:00:00Z", "2024-01-31t10:00:00.5+01:00"], ["2024-01-31", "2024-13-01T10:00:00Z"]),
+    ({"format": "time"}, ["10:00:00Z"], ["25:00:00Z"]),
+    ({"format": "email"}, ["a@b.org"], ["a@b", "a b@c.d"]),
+    ({"format": "hostname"}, ["a-b.example"], ["-a.b", "a_b"]),
+    ({"format": "ipv4"}, ["10.0.0.1"], ["10.0.0.256", "1.2.3"]),
+    ({"format": "ipv6"}, ["::1"], ["::g", "1.2.3.4"]),
+    ({"format": "uri"}, ["http://a/b?c#d"], ["no scheme", "/a"]),
+    ({"format": "uuid"}, ["123e4567-e89b-12d3-a456-426614174000"], ["123e4567"]),
+    ({"format": "json-pointer"}, ["/a~0b", ""], ["a", "/~2"]),
+    ({"format": "regex"}, ["a+"], ["("]),
+    ({"format": "unheard-of"}, ["anything"], []),
+])
+def test_validation_keywords(schema, good, bad):
+    text = json.dumps(schema)
+    assert [js.check(json.dumps(x), text) for x in good] == [None] * len(good)
+    assert all(js.check(json.dumps(x), text) for x in bad)
+    if "format" in schema:
+        assert not any(js.check(json.dumps(x), text, formats=False) for x in bad)

@@ -263,6 +263,27 @@ def test_sub_documents(spark):
     assert generation.sub_documents(rows, source="chunks", least=40, share=1.0, most=3).count() == 3
 
 
+def lookup(url):
+    if url != "http://known/one.json":
+        raise js.SchemaError(url)
+    return {"type": "object", "properties": {"a": {"type": "integer"}}}
+
+
+def test_urls_are_resolved(spark):
+    rows = [("u", '{"type": "object", "properties": {"x": {"$ref": "http://known/one.json"}}}'), ("v", '{"$ref": "http://gone"}')]
+    schemas = spark.createDataFrame([(*r, False, None, "{}") for r in rows], SCHEMAS["json_schemas"])
+    got = {r.id: r for r in generation.normalised_schemas(schemas, "expand", resolver=lookup).collect()}
+    assert (got["u"].status, got["v"].status) == ("updated", "deleted") and json.loads(got["u"].content)["properties"]["x"] == lookup("http://known/one.json")
+    assert [json.loads(r.content) for r in generation.sub_schemas(schemas, resolver=lookup).collect()] == [lookup("http://known/one.json")]
+    assert {r.status for r in generation.normalised_schemas(schemas, "expand").collect()} == {"deleted"}
+
+
+def test_one_whole_row_of_each_repeated_key(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "z"), (4, None, "n"), (5, None, "m")], "id long, k string, v string")
+    assert sorted(map(tuple, cleaning.any_row_of(df, ["k"], "id").collect())) == [(1, "a", "x"), (4, None, "n")]
+    assert cleaning.any_row_of(df, ["k"], "id", only_repeated=False).count() == 3
+
+
 def test_schema_normalisation_states(spark, small):
     got = {r.id: r.status for r in generation.normalised_schemas(small[1]).collect()}
     assert got == {"s1": "skipped", "s2": "updated", "s3": "updated", "s4": "deleted"}
@@ -365,6 +386,15 @@ def test_layouts(spark, tmp_path):
     assert got["chunks"].count() == got["source_documents"].count() == 4 and got["json_schemas"].count() == 1
     assert got["chunks"].where("schema_id is not null").join(got["json_schemas"].select(F.col("id").alias("schema_id")), "schema_id").count() == 1
     assert layouts.schema_and_answer(rows, "src", limit=2)["chunks"].count() == 2
+    (tmp_path / "src").mkdir()
+    for name, lines in {"a": ["z", "b"], "b": ["a", "z", "c"]}.items():
+        (tmp_path / "src" / f"{name}.json").write_text("\n".join(json.dumps({"a": x}) for x in lines))
+    placed = layouts.in_source_order(spark.read.schema("a string").json(str(tmp_path / "src")))
+    docs = layouts.raw_records(placed, "src")["source_documents"]
+    assert {json.loads(r.meta)["source_dataset_index"]: json.loads(r.content)["a"] for r in docs.collect()} == dict(enumerate("zbazc"))
+    assert {json.loads(r.content)["a"] for r in layouts.raw_records(placed, "src", limit=2)["source_documents"].collect()} == {"z", "b"}
+    talk = placed.selectExpr("array(struct(concat('{\"k\": \"', a, '\"}') as value)) conversations", "concat('{\"type\": \"object\", \"properties\": {\"', if(a = 'c', 'z', a), '\": {\"type\": \"integer\"}}}') schema", "__place")
+    assert {json.loads(r.content)["k"] for r in layouts.conversations(talk, "src")["source_documents"].collect()} == {"z", "b", "a"}  # the first in the source
     chats = spark.createDataFrame([([{"value": "q"}, {"value": "<think>no</think> {\"a\": 1}"}], good), ([{"value": "{\"a\": 1}"}], good + " "), ([{"value": "x" * 10_001}], good)], "conversations array<struct<value:string>>, schema string")
     assert layouts.conversations(chats, "src")["chunks"].count() == 1
     assert layouts.schemas_only(rows, "src")["json_schemas"].count() == 1
@@ -383,6 +413,8 @@ def test_ngram_source(spark, tmp_path):
     hits = spark.read.format("ngrams").option("folder", str(tmp_path)).option("query", "cats").load()
     assert hits.count() == 5 and {r.doc_id for r in ngrams.fenced_chunks(hits).collect()} == {"d1", "d3"}
     assert spark.read.format("ngrams").option("folder", str(tmp_path)).option("query", "dogs").load().count() == 0
+    flaky = spark.read.format("ngrams").option("client", "tests.flaky_index:client").option("query", "x").load()
+    assert sorted((r.shard, r["rank"], r.doc_id) for r in flaky.collect()) == [(s, k, f"{s}-{k}") for s in (0, 1) for k in range(5)]
     waits, calls = [], iter([ngrams.RateLimited(7), OSError(), "ok"])
 
     def call():

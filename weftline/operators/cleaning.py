@@ -71,6 +71,13 @@ def duplicated(df: DataFrame, key: Column, having: int = 1) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > having)
 
 
+def any_row_of(df: DataFrame, keys: list[str], order: str, only_repeated: bool = True) -> DataFrame:
+    """A GROUP BY with bare columns: one whole row for each value of the keys, by default of those met more than once.
+    Which row such a query gives is left open; here it is the least by `order`, so that reruns agree."""
+    rows = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("__row"), F.count("*").alias("__n"))
+    return rows.where("__n > 1" if only_repeated else "true").select("__row.*")
+
+
 def two_stage_survivors(df: DataFrame, exact: Column, fold: Column, order: str) -> DataFrame:
     """(id, survivor): only rows whose exact text occurs several times are candidates; of those with one folded text
     the first survives. So {A, A, a, a} keeps one row and {A, a} two. One row per row of df."""

@@ -19,7 +19,9 @@ FORMATS = ("XML", "YAML", "TOML", "MARKDOWN", "PYTHON_STRING", "CSV", "HTML", "S
 
 
 def seeded(key: Column | str, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit((1 << 62)))
+    """60 bits of a digest of key:seed, alike in any engine with md5."""
+    text = F.concat_ws(":", (F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(seed))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def sampled(rows: DataFrame, parent: str, order: Column, share: float) -> DataFrame:
@@ -46,9 +48,9 @@ def sub_documents(rows: DataFrame, *, source: str, depth: int = 7, share: float
     return out if most is None else out.orderBy("id").limit(most)
 
 
-def sub_schemas(schemas: DataFrame, most: int | None = None) -> DataFrame:
+def sub_schemas(schemas: DataFrame, most: int | None = None, resolver: json_schema.Resolver = json_schema.no_network) -> DataFrame:
     """Schemas from the definitions and compound parts of schemas, one of each form."""
-    parts = schemas.select(F.col("id").alias("parent"), F.col("meta").alias("parent_meta"), F.explode(udfs.schema_parts("content")).alias("p")).select("parent", "parent_meta", "p.path", "p.content")
+    parts = schemas.select(F.col("id").alias("parent"), F.col("meta").alias("parent_meta"), F.explode(udfs.schema_parts(resolver)("content")).alias("p")).select("parent", "parent_meta", "p.path", "p.content")
     parts = parts.withColumn("id", new_id(F.col("parent"), F.col("path"), "sub_schema"))
     out = first_of(parts, [udfs.minified("content")], "id")
     info = meta(source=F.lit("extracted_subschema"), original_schema_id=F.col("parent"), extraction_path=F.col("path"), original_schema_meta=F.col("parent_meta"))
@@ -56,21 +58,25 @@ def sub_schemas(schemas: DataFrame, most: int | None = None) -> DataFrame:
     return out if most is None else out.orderBy("id").limit(most)
 
 
-def normalised_schemas(schemas: DataFrame, how: str = "strict") -> DataFrame:
+def normalised_schemas(schemas: DataFrame, how: str = "strict", resolver: json_schema.Resolver = json_schema.no_network) -> DataFrame:
     """Schemas with status (updated, skipped, deleted), error, and their content in the strict dialect, or with only
-    the references inlined (how = expand). Written once, so that the Python pass isn't run for each use."""
-    told = (udfs.strict if how == "strict" else udfs.expand)("content").alias("s")
+    the references inlined (how = expand); the resolver gets what URLs point to. Written once, so that the Python pass isn't run for each use."""
+    told = udfs.schema_status(how, resolver)("content").alias("s")
     out = schemas.select(*schemas.columns, told).select("*", "s.status", "s.error", F.coalesce("s.schema", "content").alias("__c")).withColumn("content", F.col("__c")).drop("s", "__c")
     return materialise(out, "schemas")
 
 
 def format_conversions(chunks: DataFrame, conversions: DataFrame, names: tuple[str, ...] = FORMATS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(new chunks, new conversions): every JSON chunk with a schema in every format that it isn't in yet and that leads
-    back to it. Formats are a fixed list of names, so they are exploded from an array; no join makes the pairs."""
+    back to it. A document is parsed once for all formats, and its texts are exploded after."""
     src = chunks.where("content_type = 'JSON' and schema_id is not null and content is not null").select("id", "content", "schema_id")
-    done = conversions.select(F.col("input_chunk_id").alias("__in"), F.col("output_chunk_id").alias("id")).join(chunks.select(F.col("id").alias("__in"), F.col("content_type").alias("format")), "__in").select("id", "format")
-    todo = src.withColumn("format", F.explode(F.array(*[F.lit(n) for n in names]))).join(done, ["id", "format"], "left_anti")
-    told = todo.withColumn("c", udfs.convert("content", "format", seeded(F.concat_ws(":", "id", "format"), seed)))
+    done = conversions.select(F.col("input_chunk_id").alias("__in"), F.col("output_chunk_id").alias("id")).join(chunks.select(F.col("id").alias("__in"), F.col("content_type").alias("format")).where(F.col("format").isin(*names)), "__in")
+    done = done.groupBy("id").agg(F.collect_set("format").alias("done"))  # as many as there are formats at most
+    wanted = F.array(*[F.lit(n) for n in names])
+    todo = src.join(done, "id", "left").withColumn("formats", F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>"))))
+    seeds = F.transform("formats", lambda f: seeded(F.concat_ws(":", "id", f), seed))
+    told = todo.select("id", "schema_id", F.explode(udfs.convert_all("content", "formats", seeds)).alias("c"))
+    told = told.select("id", "schema_id", "c.format", F.struct("c.text", "c.options", "c.error").alias("c"))
     told = materialise(told.select("id", "schema_id", "format", "c.text", "c.options", "c.error"), "formats").where("error is null")
     fresh = told.select(new_id(F.col("id"), F.col("format"), "format").alias("id"), F.col("text").alias("content"), F.col("format").alias("content_type"), F.lit(False).alias("is_synthetic"), F.lit(None).cast("string").alias("parent_document_id"), F.col("id").alias("parent_chunk_id"), F.lit(True).alias("matches_parent_chunk"), "schema_id", meta(converter=F.col("format"), converter_state=F.col("options")).alias("meta"))
     fresh = drop_duplicate_chunks(fresh)

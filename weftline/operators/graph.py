@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from weftline.operators.udfs import sorted_digest
 from weftline.storage import discard, materialise
 
 
@@ -31,8 +32,7 @@ def roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> Data
 
 def content_signature(text: Column | str) -> Column:
     """Digest of the text's sorted lower-case characters, so order doesn't matter."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.sha2(F.array_join(F.sort_array(F.split(F.lower(c), "")), ""), 256)
+    return sorted_digest(F.lower(F.col(text) if isinstance(text, str) else text))
 
 
 def dataset_signature(*metas: tuple[Column, Column]) -> Column:
@@ -89,7 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
 def signature_components(edges: DataFrame, node: str = "id", signature: str = "signature") -> DataFrame:
     """(node, component): nodes that share signatures, directly or through others; the least node names a component.
     Every node is linked to the least node of each signature, a star and not all pairs."""
-    e = edges.select(F.col(node).alias("node"), F.col(signature).alias("s"))
+    e = materialise(edges.select(F.col(node).alias("node"), F.col(signature).alias("s")), "signatures")
     heads = materialise(e.where("s is not null").groupBy("s").agg(F.min("node").alias("head")), "heads")
     star = e.join(heads, "s").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     label = components(materialise(star, "star"))

@@ -81,7 +81,7 @@ def negative_samples(samples: DataFrame, share: float = 0.25, tries: int = 3, se
     fits them all."""
     chosen = first_share(samples.where(F.col("schema") != MISSING), F.col("meta.schema_conversion_id"), share, seed)
     chosen = materialise(chosen.withColumn("k", F.monotonically_increasing_id()), "chosen")
-    near = _candidates(chosen, _others(samples), tries, F.pmod(F.xxhash64("meta.schema_conversion_id", F.lit(seed)), F.lit(1 << 40)))
+    near = _candidates(chosen, _others(samples), tries, F.conv(F.substring(digest("meta.schema_conversion_id", seed + "-draw"), 1, 10), 16, 10).cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

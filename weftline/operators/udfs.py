@@ -3,7 +3,9 @@ and never fails: what goes wrong in a row is told in the row."""
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -68,8 +70,15 @@ def struct_function(f: Callable[..., dict[str, Any]], kind: T.StructType) -> Cal
 
 
 _STATUS = struct_of(schema=STRING, status=STRING, error=STRING)
-strict = struct_function(lambda x: json_schema.status(x, "strict"), _STATUS)
-expand = struct_function(lambda x: json_schema.status(x, "expand"), _STATUS)
+
+
+def schema_status(how: str, resolver: json_schema.Resolver = json_schema.no_network) -> Callable[..., Column]:
+    """Schema texts brought to the strict dialect, or with references inlined (how = expand); the resolver, a function that
+    workers can get, finds what URLs point to."""
+    return struct_function(lambda x: json_schema.status(x, how, resolver), _STATUS)
+
+
+strict, expand = schema_status("strict"), schema_status("expand")
 
 
 @F.pandas_udf(STRING)
@@ -78,19 +87,59 @@ def validation_error(values: pd.Series, schemas: pd.Series) -> pd.Series:
     return pd.Series([json_schema.check(v, s) for v, s in zip(values, schemas)], dtype=object)
 
 
+@F.pandas_udf(STRING)
+def validation_error_without_formats(values: pd.Series, schemas: pd.Series) -> pd.Series:
+    """The same, whatever the formats of texts: for answers that come with their schemas."""
+    return pd.Series([json_schema.check(v, s, formats=False) for v, s in zip(values, schemas)], dtype=object)
+
+
+def _converted(value: object, name: str, seed: int) -> tuple[str | None, str, str | None]:
+    try:
+        text, options, error = formats.converted(value, name, seed)
+        return text, json.dumps(options), error
+    except (ValueError, TypeError) as e:
+        return None, "{}", str(e)[:200]
+
+
 @F.pandas_udf(struct_of(text=STRING, options=STRING, error=STRING))
 def convert(values: pd.Series, names: pd.Series, seeds: pd.Series) -> pd.DataFrame:
     """A JSON text in a format: the text, the format's options, or why it can't be told."""
     out = []
     for v, n, s in zip(values, names, seeds):
         try:
-            text, options, error = formats.converted(json.loads(v), n, int(s))
-            out.append((text, json.dumps(options), error))
+            out.append(_converted(json.loads(v), n, int(s)))
         except (ValueError, TypeError) as e:
             out.append((None, "{}", str(e)[:200]))
     return pd.DataFrame(out, columns=["text", "options", "error"], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(struct_of(format=STRING, text=STRING, options=STRING, error=STRING)))
+def convert_all(values: pd.Series, names: pd.Series, seeds: pd.Series) -> pd.Series:
+    """A JSON text in several formats, parsed once."""
+    out = []
+    for v, own, draws in zip(values, names, seeds):
+        try:
+            value, why = json.loads(v), None
+        except (ValueError, TypeError) as e:
+            value, why = None, str(e)[:200]
+        rows = [(n, *((None, "{}", why) if why else _converted(value, n, int(s)))) for n, s in zip(own, draws)]
+        out.append([dict(zip(("format", "text", "options", "error"), r)) for r in rows])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(STRING)
+def sorted_digest(texts: pd.Series) -> pd.Series:
+    """SHA-256 of a text's characters in order. They are counted, so that no list of single characters is made."""
+    out = []
+    for t in texts:
+        if t is None:
+            out.append(None)
+        else:
+            counts = Counter(t)
+            out.append(hashlib.sha256("".join([c * counts[c] for c in sorted(counts)]).encode()).hexdigest())
+    return pd.Series(out, dtype=object)
+
+
 @F.pandas_udf(PARTS)
 def parts(values: pd.Series, depths: pd.Series) -> pd.Series:
     """The objects and lists within a JSON text, outer ones first."""
@@ -104,17 +153,16 @@ def parts(values: pd.Series, depths: pd.Series) -> pd.Series:
     return pd.Series([f(v, d) for v, d in zip(values, depths)], dtype=object)
 
 
-@F.pandas_udf(PARTS)
-def schema_parts(values: pd.Series) -> pd.Series:
+def schema_parts(resolver: json_schema.Resolver = json_schema.no_network) -> Callable[..., Column]:
     """The sub-schemas of a schema text, expanded."""
 
-    def f(v: str | None) -> list[dict[str, str]]:
+    def f(v: str) -> list[dict[str, str]]:
         try:
-            return [{"path": p, "content": json.dumps(s)} for p, s in json_schema.sub_schemas(json.loads(v or ""))]
+            return [{"path": p, "content": json.dumps(s)} for p, s in json_schema.sub_schemas(json.loads(v), resolver)]
         except (ValueError, RecursionError, AttributeError):
             return []
 
-    return pd.Series([f(v) for v in values], dtype=object)
+    return text_function(f, PARTS)
 
 
 @F.pandas_udf(struct_of(error_type=STRING, correct=BOOLEAN, schema_ok=BOOLEAN, diff_lines=LONG, chars_added=LONG, chars_missing=LONG, similarity=DOUBLE))

@@ -345,6 +345,31 @@ def group_rank(spark, sf_dir):
     return graph.rank_groups(graph.signature_components(_edges(spark, sf_dir)))
 
 
+@query("""WITH o AS (SELECT 'v' || o_orderkey AS id, o_custkey // 10 AS block FROM orders),
+g AS (SELECT block, (row_number() OVER (ORDER BY count(*) DESC, min(id)) - 1)::BIGINT AS group_id FROM o GROUP BY block)
+SELECT id, group_id, '{"group":"' || group_id || '"}' AS meta FROM o JOIN g USING (block)""")
+def assign_groups(spark, sf_dir):
+    """Orders as conversions of their customers' chunks. Two customers share a parent chunk and five a record of a data
+    set, so ten are linked through both; all other signatures are their own."""
+    none = F.lit(None).cast("string")
+    name = lambda t, k: F.concat(F.lit(t), k.cast("string"))
+    own = lambda t, k: F.sha2(name(t, k), 256)
+    orders, customers = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    cust, order = F.col("c_custkey"), F.col("o_orderkey")
+    documents = customers.select(name("d", cust).alias("id"), F.lit("src").alias("source"), F.lit("").alias("content"), F.lit("JSON").alias("content_type"), F.concat(F.lit('{"source_dataset_index": "'), F.floor(cust / 5), F.lit('"}')).alias("meta"))
+    chunks = customers.select(name("c", cust).alias("id"), own("c", cust).alias("content"), name("d", cust).alias("parent_document_id"), name("h", F.floor(cust / 2)).alias("parent_chunk_id"))
+    chunks = chunks.union(orders.select(name("o", order), own("o", order), none, none))
+    schemas = orders.select(name("s", order).alias("id"), own("s", order).alias("content"), none.alias("parent_schema_id"), none.alias("meta"))
+    conversions = orders.select(name("v", order).alias("id"), name("c", F.col("o_custkey")).alias("input_chunk_id"), name("s", order).alias("schema_id"), name("o", order).alias("output_chunk_id"), F.lit(None).cast("long").alias("group_id"), F.lit("{}").alias("meta"))
+    return graph.assign_groups(conversions, chunks, schemas, documents).select("id", "group_id", "meta")
+
+
+@query("SELECT min(doc_id) AS id, arg_min(source, doc_id) AS source, sha256(text) AS content FROM documents GROUP BY text HAVING count(*) > 1")
+def bare_group_by(spark, sf_dir):
+    """A whole row for each text that several documents have."""
+    return cleaning.any_row_of(_docs(spark, sf_dir), ["content"], "id").select("id", "source", F.sha2("content", 256).alias("content"))
+
+
 @query("""WITH RECURSIVE g AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) * 50 + user_id % 50 AS group_id, count(*) AS size FROM events GROUP BY 1),
 t AS (SELECT greatest(1, CASE WHEN sum(size) <= 5000 THEN sum(size) // 20 ELSE least(5000, sum(size) // 20) END)::BIGINT AS want FROM g),
 f AS (SELECT group_id, size, row_number() OVER (ORDER BY d, group_id) AS n FROM (SELECT *, sha256(group_id || ':split') AS d FROM g WHERE group_id NOT IN (SELECT group_id FROM g ORDER BY size DESC, group_id LIMIT 2)), t WHERE size <= want AND substr(d, 64, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')),
@@ -508,27 +533,38 @@ def tokenise_mask_pad(spark, sf_dir):
 # Formats
 
 
-def _flat(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("content"))
-    return p
+def _part(spark: SparkSession, sf_dir: str, doc: Column) -> DataFrame:
+    return _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.to_json(doc, {"ignoreNullFields": "false"}).alias("content"))
+
+
+def _nested(name: Column) -> Column:
+    """A document with a nested object and a list."""
+    return F.struct(name.alias("name"), F.col("p_size").alias("size"), F.struct(F.col("p_brand").alias("brand"), F.array("p_size").alias("n")).alias("more"))
 
 
-def _format(name: str, sql: str) -> None:
+def _rows() -> Column:
+    """A document of two rows."""
+    return F.array(F.struct(F.concat("p_name", F.lit(" <b> & co")).alias("name"), F.col("p_size").alias("size")), F.struct(F.col("p_type").alias("name"), (F.col("p_size") + 1).alias("size")))
+
+
+def _format(name: str, sql: str, doc: Callable[[], Column]) -> None:
     def f(spark, sf_dir):
-        return _flat(spark, sf_dir).withColumn("c", udfs.convert("content", F.lit(name), F.lit(0))).select("id", F.coalesce("c.text", F.lit("-")).alias("text"))
+        return _part(spark, sf_dir, doc()).withColumn("c", udfs.convert("content", F.lit(name), F.lit(0))).select("id", F.coalesce("c.text", F.lit("-")).alias("text"))
 
     f.__name__ = f"format_{name.lower()}"
     query(f"SELECT p_partkey AS id, {sql} AS text FROM part")(f)
 
 
-_format("CSV", "'name,size' || chr(10) || p_name || ',' || p_size || chr(10)")
-_format("SQL", "'INSERT INTO users (name, size) VALUES (''' || p_name || ''', ' || p_size || ');'")
-_format("HTML", "'<table><thead><tr>' || '<th>name</th><th>size</th>' || '</tr></thead>' || '<tbody><tr><td>' || p_name || '</td><td>' || p_size || '</td></tr>' || '</tbody></table>'")
-_format("MARKDOWN", "'| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |'")
-_format("XML", "'<root><name type=\"str\">' || p_name || '</name><size type=\"int\">' || p_size || '</size></root>'")
-_format("PYTHON_STRING", "'{''name'': ''' || p_name || ''', ''size'': ' || p_size || '}'")
-_format("TOML", "'name = \"' || p_name || '\"' || chr(10) || 'size = ' || p_size || chr(10)")
-_format("YAML", "'name: ' || p_name || chr(10) || 'size: ' || p_size || chr(10)")
+_odd = lambda: _nested(F.concat("p_name", F.lit("'s <b> \"x\" & co")))
+_NL, _ODD = "chr(10)", "p_name || '''s <b> \"x\" & co'"
+_format("CSV", f"'name,size' || {_NL} || p_name || ' <b> & co,' || p_size || {_NL} || p_type || ',' || (p_size + 1) || {_NL}", _rows)
+_format("SQL", "'INSERT INTO users (name, size, live, price, memo) VALUES (''' || p_name || ''', ' || p_size || ', ' || CASE WHEN p_size > 20 THEN 'True' ELSE 'False' END || ', 1.5, NULL);'", lambda: F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_size") > 20).alias("live"), F.lit(1.5).alias("price"), F.lit(None).cast("string").alias("memo")))
+_format("HTML", "'<table><thead><tr><th>name</th><th>size</th></tr></thead><tbody><tr><td>' || p_name || ' &lt;b&gt; &amp; co</td><td>' || p_size || '</td></tr><tr><td>' || p_type || '</td><td>' || (p_size + 1) || '</td></tr></tbody></table>'", _rows)
+_format("MARKDOWN", f"'| name | size |' || {_NL} || '| --- | --- |' || {_NL} || '| ' || p_name || ' <b> & co | ' || p_size || ' |' || {_NL} || '| ' || p_type || ' | ' || (p_size + 1) || ' |'", _rows)
+_format("XML", "'<root><name type=\"str\">' || p_name || '</name><size type=\"int\">' || p_size || '</size><more type=\"dict\"><brand type=\"str\">' || p_brand || '</brand><n type=\"list\"><item type=\"int\">' || p_size || '</item></n></more></root>'", lambda: _nested(F.col("p_name")))
+_format("PYTHON_STRING", "'{''name'': ''' || p_name || chr(92) || '''s <b> \"x\" & co'', ''size'': ' || p_size || ', ''more'': {''brand'': ''' || p_brand || ''', ''n'': [' || p_size || ']}}'", _odd)
+_format("TOML", f"'name = \"' || replace({_ODD}, '\"', chr(92) || '\"') || '\"' || {_NL} || 'size = ' || p_size || {_NL} || {_NL} || '[more]' || {_NL} || 'brand = \"' || p_brand || '\"' || {_NL} || 'n = [' || p_size || ']' || {_NL}", _odd)
+_format("YAML", f"'name: ' || {_ODD} || {_NL} || 'size: ' || p_size || {_NL} || 'more:' || {_NL} || '  brand: ' || p_brand || {_NL} || '  n:' || {_NL} || '  - ' || p_size || {_NL}", _odd)
 
 
 def _json_chunks(spark, sf_dir):
@@ -544,12 +580,36 @@ def _schemas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("order", ORDER_SCHEMA, False, None, "{}"), ("other", other, False, None, "{}")], "id string, content string, is_synthetic boolean, parent_schema_id string, meta string")
 
 
-@query("SELECT content_type, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n FROM (VALUES ('PYTHON_STRING'), ('TOML'), ('XML'), ('YAML')) t(content_type)")
+_ORDERS = """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS part FROM lineitem),
+s AS (SELECT k, id, status, seed & 1 AS by_key, greatest((seed >> 1) % 5, 2)::INTEGER AS indent FROM (
+  SELECT o_orderkey AS k, 'o' || o_orderkey AS id, o_orderstatus AS status, ('0x' || substr(md5('o' || o_orderkey || ':YAML:0'), 1, 15))::BIGINT AS seed FROM orders))"""
+_LINES = {
+    "PYTHON_STRING": "'{''n'': ' || n || ', ''part'': ' || part || '}'",
+    "TOML": "chr(10) || '[[lines]]' || chr(10) || 'n = ' || n || chr(10) || 'part = ' || part || chr(10)",
+    "XML": "'<item type=\"dict\"><n type=\"int\">' || n || '</n><part type=\"int\">' || part || '</part></item>'",
+    "YAML": "'-' || repeat(' ', indent - 1) || 'n: ' || n || chr(10) || repeat(' ', indent) || 'part: ' || part || chr(10)",
+}
+_WHOLE = {
+    "PYTHON_STRING": "'{''key'': ' || k || ', ''status'': ''' || status || ''', ''lines'': [' || lines || ']}'",
+    "TOML": "'key = ' || k || chr(10) || 'status = \"' || status || '\"' || chr(10) || lines",
+    "XML": "'<root><key type=\"int\">' || k || '</key><status type=\"str\">' || status || '</status><lines type=\"list\">' || lines || '</lines></root>'",
+    "YAML": "'key: ' || k || chr(10) || CASE WHEN by_key = 1 THEN 'lines:' || chr(10) || lines || 'status: ' || status || chr(10) ELSE 'status: ' || status || chr(10) || 'lines:' || chr(10) || lines END",
+}
+
+
+@query(_ORDERS + " UNION ALL ".join(f"""
+SELECT id, '{f}' AS content_type, {_WHOLE[f]} AS content FROM (
+  SELECT id, k, status, by_key, string_agg({_LINES[f]}, '{", " if f == "PYTHON_STRING" else ""}' ORDER BY n, part) AS lines FROM s JOIN l USING (k) GROUP BY ALL)
+WHERE '{f}' <> 'XML' OR NOT id LIKE '%7'""" for f in _LINES))
 def convert_all(spark, sf_dir):
-    """Nested orders survive in the four formats that can hold lists of objects."""
-    v = spark.createDataFrame([], "id string, input_chunk_id string, schema_id string, output_chunk_id string")
-    fresh, _ = generation.format_conversions(_json_chunks(spark, sf_dir), v)
-    return fresh.groupBy("content_type").agg(F.count("*").alias("n"))
+    """Nested orders survive in the four formats that can hold lists of objects; those whose key ends in 7 are in XML
+    already."""
+    chunks = _json_chunks(spark, sf_dir)
+    seven = chunks.where("id like '%7'")
+    old = seven.withColumn("id", F.concat(F.lit("x"), "id")).withColumn("content_type", F.lit("XML")).withColumn("content", F.lit("<root/>"))
+    v = seven.select(F.concat(F.lit("v"), "id").alias("id"), F.concat(F.lit("x"), "id").alias("input_chunk_id"), "schema_id", F.col("id").alias("output_chunk_id"))
+    fresh, _ = generation.format_conversions(chunks.unionByName(old), v)
+    return fresh.select(F.col("parent_chunk_id").alias("id"), "content_type", "content")
 
 
 _PARTS = """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, '{"n": ' || l_linenumber || ', "part": ' || l_partkey || '}' AS line FROM lineitem),
@@ -573,10 +633,21 @@ def sub_documents(spark, sf_dir):
 STRICT_K = json.dumps(dict(type=["object", "null"], properties=dict(k=dict(type=["integer", "null"])), required=["k"], additionalProperties=False))
 
 
-@query(f"""SELECT event_id, CASE WHEN event_type = 'click' THEN '{STRICT_K.replace(" ", "")}' ELSE '-' END AS schema,
-CASE WHEN event_type = 'click' THEN 'updated' ELSE 'deleted' END AS status FROM events""")
+#: Schemas by event_id % 6, and what becomes of them.
+_RAW = [
+    ('{"type": "object", "title": "x", "properties": {"k": {"type": "integer", "minLength": 3}}}', STRICT_K.replace(" ", ""), "updated"),
+    ('{"anyOf": []}', "-", "deleted"),
+    (STRICT_K, STRICT_K.replace(" ", ""), "skipped"),
+    ('{"type": "object", "properties": {"d": {"$ref": "#/definitions/day"}}, "definitions": {"day": {"type": "date"}}}', '{"type":["object","null"],"properties":{"d":{"type":["string","null"]}},"required":["d"],"additionalProperties":false}', "updated"),
+    ('{"type": "array", "items": {"type": ["string", "null"], "enum": ["a"]}, "minItems": 2}', '{"type":["array","null"],"items":{"type":["string","null"]}}', "updated"),
+    ('{"$ref": "#"}', "-", "deleted"),
+]
+_BY_SIX = lambda k: "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{raw[k]}'" for i, raw in enumerate(_RAW)) + " END"
+
+
+@query(f"SELECT event_id, {_BY_SIX(1)} AS schema, {_BY_SIX(2)} AS status FROM events")
 def normalise_schema(spark, sf_dir):
-    raw = F.when(F.col("event_type") == "click", F.lit('{"type": "object", "title": "x", "properties": {"k": {"type": "integer", "minLength": 3}}}')).otherwise(F.lit('{"anyOf": []}'))
+    raw = F.element_at(F.array(*[F.lit(text) for text, _, _ in _RAW]), (F.col("event_id") % 6 + 1).cast("int"))
     told = _t(spark, sf_dir, "events").select("event_id", udfs.strict(raw).alias("s"))
     return told.select("event_id", F.coalesce(F.replace("s.schema", F.lit(" "), F.lit("")), F.lit("-")).alias("schema"), "s.status")
 
@@ -592,15 +663,31 @@ def validate_instances(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", udfs.validation_error("props", F.lit(schema)).isNull().alias("ok"))
 
 
-@query("SELECT path, 1::BIGINT AS n FROM (VALUES ('properties.lines'), ('properties.lines.items')) t(path)")
+_SUB = """WITH t AS (SELECT 's' || s_suppkey AS parent, s_suppkey % 7 AS a, s_nationkey AS b FROM supplier),
+p AS (SELECT parent, 'properties.p' || a AS path, '{"type":"object","properties":{"n":{"type":"integer"}}}' AS content FROM t
+UNION ALL SELECT parent, 'properties.tags', '{"type":"array","items":{"type":"object","properties":{"t' || b || '":{"type":"string"}}}}' FROM t
+UNION ALL SELECT parent, 'properties.tags.items', '{"type":"object","properties":{"t' || b || '":{"type":"string"}}}' FROM t),
+i AS (SELECT *, substr(sha256(parent || chr(1) || path || chr(1) || 'sub_schema'), 1, 36) AS id FROM p)"""
+
+
+@query(_SUB + " SELECT min(id) AS id, arg_min(parent, id) AS parent, arg_min(path, id) AS path, content FROM i GROUP BY content")
 def sub_schema(spark, sf_dir):
-    return generation.sub_schemas(_schemas(spark)).groupBy(F.get_json_object("meta", "$.extraction_path").alias("path")).agg(F.count("*").alias("n"))
+    """Schemas of suppliers: an object that all share in form, and lists of objects by nation."""
+    text = F.format_string('{"type": "object", "properties": {"p%s": {"type": "object", "properties": {"n": {"type": "integer"}}}, "tags": {"type": "array", "items": {"type": "object", "properties": {"t%s": {"type": "string"}}}}}}', (F.col("s_suppkey") % 7).cast("string"), F.col("s_nationkey").cast("string"))
+    schemas = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), text.alias("content"), F.lit("{}").alias("meta"))
+    got = generation.sub_schemas(schemas)
+    return got.select("id", F.col("parent_schema_id").alias("parent"), F.get_json_object("meta", "$.extraction_path").alias("path"), F.replace("content", F.lit(" "), F.lit("")).alias("content"))
 
 
-@query("SELECT count(DISTINCT l_orderkey) AS n, 'order' AS schema_id FROM lineitem")
+@query("SELECT p_partkey AS id, CASE WHEN p_size <= 40 THEN p_brand END AS schema_id FROM part")
 def map_chunks(spark, sf_dir):
-    open_ = _json_chunks(spark, sf_dir).withColumn("schema_id", F.lit(None).cast("string"))
-    return retrieval.map_chunks(open_, _schemas(spark)).groupBy("schema_id").agg(F.count("*").alias("n"))
+    """A schema for each brand; a part's document has its brand as the only member, a number that fits or a text."""
+    key = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
+    part = _t(spark, sf_dir, "part")
+    schemas = part.select(F.col("p_brand").alias("id"), F.format_string('{"type": "object", "properties": {"%1$s": {"type": "integer"}}, "required": ["%1$s"], "additionalProperties": false}', key).alias("content")).distinct()
+    content = F.concat(F.lit('{"'), key, F.lit('": '), F.when(F.col("p_size") <= 40, F.col("p_size").cast("string")).otherwise(F.lit('"large"')), F.lit("}"))
+    chunks = part.select(F.col("p_partkey").alias("id"), content.alias("content"), F.lit("JSON").alias("content_type"), F.lit(None).cast("string").alias("schema_id"), F.lit("{}").alias("meta"))
+    return retrieval.map_chunks(chunks, schemas).select("id", "schema_id")
 
 
 @query("SELECT count(DISTINCT l_orderkey) AS n FROM lineitem")
@@ -623,9 +710,14 @@ def augment(spark, sf_dir):
     return sampling.augmented(_samples(spark, sf_dir))
 
 
-@query("SELECT count(*) // 4 AS n FROM events")
+@query("""WITH s AS (SELECT DISTINCT event_type AS sid FROM events),
+o AS (SELECT sid, (row_number() OVER (ORDER BY sha256(sid || ':negative'), sid) - 1)::BIGINT AS place, count(*) OVER () AS n FROM s),
+c AS (SELECT event_id::VARCHAR AS id, event_type AS own, ('0x' || substr(sha256(event_id || ':negative-draw'), 1, 10))::BIGINT AS draw FROM events ORDER BY sha256(event_id || ':negative'), event_id LIMIT (SELECT count(*) // 4 FROM events)),
+t AS (SELECT id, own, sid, t FROM c, (VALUES (0), (1), (2)) x(t) JOIN o ON o.place = (c.draw + x.t * 7919) % o.n WHERE sid <> own AND sid <> 'click')
+SELECT id, own AS original_schema_id, arg_min(sid, t) AS schema_id, '{}' AS output FROM t GROUP BY id, own""")
 def negative_samples(spark, sf_dir):
-    return sampling.negative_samples(_samples(spark, sf_dir)).agg(F.count("*").alias("n"))
+    """Events, whose documents fit the schema of clicks alone."""
+    return sampling.negative_samples(_samples(spark, sf_dir)).select(F.col("meta.schema_conversion_id").alias("id"), "meta.original_schema_id", "meta.schema_id", "output")
 
 
 @query()
@@ -633,7 +725,10 @@ def tabular(spark, sf_dir):
     return generation.synthetic_tables(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).repartition(spark.sparkContext.defaultParallelism))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'content' WHEN event_id % 5 = 0 THEN 'json' END AS error_type, event_id % 3 <> 0 AND event_id % 5 <> 0 AS correct,
+CASE WHEN event_id % 3 = 0 THEN 1::BIGINT WHEN event_id % 5 <> 0 THEN 0 END AS diff_lines, CASE WHEN event_id % 3 = 0 THEN 2::BIGINT WHEN event_id % 5 <> 0 THEN 0 END AS chars_added,
+CASE WHEN event_id % 3 = 0 OR event_id % 5 <> 0 THEN 0::BIGINT END AS chars_missing, CASE WHEN event_id % 3 = 0 THEN round(2.0::DOUBLE * n / (2 * n + 2), 4) WHEN event_id % 5 <> 0 THEN 1.0 END AS similarity
+FROM (SELECT event_id, length(props) - 1 AS n FROM events)""")
 def diff_metrics(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     wrong = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit("k"), F.lit("key"))).when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props"))

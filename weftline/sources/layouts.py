@@ -24,15 +24,33 @@ def documents(rows: DataFrame, source: str, content: Column, index: Column, kind
     return rows.select(new_id(F.lit(source), index.cast("string"), content).alias("id"), F.lit(source).alias("source"), content.alias("content"), F.lit(kind).alias("content_type"), info.alias("meta"))
 
 
+#: The column that tells a record's place in its source.
+PLACE = "__place"
+
+
+def in_source_order(rows: DataFrame) -> DataFrame:
+    """Rows as read from files, with each record's place: the file, the split of the file and the order in it. Layouts
+    number records by it, so that an index is the record's own and the first of equal records is the first in the source."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias(PLACE))
+
+
 def indexed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with __index from 0: by place if there is one, else by content."""
     from weftline.operators.numbering import numbered
 
+    if PLACE in rows.columns:
+        return numbered(rows, [F.col(PLACE)], "__index").drop(PLACE)
     return numbered(rows, order, "__index")
 
 
+def _place(rows: DataFrame) -> list[str]:
+    return [PLACE] if PLACE in rows.columns else []
+
+
 def raw_records(rows: DataFrame, source: str, limit: int | None = None) -> Tables:
-    """One document per record."""
-    told = rows.select(F.to_json(F.struct("*")).alias("content"))
+    """One document per record; with a limit the first ones, exactly as many."""
+    told = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != PLACE])).alias("content"), *_place(rows))
     told = indexed(told, [F.col("content")])
     if limit is not None:
         told = told.where(F.col("__index") < limit)
@@ -42,11 +60,11 @@ def raw_records(rows: DataFrame, source: str, limit: int | None = None) -> Table
 def schema_and_answer(rows: DataFrame, source: str, schema_col: str = "schema", answer_col: str = "response", limit: int | None = None) -> Tables:
     """A document and a chunk per answer, with the schema brought to the strict dialect if it is of good quality and
     the answer fits it. Documents and chunks stay when the schema doesn't; `status` says so."""
-    src = indexed(rows.select(F.col(schema_col).alias("s"), F.col(answer_col).alias("a")), [F.col("s"), F.col("a")])
+    src = indexed(rows.select(F.col(schema_col).alias("s"), F.col(answer_col).alias("a"), *_place(rows)), [F.col("s"), F.col("a")])
     if limit is not None:
         src = src.where(F.col("__index") < limit)
     told = src.select("*", udfs.strict(F.replace(F.col("s"), F.lit('"definitions"'), F.lit('"$defs"'))).alias("n"))
-    told = told.select("__index", "s", "a", "n.schema", udfs.schema_quality("n.schema").alias("good"), udfs.validation_error("a", "n.schema").alias("why"))
+    told = told.select("__index", "s", "a", "n.schema", udfs.schema_quality("n.schema").alias("good"), udfs.validation_error_without_formats("a", "n.schema").alias("why"))
     told = materialise(told.withColumn("status", F.when(F.col("schema").isNull(), "no strict schema").when(~F.coalesce("good", F.lit(False)), "low quality").when(F.col("why").isNotNull(), "answer doesn't fit").otherwise("ok")), "layout")
     ok = F.col("status") == "ok"
     docs = documents(told, source, F.col("a"), F.col("__index"))
@@ -61,15 +79,16 @@ def conversations(rows: DataFrame, source: str, turns: str = "conversations", sc
     """The last turn's text after its thoughts is the answer. Long ones are left out, and of rows with an answer or a
     schema seen before, in order, only the first is taken."""
     last = F.element_at(F.col(turns), -1)["value"]
-    told = rows.select(F.trim(F.substring_index(last, "</think>", -1)).alias("answer"), F.col(schema_col).alias("schema")).where((F.length("answer") <= longest) & (F.length("schema") <= longest))
+    told = rows.select(F.trim(F.substring_index(last, "</think>", -1)).alias("answer"), F.col(schema_col).alias("schema"), *_place(rows)).where((F.length("answer") <= longest) & (F.length("schema") <= longest))
     told = first_of(indexed(told, [F.col("answer"), F.col("schema")]), [F.col("answer")], "__index")
-    told = first_of(told, [F.col("schema")], "__index").drop("__index")
+    told = first_of(told, [F.col("schema")], "__index").withColumnRenamed("__index", PLACE)
     return schema_and_answer(told, source, "schema", "answer", limit)
 
 
 def schemas_only(rows: DataFrame, source: str, schema_col: str = "schema", limit: int | None = None, longest: int = 10_000) -> Tables:
     """Schemas of good quality in the strict dialect, one of each text."""
-    src = indexed(rows.select(F.col(schema_col).alias("s")).where(F.length("s") <= longest).distinct(), [F.col("s")])
+    src = rows.select(F.col(schema_col).alias("s"), *_place(rows)).where(F.length("s") <= longest)
+    src = indexed(src.groupBy("s").agg(*[F.min(c).alias(c) for c in _place(rows)]) if _place(rows) else src.distinct(), [F.col("s")])
     if limit is not None:
         src = src.where(F.col("__index") < limit)
     told = src.select("*", udfs.strict("s").alias("n")).select("__index", "n.schema").where("schema is not null").where(udfs.schema_quality("schema"))

@@ -1,15 +1,21 @@
 """A source for n-gram indexes: a Python data source with a partition for each range of ranks of a shard. The client is
-pluggable; the one here reads a folder of JSON lines, so that it works without a network."""
+pluggable: the option `client` names a factory as module:function, which gets the options. The one here reads a folder
+of JSON lines on any file system, so that it works without a network."""
 
 from __future__ import annotations
 
+import importlib
+import io
+import itertools
 import json
 import random
+import re
+import sys
 import time
 from collections.abc import Callable, Iterator
-from pathlib import Path
-from typing import Any
+from typing import Any, Protocol
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -36,26 +42,37 @@ def with_retries(call: Callable[[], Any], tries: int = 5, base: float = 0.5, sle
     return None
 
 
+class Client(Protocol):
+    """What an index must tell: where hits may lie, as (shard, first rank, end), and the documents of such a range that
+    hold the query, with their ranks. segments is asked on the driver, hits in tasks."""
+
+    def segments(self, query: str) -> list[tuple[int, int, int]]: ...
+
+    def hits(self, query: str, shard: int, first: int, end: int) -> Iterator[tuple[int, dict[str, Any]]]: ...
+
+
 class FolderClient:
-    """find and get over shard-<n>.jsonl files with {doc_id, spans, meta} rows."""
+    """shard-<n>.jsonl files with {doc_id, spans, meta} rows. The driver lists the files; each task reads its own once,
+    line by line. Without an index of where hits lie, a segment is a whole shard."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
+    def __init__(self, options: dict[str, str]) -> None:
+        self.store, self.folder = fs.FileSystem.from_uri(options["folder"])
+
+    def segments(self, query: str) -> list[tuple[int, int, int]]:
+        names = [f.base_name for f in self.store.get_file_info(fs.FileSelector(self.folder))]
+        shards = sorted(int(m[1]) for n in names if (m := re.fullmatch(r"shard-(\d+)\.jsonl", n)))
+        return [(s, 0, sys.maxsize) for s in shards]
 
-    def _rows(self, shard: int) -> list[dict[str, Any]]:
-        return [json.loads(x) for x in (self.folder / f"shard-{shard}.jsonl").read_text().splitlines()]
+    def hits(self, query: str, shard: int, first: int, end: int) -> Iterator[tuple[int, dict[str, Any]]]:
+        with self.store.open_input_stream(f"{self.folder}/shard-{shard}.jsonl") as f, io.TextIOWrapper(f, encoding="utf-8") as lines:
+            for rank, line in enumerate(itertools.islice(lines, first, end), first):
+                if line.strip() and query in "\n".join((row := json.loads(line))["spans"]):
+                    yield rank, row
 
-    def find(self, query: str) -> list[tuple[int, int, int]]:
-        """(shard, first rank, last rank + 1) of the hits."""
-        out = []
-        for path in sorted(self.folder.glob("shard-*.jsonl")):
-            shard = int(path.stem.split("-")[1])
-            ranks = [i for i, r in enumerate(self._rows(shard)) if query in "\n".join(r["spans"])]
-            out += [(shard, r, r + 1) for r in ranks]
-        return out
 
-    def get(self, shard: int, rank: int) -> dict[str, Any]:
-        return self._rows(shard)[rank]
+def client_of(options: dict[str, str]) -> Client:
+    module, _, name = options.get("client", "weftline.sources.ngrams:FolderClient").partition(":")
+    return getattr(importlib.import_module(module), name)(options)
 
 
 class Segment(InputPartition):
@@ -68,13 +85,25 @@ class NgramReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[Segment]:
-        return [Segment(*x) for x in with_retries(lambda: FolderClient(self.options["folder"]).find(self.options["query"]))] or [Segment(-1, 0, 0)]
+        return [Segment(*x) for x in with_retries(lambda: client_of(self.options).segments(self.options["query"]))] or [Segment(-1, 0, 0)]
 
     def read(self, partition: Segment) -> Iterator[tuple]:
-        client = FolderClient(self.options["folder"])
-        for rank in range(partition.first, partition.end):
-            r = with_retries(lambda rank=rank: client.get(partition.shard, rank))
-            yield r["doc_id"], partition.shard, rank, r["spans"], json.dumps(r.get("meta", {}))
+        """A segment's hits. Where a client fails, it is asked again from after the last rank that it gave."""
+        client, at, hits = client_of(self.options), partition.first, None
+
+        def following() -> tuple[int, dict[str, Any]] | None:
+            nonlocal hits
+            try:
+                hits = hits or client.hits(self.options["query"], partition.shard, at, partition.end)
+                return next(hits, None)
+            except (RateLimited, OSError):
+                hits = None
+                raise
+
+        while at < partition.end and (found := with_retries(following)) is not None:
+            rank, row = found
+            at = rank + 1
+            yield row["doc_id"], partition.shard, rank, row["spans"], json.dumps(row.get("meta", {}))
 
 
 class NgramSource(DataSource):

@@ -6,7 +6,8 @@ bundles its training texts. The language is the one whose prototype has the larg
 
 Bundles are built from n-gram counts: the count of an n-gram times its vector is the sum over its occurrences. A text
 needs one pass, no shuffle, and prototypes of a fixed size (dimension x languages). Training reads about
-train_per_lang texts of each language, drawn by a hash of id and seed; that is the bound of the sample.
+train_per_lang texts of each language, drawn by a hash of id and seed; that is the bound of the sample. Tasks bundle
+them, so the driver gets no text or n-gram.
 
 Cases: `und` with score 0 for null texts, texts without letters, and if nothing was learned; very long texts are read
 whole; equal cosines go to the first language by code point; rows with null lang aren't learned from, rows that repeat
@@ -102,8 +103,8 @@ def space(dim: int) -> Space:
 
 
 def learn(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 1024, train_per_lang: int = 1500, seed: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and their prototypes. n-gram counts by language are summed by Spark; the driver gets the
-    distinct n-grams of the bounded sample."""
+    """Languages in order and their prototypes. Each task bundles what it has of every language, and the bundles, whole
+    numbers, are added by Spark; the driver gets a vector for each language."""
     rows = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(float(train_per_lang)) / F.col("count"))).select("lang", "share")
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -120,17 +121,15 @@ def learn(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
                     for k, c in zip(keys.tolist(), n.tolist()):
                         own[k] = own.get(k, 0) + c
         for lang, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
-
-    counts = arrow_map(sample, run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique())
-    sp, out = Space(dim), np.zeros((len(langs), dim))
-    for i, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang].sort_values("gram")
-        for at in range(0, len(own), 4096):
-            part = own.iloc[at : at + 4096]
-            out[i] += np.stack([sp.vector(k) for k in part["gram"].tolist()]).T @ part["n"].to_numpy().astype(float)
-    return langs, out
+            keys, n, vector = np.array(list(own), np.int64), np.array(list(own.values()), np.float64), np.zeros(dim)
+            for at in range(0, len(keys), 2048):
+                vector += n[at : at + 2048] @ sp.vectors(keys[at : at + 2048]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(np.arange(dim), pa.int64()), pa.array(vector.astype(np.int64))], ["lang", "place", "n"])
+
+    told = arrow_map(sample, run, "lang string, place bigint, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
+    langs = sorted(told["lang"].unique())
+    table = told.pivot(index="lang", columns="place", values="n").sort_index()
+    return langs, table.to_numpy(float).reshape(len(langs), dim)
 
 
 def least_cosine(counts: np.ndarray, dim: int) -> np.ndarray:

@@ -66,6 +66,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     digest = order_hash(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), seed)
     sized = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.concat(F.lit("="), F.col(source_col)).alias("s"), n_words(text_col).alias("size"), digest.alias("digest"), bucket_of(digest, buckets).alias("bucket"))
     sized = sized.withColumn("s", F.coalesce("s", F.lit("")))
+    if carry != ("*",):  # narrow rows are written, so that texts are read once
+        sized = materialise(sized, "sized")
     stats = materialise(sized.groupBy("s", "bucket").agg(F.any_value("source").alias("source"), F.sum("size").alias("words")), "mix-stats")
     sources = stats.groupBy("s").agg(F.any_value("source").alias("source"), F.sum("words").alias("total"))
     sources = numbered(sources, [F.col("source").asc_nulls_last()], "rank")

@@ -624,10 +624,13 @@ def sub_json(spark, sf_dir):
     return _order_json(spark, sf_dir).select("id", F.explode(udfs.parts("content", F.lit(7))).alias("p")).select("id", "p.path", "p.content")
 
 
-@query(_PARTS + " SELECT count(DISTINCT lower(content)) AS n FROM p WHERE length(content) >= 30")
+@query(_PARTS + """, c AS (SELECT 'o' || id AS parent, path, content, substr(sha256('o' || id || chr(1) || path || chr(1) || 'sub'), 1, 36) AS part FROM p WHERE length(content) >= 30),
+k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY sha256(parent || ':' || path || ':0')) AS k, count(*) OVER (PARTITION BY parent) AS n FROM c)
+SELECT min(part) AS id, arg_min(parent, part) AS parent, arg_min(content, part) AS content FROM k WHERE k <= greatest(n // 2, 1) GROUP BY lower(content)""")
 def sub_documents(spark, sf_dir):
-    got = generation.sub_documents(_json_chunks(spark, sf_dir), source="documents", least=30, share=1.0)
-    return got.agg(F.count("*").alias("n"))
+    """Half of each order's parts, and one of each text."""
+    got = generation.sub_documents(_json_chunks(spark, sf_dir), source="documents", least=30, share=0.5)
+    return got.select("id", F.col("parent_document_id").alias("parent"), "content")
 
 
 STRICT_K = json.dumps(dict(type=["object", "null"], properties=dict(k=dict(type=["integer", "null"])), required=["k"], additionalProperties=False))
@@ -690,14 +693,20 @@ def map_chunks(spark, sf_dir):
     return retrieval.map_chunks(chunks, schemas).select("id", "schema_id")
 
 
-@query("SELECT count(DISTINCT l_orderkey) AS n FROM lineitem")
+@query(f"SELECT DISTINCT 'o' || l_orderkey AS chunk_id, '{ORDER_SCHEMA}' AS schema FROM lineitem")
 def infer_for_chunks(spark, sf_dir):
-    return generation.inferred_schemas(_json_chunks(spark, sf_dir).withColumn("schema_id", F.lit(None).cast("string"))).agg(F.count("*").alias("n"))
+    return generation.inferred_schemas(_json_chunks(spark, sf_dir).withColumn("schema_id", F.lit(None).cast("string")))
 
 
-@query("SELECT 'other' AS schema_id")
+@query("""SELECT 's' || p_partkey AS schema_id, true AS fits FROM part ANTI JOIN (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_returnflag = 'R') x USING (p_partkey)""")
 def chunks_for_schemas(spark, sf_dir):
-    return generation.generated_chunks(_schemas(spark), _json_chunks(spark, sf_dir)).select("schema_id")
+    """A schema for each part, some with chunks; documents are made for the others, and fit."""
+    part = _t(spark, sf_dir, "part")
+    text = F.format_string('{"type": "object", "properties": {"n": {"type": "integer", "minimum": %s, "maximum": 60}, "tags": {"type": "array", "items": {"type": "string"}}}, "required": ["n", "tags"]}', F.col("p_size").cast("string"))
+    schemas = part.select(F.concat(F.lit("s"), "p_partkey").alias("id"), text.alias("content"))
+    chunks = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_partkey").alias("schema_id"))
+    made = generation.generated_chunks(schemas, chunks).join(schemas.select(F.col("id").alias("schema_id"), F.col("content").alias("schema")), "schema_id")
+    return made.select("schema_id", udfs.validation_error("content", "schema").isNull().alias("fits"))
 
 
 @query()
@@ -745,14 +754,18 @@ def sample_metrics(spark, sf_dir):
 # Layouts
 
 
-@query("SELECT count(*) AS n, count(DISTINCT conv_id || ':' || turn) AS ids FROM conversations")
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS index, o_orderkey AS key, o_orderstatus AS status FROM orders")
 def layout_records(spark, sf_dir):
-    out = layouts.raw_records(_t(spark, sf_dir, "conversations"), "conversations")["source_documents"]
-    return out.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    """Orders lie by key in their files, and records are numbered as they lie."""
+    out = layouts.raw_records(layouts.in_source_order(_t(spark, sf_dir, "orders")), "orders")["source_documents"]
+    field = lambda k: F.get_json_object("content", k)
+    return out.select(F.get_json_object("meta", "$.source_dataset_index").cast("long").alias("index"), field("$.o_orderkey").cast("long").alias("key"), field("$.o_orderstatus").alias("status"))
 
 
-@query("SELECT CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) <= 50 THEN 'ok' ELSE 'answer doesn''t fit' END AS status, count(*) AS n FROM events GROUP BY 1")
+@query("""SELECT (row_number() OVER (ORDER BY props) - 1)::BIGINT AS index, props AS content, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 90 THEN 'ok' ELSE 'answer doesn''t fit' END AS status,
+CAST(json_extract_string(props, '$.k') AS BIGINT) < 90 AS mapped FROM events""")
 def layout_schema_answer(spark, sf_dir):
-    schema = json.dumps(dict(type="object", properties={"k": dict(type="integer", maximum=50)}))
+    schema = json.dumps(dict(type="object", properties={"k": dict(type="integer", maximum=89)}))
     rows = _t(spark, sf_dir, "events").select(F.lit(schema).alias("schema"), F.col("props").alias("response"))
-    return layouts.schema_and_answer(rows, "events")["status"]
+    chunks = layouts.schema_and_answer(rows, "events")["chunks"]
+    return chunks.select(F.get_json_object("meta", "$.source_dataset_index").cast("long").alias("index"), "content", F.get_json_object("meta", "$.status").alias("status"), F.col("schema_id").isNotNull().alias("mapped"))

@@ -483,15 +483,31 @@ def plain_hits(text, items):
 
 def found(block, texts):
     """(text, begin, length, owner) of all occurrences."""
-    codes, starts, vocab = decontam.folded(pa.array(texts, pa.string()))
-    x, out = block.numbered(codes, vocab), set()
+    read, out = decontam.Words(pa.array(texts, pa.string())), set()
     for t in block.tables:
-        begin, owner = t.search(x, starts)
-        rows = np.searchsorted(starts, begin, "right") - 1
-        out |= set(zip(rows.tolist(), (begin - starts[rows]).tolist(), [t.length] * len(rows), owner.tolist()))
+        begin, owner = t.search(read)
+        rows = np.searchsorted(read.starts, begin, "right") - 1
+        out |= set(zip(rows.tolist(), (begin - read.starts[rows]).tolist(), [t.length] * len(rows), owner.tolist()))
     return out
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("aBz9 -\n_é中🎉\x00")), max_size=60), max_size=5))
+def test_words_of_a_lot(texts):
+    read = decontam.Words(pa.array([*texts, None, "x" * 100], pa.string()))
+    want = [decontam.words(t) for t in [*texts, None, "x" * 100]]
+    assert [[read.run(i, 1)[0] for i in range(a, b)] for a, b in zip(read.starts[:-1], read.starts[1:])] == want
+    flat = [w for x in want for w in x]
+    assert len(set(read.hash.tolist())) == len(set(flat)) == len(set(zip(read.hash.tolist(), flat)))
+
+
+def test_equal_hashes_are_told_apart():
+    block = decontam.Block([(1, "one two three")])
+    other = decontam.Words(pa.array(["one two four", "one two three"], pa.string()))
+    other.hash[2] = other.hash[5]
+    assert block.tables[0].search(other)[0].tolist() == [3]
+
+
 def plain_found(items, texts):
     out = set()
     for r, text in enumerate(texts):

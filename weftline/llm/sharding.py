@@ -75,6 +75,8 @@ def assign(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_co
     digest = order_hash(F.concat_ws(":", key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), "slot")
     buckets = n_buckets(docs, rows_per_bucket * shards)
     placed = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.lit("key").alias("law"), descend(key, tree(shards, regions, racks, weights)).alias("shard"), descend(key, tree(shards + 1, regions, racks, weights, base=shards)).alias("grown_shard"), digest.alias("digest"), bucket_of(digest, buckets).alias("bucket"))
+    if carry != ("*",):  # narrow rows are written, so that texts are read once
+        placed = materialise(placed, "placed")
     stats = materialise(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")), "shard-stats")
     offsets = bucket_offsets(stats, ["shard"], "bucket", "n", "offset").drop("n")
     w = Window.partitionBy("shard", "bucket").orderBy("digest", "id", "size", "text_crc32")

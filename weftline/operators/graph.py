@@ -17,17 +17,17 @@ def roots(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> Data
     before = -1
     while True:
         hop = p.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("low").alias("far_low"))
-        step = p.join(hop, "up", "left").select("node", F.coalesce("far", "up").alias("up"), F.least("low", F.coalesce("far_low", "low")).alias("low"), F.col("up").alias("old"), F.col("low").alias("old_low"))
+        step = p.select("node", "up", "low").join(hop, "up", "left").select("node", F.coalesce("far", "up").alias("up"), F.least("low", F.coalesce("far_low", "low")).alias("low"), F.col("up").alias("old"), F.col("low").alias("old_low"))
         seen = Observation()  # counted while the round is written
         step = step.observe(seen, F.count_if(F.col("up") != F.col("old")).alias("moved"), F.count_if(F.col("low") < F.col("old_low")).alias("lower"))
-        p = materialise(step, "roots")
+        old, p = p, materialise(step, "roots")
         moved, lower = seen.get["moved"], seen.get["lower"]
+        discard(old)
         # As chains have nodes at every depth, some come to rest in each round while any chain moves. If as many move
         # as before, and none has met a lesser node, all that move go round on cycles.
         if not moved or moved == before and not lower:
             return p.select("node", F.when(F.col("up") == F.col("old"), F.col("up")).otherwise(F.col("low")).alias("root"))
         before = moved
-        p = p.select("node", "up", "low")
 
 
 def content_signature(text: Column | str) -> Column:

@@ -36,16 +36,18 @@ def in_source_order(rows: DataFrame) -> DataFrame:
 
 
 def indexed(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows with __index from 0: by place if there is one, else by content."""
+    """Rows with __index from 0: their own if they have one, else by place if there is one, else by content."""
     from weftline.operators.numbering import numbered
 
+    if "__index" in rows.columns:
+        return rows
     if PLACE in rows.columns:
         return numbered(rows, [F.col(PLACE)], "__index").drop(PLACE)
     return numbered(rows, order, "__index")
 
 
 def _place(rows: DataFrame) -> list[str]:
-    return [PLACE] if PLACE in rows.columns else []
+    return [c for c in (PLACE, "__index") if c in rows.columns]
 
 
 def raw_records(rows: DataFrame, source: str, limit: int | None = None) -> Tables:
@@ -77,18 +79,18 @@ def schema_and_answer(rows: DataFrame, source: str, schema_col: str = "schema",
 
 def conversations(rows: DataFrame, source: str, turns: str = "conversations", schema_col: str = "schema", longest: int = 10_000, limit: int | None = None) -> Tables:
     """The last turn's text after its thoughts is the answer. Long ones are left out, and of rows with an answer or a
-    schema seen before, in order, only the first is taken."""
+    schema seen before, in order, only the first is taken. Indexes are those of the records, whatever is left out."""
     last = F.element_at(F.col(turns), -1)["value"]
-    told = rows.select(F.trim(F.substring_index(last, "</think>", -1)).alias("answer"), F.col(schema_col).alias("schema"), *_place(rows)).where((F.length("answer") <= longest) & (F.length("schema") <= longest))
-    told = first_of(indexed(told, [F.col("answer"), F.col("schema")]), [F.col("answer")], "__index")
-    told = first_of(told, [F.col("schema")], "__index").withColumnRenamed("__index", PLACE)
+    told = rows.select(F.trim(F.substring_index(last, "</think>", -1)).alias("answer"), F.col(schema_col).alias("schema"), *_place(rows))
+    told = indexed(told, [F.col("answer"), F.col("schema")]).where((F.length("answer") <= longest) & (F.length("schema") <= longest))
+    told = first_of(first_of(told, [F.col("answer")], "__index"), [F.col("schema")], "__index")
     return schema_and_answer(told, source, "schema", "answer", limit)
 
 
 def schemas_only(rows: DataFrame, source: str, schema_col: str = "schema", limit: int | None = None, longest: int = 10_000) -> Tables:
-    """Schemas of good quality in the strict dialect, one of each text."""
-    src = rows.select(F.col(schema_col).alias("s"), *_place(rows)).where(F.length("s") <= longest)
-    src = indexed(src.groupBy("s").agg(*[F.min(c).alias(c) for c in _place(rows)]) if _place(rows) else src.distinct(), [F.col("s")])
+    """Schemas of good quality in the strict dialect, one of each text, with the index of the first that has it."""
+    src = indexed(rows.select(F.col(schema_col).alias("s"), *_place(rows)), [F.col("s")]).where(F.length("s") <= longest)
+    src = src.groupBy("s").agg(F.min("__index").alias("__index"))
     if limit is not None:
         src = src.where(F.col("__index") < limit)
     told = src.select("*", udfs.strict("s").alias("n")).select("__index", "n.schema").where("schema is not null").where(udfs.schema_quality("schema"))

@@ -393,7 +393,7 @@ def test_layouts(spark, tmp_path):
     docs = layouts.raw_records(placed, "src")["source_documents"]
     assert {json.loads(r.meta)["source_dataset_index"]: json.loads(r.content)["a"] for r in docs.collect()} == dict(enumerate("zbazc"))
     assert {json.loads(r.content)["a"] for r in layouts.raw_records(placed, "src", limit=2)["source_documents"].collect()} == {"z", "b"}
-    talk = placed.selectExpr("array(struct(concat('{\\"k\\": \\"', a, '\\"}') as value)) conversations", "concat('{\\"type\\": \\"object\\", \\"properties\\": {\\"', a, '\\": {\\"type\\": \\"integer\\"}}}') schema", "__place")
+    talk = placed.selectExpr("array(struct(concat('{\"k\": \"', a, '\"}') as value)) conversations", "concat('{\"type\": \"object\", \"properties\": {\"', a, '\": {\"type\": \"integer\"}}}') schema", "__place")
     told = layouts.conversations(talk, "src")["source_documents"].collect()
     assert {json.loads(r.meta)["source_dataset_index"]: json.loads(r.content)["k"] for r in told} == {0: "z", 1: "b", 2: "a", 4: "c"}  # the first of each, with its own index
     chats = spark.createDataFrame([([{"value": "q"}, {"value": "<think>no</think> {\"a\": 1}"}], good), ([{"value": "{\"a\": 1}"}], good + " "), ([{"value": "x" * 10_001}], good)], "conversations array<struct<value:string>>, schema string")

@@ -45,6 +45,8 @@ from weftline.storage import discard
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 BANDS, ROWS = 48, 5
+#: Members of sets whose points are drawn at once; a matter of memory only, as registers are minima.
+AT_ONCE = 1 << 14
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,6 +81,22 @@ def set_keys(flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [a.tobytes() + b.tobytes() for a, b in zip(*out)]
 
 
+def _fill(least: np.ndarray, state: np.ndarray, owner: np.ndarray, until: np.ndarray) -> None:
+    """Lower the registers `least` of the sets `owner` by the points of their members `state` up to the times `until`."""
+    m, reached, count, width = least.shape[1], np.zeros(len(state)), 0, 4
+    while len(state):
+        steps = mix64(state[:, None] + _GOLD * np.arange(count + 1, count + width + 1, dtype=np.uint64))
+        u = ((steps >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        times = reached[:, None] + np.cumsum(-np.log(u), axis=1) / (RATE * m)
+        inside = times <= until[owner][:, None]
+        place = (mix64(steps + _GOLD) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+        flat_at = (owner[:, None] * m + place.astype(np.int64))[inside]
+        np.minimum.at(least.reshape(-1), flat_at, times[inside])
+        more = inside[:, -1]
+        state, owner, reached, count = state[more], owner[more], times[more, -1], count + width
+        width = min(64, width * 2)
+
+
 def registers(flat: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
     """Registers of each set, one row a set, as uint16; a set without members has zeros."""
     n = np.diff(ends)
@@ -89,19 +107,8 @@ def registers(flat: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
     while len(todo):
         owner = np.repeat(todo, n[todo])
         index = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in todo.tolist()])
-        state, reached, count = flat[index], np.zeros(len(index)), 0
-        width = 4
-        while len(state):
-            steps = mix64(state[:, None] + _GOLD * np.arange(count + 1, count + width + 1, dtype=np.uint64))
-            u = ((steps >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-            times = reached[:, None] + np.cumsum(-np.log(u), axis=1) / (RATE * m)
-            inside = times <= until[owner][:, None]
-            place = (mix64(steps + _GOLD) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
-            flat_at = (owner[:, None] * m + place.astype(np.int64))[inside]
-            np.minimum.at(least.reshape(-1), flat_at, times[inside])
-            more = inside[:, -1]
-            state, owner, reached, count = state[more], owner[more], times[more, -1], count + width
-            width = min(64, width * 2)
+        for at in range(0, len(index), AT_ONCE):
+            _fill(least, flat[index[at : at + AT_ONCE]], owner[at : at + AT_ONCE], until)
         todo = todo[np.isinf(least[todo]).any(1)]
         until[todo] *= 2
     out = np.zeros((len(n), m), np.uint16)

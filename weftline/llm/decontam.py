@@ -59,6 +59,7 @@ class Words:
         raw = np.frombuffer(self.data, np.uint8)
         inside = raw != 32
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = edges.astype(np.int32)  # a text has less than 2 GB
         self.begin, self.end = edges[::2], edges[1::2]
         places = np.cumsum([1, *(len(x) + 1 for x in parts)])
         self.starts = np.searchsorted(self.begin, places)
@@ -168,7 +169,6 @@ class Block:
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(own.starts[some], n) + inside
             self.tables.append(WuManber(length, own, at.astype(np.int32), np.repeat(some, n).astype(np.int32), inside))
-        own.begin, own.end = own.begin.astype(np.int32), own.end.astype(np.int32)
 
 
 def _save_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int) -> list[str]:
@@ -257,7 +257,7 @@ def scan(batches: Iterator[pa.RecordBatch], paths: list[str], text_col: str, hol
             yield part, np.diff(texts.starts), np.diff(covered), [own.get(i, set()) - {None} for i in range(part.num_rows)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20, hold_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20, hold_bytes: int = 16 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, items (sorted), contaminated."""
     paths = _save_blocks(benchmark, item_col, item_text, width, block_bytes)
     cols = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -271,7 +271,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return arrow_map(cols, run, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, contaminated boolean")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20, hold_bytes: int = 32 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = 16 << 20, hold_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs without a hit word, with all their columns; one pass, no join."""
     paths = _save_blocks(benchmark, item_col, item_text, width, block_bytes)
 

@@ -58,7 +58,7 @@ def fill_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     return sources.withColumn("target", F.when(F.lit(level) * F.col("weight") > cap, cap.cast("double")).otherwise(F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", grid: tuple = GRID, schedules: tuple = SCHEDULES, rows_per_bucket: int = 50_000, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "mix", grid: tuple = GRID, schedules: tuple = SCHEDULES, rows_per_bucket: int = 8_000, carry: tuple[str, ...] = ("*",)) -> DataFrame:
     """One row per row of docs: row (struct of its columns, or of those in carry), size, source_size, target, taken, and copies, an array
     of (words, position), one for every time that the document enters the mix. A document at a target's edge is
     taken with as many of its words as are left."""

@@ -69,7 +69,7 @@ def descend(key: Column, nodes: list[list[list[Leaf]]]) -> Column:
     return at
 
 
-def assign(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", regions: int = 2, racks: int = 3, weights: dict[int, float] | None = None, rows_per_bucket: int = 50_000, carry: tuple[str, ...] = ("*",)) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", regions: int = 2, racks: int = 3, weights: dict[int, float] | None = None, rows_per_bucket: int = 8_000, carry: tuple[str, ...] = ("*",)) -> DataFrame:
     """One row per row of docs: row (struct of its columns, or of those in carry), size, text_crc32, law, shard, slot, grown_shard."""
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     digest = order_hash(F.concat_ws(":", key, F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))), "slot")

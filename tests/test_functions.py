@@ -306,3 +306,28 @@ def test_validation_keywords(schema, good, bad):
     assert all(js.check(json.dumps(x), text) for x in bad)
     if "format" in schema:
         assert not any(js.check(json.dumps(x), text, formats=False) for x in bad)
+
+
+def test_tables_have_the_texts_of_data_frames():
+    """Rows are written without a data frame; one is made for its own text alone."""
+    import io
+    from unittest import mock
+
+    import pandas as pd
+    import yaml
+
+    made = {how: [] for how in tabular.RENDERINGS}
+    with mock.patch.object(tabular.pd, "DataFrame", side_effect=pd.DataFrame) as frames:
+        for seed in range(600):
+            rng = random.Random(seed)
+            how = rng.choice(tabular.RENDERINGS)
+            before = frames.call_count
+            t = tabular.triplet(seed)
+            assert frames.call_count - before == (how == "string")
+            made[how].append(t)
+    for t in made["csv"]:
+        rows = json.loads(t["output"])
+        df = pd.DataFrame(rows if isinstance(rows, list) else [rows], dtype=object)
+        assert t["input_data"] in {df.to_csv(sep=s, index=False) for s in tabular.CSV_SIGNS}
+    for t in made["yaml"]:
+        assert t["input_data"] == yaml.dump(yaml.safe_load(io.StringIO(t["input_data"])), sort_keys=False)

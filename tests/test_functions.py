@@ -331,3 +331,32 @@ def test_tables_have_the_texts_of_data_frames():
         assert t["input_data"] in {df.to_csv(sep=s, index=False) for s in tabular.CSV_SIGNS}
     for t in made["yaml"]:
         assert t["input_data"] == yaml.dump(yaml.safe_load(io.StringIO(t["input_data"])), sort_keys=False)
+
+
+simple_parts = st.recursive(st.one_of(st.integers(-(10**9), 10**9), st.booleans(), st.sampled_from("n y alpha Beta c_1 Order O".split())), lambda x: st.one_of(st.lists(x, min_size=1, max_size=4), st.dictionaries(st.sampled_from("n y key lines Part_2 x".split()), x, min_size=1, max_size=4)))
+
+
+@given(simple_parts, st.integers(0, 9))
+@settings(max_examples=400, deadline=None)
+def test_simple_documents_have_the_library_s_text_and_lead_back(value, seed):
+    import yaml
+
+    assert f.simple(value)
+    for name in ("YAML", "TOML", "PYTHON_STRING"):
+        fmt = f.FORMATS[name]
+        if fmt.surely(value):
+            options = fmt.options(seed)
+            text = fmt.write(value, **options)
+            assert fmt.check(value, text)
+            assert name != "YAML" or text == yaml.dump(value, Dumper=f.YAML_DUMPER, **options)
+
+
+def test_what_isn_t_simple_is_loaded_to_tell():
+    part = [1]
+    for value in ({"a": "yes"}, {"a": "x y"}, {"1": 2}, {"null": 1}, {"a": 1.5}, {"a": None}, {"a": []}, {}, [{}], {"a": {"b": "a" * 61}}, {"a": 10**15}):
+        assert not f.simple(value) and not any(fmt.surely(value) for fmt in f.FORMATS.values())
+    assert "&id001" in f.FORMATS["YAML"].write({"a": part, "b": part})  # the library names what is met twice
+    assert not f.FORMATS["TOML"].surely([{"a": 1}, 5])  # tables come after other members, so the order is lost
+    value = {"key": 1, "lines": [{"n": 1, "part": 2}]}
+    for name in ("YAML", "TOML", "PYTHON_STRING"):
+        assert f.FORMATS[name].surely(value)

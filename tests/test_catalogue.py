@@ -118,3 +118,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_groups_hold_whichever_customers_have_orders(spark, tmp_path):
+    """Neither customers at the seam of two records nor customers that lie in no table part a group."""
+    import pandas as pd
+
+    orders = [(k, c, "F") for k, c in enumerate([0, 1, 3, 6, 7, 9, 9, 12, 13, 17, 18, 31, 44, 45, 53, 58])]
+    pd.DataFrame(orders, columns=["o_orderkey", "o_custkey", "o_orderstatus"]).to_parquet(tmp_path / "orders.parquet")
+    pd.DataFrame({"c_custkey": [k for k in range(40) if k not in (5, 12, 17)]}).to_parquet(tmp_path / "customer.parquet")
+    check(spark, tables(tmp_path), catalogue.QUERIES["assign_groups"], catalogue.ORACLES["assign_groups"], tmp_path)

@@ -360,3 +360,31 @@ def test_what_isn_t_simple_is_loaded_to_tell():
     value = {"key": 1, "lines": [{"n": 1, "part": 2}]}
     for name in ("YAML", "TOML", "PYTHON_STRING"):
         assert f.FORMATS[name].surely(value)
+
+
+def test_equal_answers_need_no_matching():
+    from unittest import mock
+
+    with mock.patch.object(scores.difflib, "SequenceMatcher", side_effect=AssertionError):
+        assert scores.differences({"a": [1, "x" * 300], "b": None}, {"b": None, "a": [1, "x" * 300]}) == (0, 0, 0, 1.0)
+    assert scores.differences({"a": 1}, {"a": 1.0})[0] == 1  # equal values, other texts
+    assert scores.assess('{"a": 1}', None, '{"a": 1.0}')["correct"] and scores.assess('{"a": 1}', None, '{"a": 1.0}')["similarity"] < 1
+
+
+def test_kept_answers_are_told_once_and_bounded():
+    asked = []
+    f_ = js.kept(lambda x: asked.append(x) or x, most=2, longest=5)
+    assert [f_(x) for x in ("a", "a", "b", "b", "c", "a", "longer", "longer")] == ["a", "a", "b", "b", "c", "a", "longer", "longer"]
+    assert asked == ["a", "b", "c", "a", "longer", "longer"]
+
+
+def test_varying_leaves_schema_and_document_alone():
+    from unittest import mock
+
+    schema, data = json.loads(json.dumps(SCHEMA)), json.loads(json.dumps(DATA))
+    with mock.patch.object(variation, "copied", side_effect=variation.copied) as copies:
+        for seed in range(50):
+            copies.reset_mock()
+            variation.vary(schema, data, seed)
+            assert sum(c.args[0] is schema for c in copies.call_args_list) == 1
+    assert schema == SCHEMA and data == DATA

@@ -436,3 +436,28 @@ def test_streamed_documents_are_kept_once(spark, tmp_path):
         ingest.append(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = [r.content.strip().lower() for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == ["a b", "new 0", "new 1", "new 2"]
+
+
+def test_costly_passes_are_spread_over_the_session_s_parts(spark, tmp_path):
+    """A file of one row group isn't one task."""
+    from weftline.plans import catalogue
+    from weftline.sources import layouts
+
+    sf = "/root/testdata/sf0.001"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    for name in ("format_yaml", "format_toml", "diff_metrics", "tabular"):
+        assert parts(catalogue.QUERIES[name](spark, sf)) == n
+    rows = spark.range(200).select(F.lit('{"type": "object", "properties": {"k": {"type": "integer"}}}').alias("schema"), F.format_string('{"k": %d}', "id").alias("response")).coalesce(1)
+    chunks = layouts.schema_and_answer(rows, "x")["chunks"]
+    assert chunks.select(F.input_file_name().alias("f")).distinct().count() == n
+
+
+def test_token_ids_are_packed_and_handed_on_in_lots(spark, monkeypatch):
+    from weftline.operators import training
+
+    texts = [None, "", "é" * 7, "x" * 50, *("ab\U0001f600" for _ in range(30))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1)
+    monkeypatch.setattr(training, "LOT", 10)
+    got = {r.id: r.ids for r in df.select("id", training.tokens("t", lambda s: [ord(c) for c in s]).alias("ids")).collect()}
+    assert got == {i: None if t is None else [ord(c) for c in t] for i, t in enumerate(texts)}

@@ -65,7 +65,7 @@ def schema_and_answer(rows: DataFrame, source: str, schema_col: str = "schema",
     src = indexed(rows.select(F.col(schema_col).alias("s"), F.col(answer_col).alias("a"), *_place(rows)), [F.col("s"), F.col("a")])
     if limit is not None:
         src = src.where(F.col("__index") < limit)
-    told = src.select("*", udfs.strict(F.replace(F.col("s"), F.lit('"definitions"'), F.lit('"$defs"'))).alias("n"))
+    told = udfs.spread(src, "__index").select("*", udfs.strict(F.replace(F.col("s"), F.lit('"definitions"'), F.lit('"$defs"'))).alias("n"))
     told = told.select("__index", "s", "a", "n.schema", udfs.schema_quality("n.schema").alias("good"), udfs.validation_error_without_formats("a", "n.schema").alias("why"))
     told = materialise(told.withColumn("status", F.when(F.col("schema").isNull(), "no strict schema").when(~F.coalesce("good", F.lit(False)), "low quality").when(F.col("why").isNotNull(), "answer doesn't fit").otherwise("ok")), "layout")
     ok = F.col("status") == "ok"

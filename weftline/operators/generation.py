@@ -91,12 +91,14 @@ def varied_schemas(chunks: DataFrame, schemas: DataFrame, variations: int = 1, s
     src = chunks.where("content_type = 'JSON' and schema_id is not null").select(F.col("id").alias("chunk_id"), F.col("content").alias("data"), "schema_id").join(schemas.select(F.col("id").alias("schema_id"), F.col("content").alias("schema")), "schema_id")
     src = src.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(variations - 1)))).withColumn("seed", seeded(F.concat_ws(":", "chunk_id", "number"), seed))
 
+    parsed = json_schema.kept(json.loads)  # vary changes copies of it
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for r in x.itertuples():
                 try:
-                    old = json.loads(r.schema)
+                    old = parsed(r.schema)
                     if json_schema.first_type(old) != "object":
                         continue
                     new, data, changes = variation.vary(old, json.loads(r.data), int(r.seed))
@@ -150,7 +152,7 @@ def inferred_schemas(chunks: DataFrame, provider: Callable[[str], str | None] |
     a JSON text to a schema text, a model behind an interface for instance, and is asked up to `attempts` times; without
     one the schema is inferred."""
     src = chunks.where("content_type = 'JSON' and schema_id is null and content is not null").select(F.col("id").alias("chunk_id"), "content")
-    ask = provider or (lambda text: json.dumps(json_schema.infer(json.loads(text))))
+    stricter = json_schema.kept(lambda schema: json.dumps(json_schema.strict(json.loads(schema))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -158,8 +160,9 @@ def inferred_schemas(chunks: DataFrame, provider: Callable[[str], str | None] |
             for cid, text in zip(x["chunk_id"], x["content"]):
                 for _ in range(attempts):
                     try:
-                        schema = ask(text)
-                        if schema and json_schema.check(text, schema) is None and json_schema.check(text, json.dumps(json_schema.strict(json.loads(schema)))) is None:
+                        value = json.loads(text)
+                        schema = provider(text) if provider else json.dumps(json_schema.infer(value))
+                        if schema and json_schema.cached(schema)(value) is None and json_schema.cached(stricter(schema))(value) is None:
                             out.append((cid, schema))
                             break
                     except (ValueError, RecursionError):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from weftline.functions.scores import MISSING
 from weftline.operators.udfs import minified
 
+#: Token ids that a worker hands on together, one text's at least.
+LOT = 200_000
 SYSTEM = "Turn the text into JSON under the schema. "
 
 
@@ -25,11 +28,23 @@ def minified_samples(samples: DataFrame) -> DataFrame:
 
 
 def tokens(texts: Column | str, encode: Callable[[str], list[int]]) -> Column:
-    """Token ids by any tokenizer's function."""
+    """Token ids by any tokenizer's function. They are packed text by text and handed on LOT at a time, as lists of
+    numbers take many times the bytes of their text."""
+
+    most = LOT
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([None if x is None else encode(x) for x in s], dtype=object)
+            held: list[np.ndarray | None] = []
+            size = 0
+            for x in s:
+                held.append(None if x is None else np.array(encode(x), dtype=np.int32))
+                size += 0 if x is None else len(held[-1])
+                if size >= most:
+                    yield pd.Series(held, dtype=object)
+                    held, size = [], 0
+            if held or not len(s):
+                yield pd.Series(held, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<int>")(texts)

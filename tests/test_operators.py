@@ -461,3 +461,19 @@ def test_token_ids_are_packed_and_handed_on_in_lots(spark, monkeypatch):
     monkeypatch.setattr(training, "LOT", 10)
     got = {r.id: r.ids for r in df.select("id", training.tokens("t", lambda s: [ord(c) for c in s]).alias("ids")).collect()}
     assert got == {i: None if t is None else [ord(c) for c in t] for i, t in enumerate(texts)}
+
+
+def test_pairs_of_query_and_document_are_spread(spark):
+    """Postings are put together by document in as many tasks as the session's shuffles have, however few they are."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = spark.range(300).select("id", F.format_string("word%d rare%d common", F.col("id") % 7, "id").alias("content"))
+    queries = spark.createDataFrame([(1, "common word3")], "query_id int, query string")
+    got = retrieval.scores(docs, queries)
+    assert got.count() == 300 and got.select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
+def test_parts_are_sampled_in_the_session_s_parts(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(200).select(F.concat(F.lit("o"), "id").alias("id"), F.format_string('{"a": {"b": [%d, 1, 2, 3, 4, 5, 6, 7]}}', "id").alias("content"))
+    plan = generation.sub_documents(rows, source="documents", least=10)._jdf.queryExecution().toString()
+    assert "hashpartitioning(parent" in plan and f", {n}), REPARTITION_BY_NUM" in plan

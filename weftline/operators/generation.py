@@ -40,7 +40,7 @@ def sub_documents(rows: DataFrame, *, source: str, depth: int = 7, share: float
     parts = parts.select("parent", "p.path", "p.content").where(F.length("content") >= least)
     if source == "chunks":
         parts = parts.where("path != '$'")
-    out = first_of(sampled(parts, "parent", F.sha2(F.concat_ws(":", "parent", "path", F.lit(seed)), 256), share).withColumn("id", new_id(F.col("parent"), F.col("path"), "sub")), [folded("content")], "id")
+    out = first_of(sampled(udfs.spread(parts, "parent"), "parent", F.sha2(F.concat_ws(":", "parent", "path", F.lit(seed)), 256), share).withColumn("id", new_id(F.col("parent"), F.col("path"), "sub")), [folded("content")], "id")
     is_doc = source == "documents"
     info = meta(source=F.lit("extracted_sub_json"), original_chunk_id=F.col("parent")) if not is_doc else meta(source=F.lit("extracted_from_document"), path=F.col("path"))
     none = F.lit(None).cast("string")

@@ -24,6 +24,12 @@ def test_query_equals_its_sql(spark, con, name):
     check(spark, con, catalogue.QUERIES[name], catalogue.ORACLES[name], SF)
 
 
+def test_expansion_shuffles_numbers_for_keys(spark):
+    """Orders and parts are joined by merging, not broadcast while they are small, and no text is made of their keys."""
+    plan = catalogue.QUERIES["expand_conversions"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "concat(" not in plan
+
+
 def test_varied_documents_fit_their_schemas(spark):
     got = catalogue.QUERIES["vary_schema"](spark, SF).collect()
     assert got and all(wrong(r.data, r.schema) is None for r in got)

@@ -326,6 +326,27 @@ def test_missing_and_negative_samples(samples):
     assert sorted(map(str, negative)) == sorted(map(str, sampling.negative_samples(samples.repartition(3)).collect()))
 
 
+def test_expansion_is_planned_alike_at_every_size(spark, small):
+    """Small tables of chunks aren't broadcast, so that what is shuffled grows as the input does."""
+    chunks, schemas, conversions = small
+    for df in (cleaning.expanded(conversions, chunks, schemas), cleaning.expanded(conversions, chunks.where("content_type = 'XML'"), schemas, chunks)):
+        assert df._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
+        row = df.first()
+        assert (df.count(), row.id, row.input_content, row.output_content, row.schema_content) == (1, "v1", "<x/>", '{"name": "Ann", "age": 41}', SCHEMA)
+
+
+def test_expansion_with_odd_references(spark):
+    """Null and missing references go, repeated conversions and repeated chunks multiply, null contents stay."""
+    text = "id long, content string"
+    inputs = spark.createDataFrame([(1, "i1"), (-1, "i-1"), (2, None), (3, "i3"), (3, "again"), (None, "no")], text)
+    outputs = spark.createDataFrame([(1, "o1"), (-1, "o-1"), (4, "o4"), (None, "no")], text)
+    schemas = spark.createDataFrame([(1, "s1"), (None, "no")], text)
+    v = [(1, 1, 1), (-1, 1, 1), (1, -1, 1), (2, 1, 1), (3, 4, 1), (3, 4, 1), (4, 1, 1), (1, 3, 1), (1, 1, 2), (None, 1, 1), (1, None, 1), (1, 1, None)]
+    got = cleaning.expanded(spark.createDataFrame(v, "input_chunk_id long, output_chunk_id long, schema_id long"), inputs, schemas, outputs)
+    rows = sorted(map(str, ((r.input_content, r.output_content, r.schema_content) for r in got.collect())))
+    assert rows == sorted(map(str, [("i1", "o1", "s1"), ("i-1", "o1", "s1"), ("i1", "o-1", "s1"), (None, "o1", "s1"), *[("i3", "o4", "s1"), ("again", "o4", "s1")] * 2]))
+
+
 def test_export_keeps_group_0(spark, small):
     chunks, schemas, conversions = small
     split = spark.createDataFrame([(0, True)], "group_id long, is_test boolean")

@@ -187,10 +187,15 @@ def delete_documents(documents: DataFrame, chunks: DataFrame, gone: DataFrame) -
 # Joins and counts
 
 
-def expanded(conversions: DataFrame, chunks: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Conversions with the contents of input, output and schema."""
+def expanded(conversions: DataFrame, chunks: DataFrame, schemas: DataFrame, outputs: DataFrame | None = None) -> DataFrame:
+    """Conversions with the contents of input, output and schema; outputs are chunks too, or lie in a table of their own.
+    Both joins with chunks are told to merge: by the size of its files a small table of chunks would be broadcast, texts
+    and all, and what is shuffled would jump once it is larger. Schemas are left to Spark and come last, so that their
+    texts aren't shuffled on."""
     side = lambda df, key, name: df.select(F.col("id").alias(key), F.col("content").alias(name))
-    return conversions.join(side(chunks, "input_chunk_id", "input_content"), "input_chunk_id").join(side(chunks, "output_chunk_id", "output_content"), "output_chunk_id").join(side(schemas, "schema_id", "schema_content"), "schema_id")
+    out = conversions.join(side(chunks, "input_chunk_id", "input_content").hint("merge"), "input_chunk_id")
+    out = out.join(side(chunks if outputs is None else outputs, "output_chunk_id", "output_content").hint("merge"), "output_chunk_id")
+    return out.join(side(schemas, "schema_id", "schema_content"), "schema_id")
 
 
 def eligible_for_export(conversions: DataFrame, chunks: DataFrame, legacy_drop_group0: bool = False) -> DataFrame:
